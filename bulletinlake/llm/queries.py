@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .linededup import OP5_SQL, op5_line_dedup
 from .simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op5_line_dedup": op5_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": OP5_SQL,
+}
