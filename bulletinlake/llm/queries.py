@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .linededup import OP5_SQL, op5_line_dedup
+from .packing import op6_packing
+from .pieces import op3_pieces
 from .simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_pieces": op3_pieces,
     "op5_line_dedup": op5_line_dedup,
+    "op6_packing": op6_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
