@@ -112,7 +112,7 @@ def hamming_links(fps: DataFrame, budget: int = 4, boxes: int = 5, chain: int =
     """
     if not 0 <= budget < 2 * boxes or not 1 <= chain <= boxes:
         raise ValueError("the budget must be under twice the number of segments, the chain within it")
-    ring = stash(_ring(fps.select("fp"), boxes, chain).selectExpr("fp", "start", "rot", f"bits * {boxes} + start as key", "bits"), "ring")
+    ring = _ring(fps.select("fp"), boxes, chain).selectExpr("fp", f"bits * {boxes} + start as key")
     crowded = ring.groupBy("key").count().where(F.col("count") > crowd)
     members = ring.join(crowded, "key", "left_semi").select("fp").distinct()
     cleared = members.selectExpr("fp", "explode(sequence(0, 63)) as bit").selectExpr("fp", "bit", "fp & ~shiftleft(1L, bit) as rest")
@@ -120,8 +120,8 @@ def hamming_links(fps: DataFrame, budget: int = 4, boxes: int = 5, chain: int =
     near = stash(near, "near")
     known = stash(components(near), "known")
 
-    labelled = ring.join(known, ring.fp == known.node, "left").select("start", "rot", "key", "bits", "fp", F.coalesce("root", "fp").alias("label"))
-    labelled = stash(labelled, "labelled")
+    named = fps.join(known, fps.fp == known.node, "left").select("fp", F.coalesce("root", "fp").alias("label"))
+    labelled = stash(_ring(named, boxes, chain).selectExpr("start", "rot", f"bits * {boxes} + start as key", "bits", "fp", "label"), "labelled")
     widths = _widths(boxes)
     masks = [chain_masks([widths[(i + j) % boxes] for j in range(chain)], budget, boxes) for i in range(boxes)]
     every = "array(" + ", ".join("array(" + ", ".join(f"{m}L" for m in of) + ")" for of in masks) + ")"
