@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from .htmltext import op4_html
 from .linededup import OP5_SQL, op5_line_dedup
 from .packing import op6_packing
 from .pieces import op3_pieces
 from .simhash import op1_simhash
+from .topk import OP10_SQL, op10_topk
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_pieces": op3_pieces,
+    "op4_html": op4_html,
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
+    "op10_topk": op10_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": OP5_SQL,
+    "op10_topk": OP10_SQL,
 }
