@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .htmltext import op4_html
+from .iblt import op2_fingerprints
 from .linededup import OP5_SQL, op5_line_dedup
 from .packing import op6_packing
 from .pieces import op3_pieces
@@ -11,6 +12,7 @@ from .topk import OP10_SQL, op10_topk
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_fingerprints": op2_fingerprints,
     "op3_pieces": op3_pieces,
     "op4_html": op4_html,
     "op5_line_dedup": op5_line_dedup,
