@@ -8,7 +8,7 @@ White space is written U+2581 with one in front of the text. A vocabulary whose
 that sign only as leading run (checked on loading) never merges across the start of such a
 run, so a text is encoded run by run and equal runs of an Arrow batch are encoded once.
 
-Check: each Arrow batch has the sentencepiece library encode its distinct new runs and decode
+Check: each slice of an Arrow batch has the sentencepiece library encode its distinct new runs and decode
 its documents' ids; any difference raises. ``check="texts"`` has it encode whole texts too.
 
 Null text counts as empty: begin and end ids only, decoded to ''. Repeated rows give repeated
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .scratch import pick
 
 SPACE = "▁"
+SLICE = 256  # documents whose runs are held at a time
 SHORT, NEVER = 48, float("inf")
 _RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -155,7 +156,7 @@ def _encoder(path: str, remember: int, check: str):
         model = load(path)
         known = model.known  # kept by the worker from task to task
         begin, end = np.array([model.bos], "<u4").tobytes(), np.array([model.eos], "<u4").tobytes()
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             texts = [t or "" for t in batch["text"].to_pylist()]
             split = [model.runs(t) for t in texts]
             if len(known) > remember:
@@ -180,7 +181,7 @@ def _encoder(path: str, remember: int, check: str):
     return run
 
 
-def encode_and_decode(docs: DataFrame, model_path: str, remember: int = 400_000, check: str = "runs") -> DataFrame:
+def encode_and_decode(docs: DataFrame, model_path: str, remember: int = 250_000, check: str = "runs") -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, ids, decoded)``: little-endian 32-bit ids with begin and end."""
     rows = pick(docs, doc_id="doc_id", text="text")
     return rows.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_encoder(model_path, remember, check), "doc_id long, ids binary, decoded string")
