@@ -9,6 +9,7 @@ from .packing import op6_packing
 from .pieces import op3_pieces
 from .simhash import op1_simhash
 from .topk import OP10_SQL, op10_topk
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_html": op4_html,
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
     "op10_topk": op10_topk,
 }
 
