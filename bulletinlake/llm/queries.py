@@ -7,6 +7,7 @@ from .iblt import op2_fingerprints
 from .linededup import OP5_SQL, op5_line_dedup
 from .packing import op6_packing
 from .pieces import op3_pieces
+from .quality import op8_quality
 from .simhash import op1_simhash
 from .topk import OP10_SQL, op10_topk
 from .toxicity import op7_toxicity
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
     "op10_topk": op10_topk,
 }
 
