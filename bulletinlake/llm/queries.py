@@ -9,6 +9,7 @@ from .packing import op6_packing
 from .pieces import op3_pieces
 from .quality import op8_quality
 from .simhash import op1_simhash
+from .substring import op9_substring
 from .topk import OP10_SQL, op10_topk
 from .toxicity import op7_toxicity
 
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
+    "op9_substring": op9_substring,
     "op10_topk": op10_topk,
 }
 

@@ -24,15 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, name: str = "t") -> DataFrame:
+def stash(df: DataFrame, name: str = "t", swept: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of it.
 
     What follows reads files, so losing an executor costs no more than its running tasks.
+    ``swept``: ``sweep`` may delete the table.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/bulletinlake/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if swept:
+        _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

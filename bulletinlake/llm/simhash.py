@@ -132,15 +132,26 @@ def hamming_links(fps: DataFrame, budget: int = 4, boxes: int = 5, chain: int =
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, budget: int = 4, boxes: int = 5, chain: int = 2) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, fingerprint, component_id)``, one row each."""
+    """``docs(doc_id, text)`` to ``(doc_id, fingerprint, component_id, text_hash)``, one row each."""
     rows = pick(docs, doc_id="doc_id", text="text")
-    marked = stash(rows.select("doc_id", fingerprint_column("text", k).alias("fp")), "marked")
+    marked = stash(rows.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprint_column("text", k).alias("fp")), "marked")
     fps = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
     roots = components(hamming_links(fps, budget, boxes, chain))
     rooted = stash(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     named = stash(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"), "named")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """Rows of ``docs(doc_id, text, ...)`` so that one document of each component stays: that of the
+    smallest doc_id (of rows that share it, the one of the smallest text hash, once)."""
+    found = near_duplicates(docs, **options)
+    group = ["component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_alone")]
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(*group).agg(F.min("text_hash").alias("_hash")).select(F.col("component_id").alias("_id"), "_hash")
+    first = stash(first, "first")
+    same = docs["doc_id"].eqNullSafe(first["_id"]) & (F.xxhash64(docs["text"]) == first["_hash"])
+    return docs.join(first, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")
