@@ -109,7 +109,7 @@ class PieceModel:
         """The agenda is a list by position: for a few symbols its least entry is found faster than a heap is kept."""
         cost = self.cost.get
         parts = list(run)
-        agenda = [cost(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        agenda = [cost(run[i : i + 2], NEVER) for i in range(len(run) - 1)]
         while agenda:
             best = min(agenda)
             if best == NEVER:
@@ -159,14 +159,11 @@ class PieceModel:
         return [s for s in symbols if s is not None]
 
     def _spell(self, symbols: list[str]) -> list[int]:
-        out: list[int] = []
-        for s in symbols:
-            i = self.ids.get(s)
-            if i is not None:
-                out.append(i)
-            else:
-                out.extend(self.bytes[b] for b in s.encode("utf-8"))
-        return out
+        ids = self.ids
+        try:
+            return [ids[s] for s in symbols]
+        except KeyError:
+            return [i for s in symbols for i in ((ids[s],) if s in ids else [self.bytes[b] for b in s.encode("utf-8")])]
 
     def runs(self, text: str) -> list[str]:
         return _RUNS.findall(SPACE + text.replace(" ", SPACE)) if text else []
@@ -221,7 +218,7 @@ def _encoder(path: str, remember: int, check: str):
     return run
 
 
-def encode_and_decode(docs: DataFrame, model_path: str, remember: int = 500_000, check: str = "runs") -> DataFrame:
+def encode_and_decode(docs: DataFrame, model_path: str, remember: int = 800_000, check: str = "runs") -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, ids, decoded)``: little-endian 32-bit ids with begin and end."""
     rows = pick(docs, doc_id="doc_id", text="text")
     return rows.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_encoder(model_path, remember, check), "doc_id long, ids binary, decoded string")
