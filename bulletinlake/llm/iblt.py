@@ -179,7 +179,7 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = ranges or 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))  # several to a task, so tasks are even
     ids = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
     bounds = sorted(set(ids)) if parts > 1 else []
     # a row's bucket: how many bounds are at or below it; ids that equal share a bucket
