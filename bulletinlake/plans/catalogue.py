@@ -212,7 +212,7 @@ def iso_week_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Counts
 
 
-@query("SELECT count(*) AS total, count_if(event_type = 'purchase') AS notified, count(*) - count_if(event_type = 'purchase') AS unnotified FROM events")
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE event_type = 'purchase') AS notified, count(*) - count(*) FILTER (WHERE event_type = 'purchase') AS unnotified FROM events")
 def stats_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.overview(table(spark, sf_dir, "events"), F.col("event_type") == "purchase")
 
@@ -228,7 +228,7 @@ def count_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT source, count(*) AS total, count_if(quality = 1) AS matched, count_if(quality = 0) AS unmatched, count_if(quality IS NULL) AS unmeasured
+    """SELECT source, count(*) AS total, count(*) FILTER (WHERE quality = 1) AS matched, count(*) FILTER (WHERE quality = 0) AS unmatched, count(*) FILTER (WHERE quality IS NULL) AS unmeasured
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source"""
 )
 def conditional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +237,7 @@ def conditional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT count(*) AS total, count_if(value >= 70) AS high, count_if(value >= 30 AND value < 70) AS medium, count_if(value < 30) AS low,
+    """SELECT count(*) AS total, count(*) FILTER (WHERE value >= 70) AS high, count(*) FILTER (WHERE value >= 30 AND value < 70) AS medium, count(*) FILTER (WHERE value < 30) AS low,
 round(coalesce(avg(value), 0), 3) AS average FROM events"""
 )
 def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +246,7 @@ def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events),
-recent AS (SELECT user_id, count(*) AS runs, count_if(event_type = 'purchase') AS ok_runs, round(sum(value), 3) AS amount FROM r WHERE rn <= 7 GROUP BY user_id),
+recent AS (SELECT user_id, count(*) AS runs, count(*) FILTER (WHERE event_type = 'purchase') AS ok_runs, round(sum(value), 3) AS amount FROM r WHERE rn <= 7 GROUP BY user_id),
 ever AS (SELECT user_id, max(CASE WHEN event_type = 'purchase' THEN ts END) AS last_ok FROM events GROUP BY user_id)
 SELECT recent.user_id, runs, ok_runs, amount, last_ok, CASE WHEN last_ok IS NULL THEN 'unreachable' WHEN ok_runs = 0 THEN 'parse_fail'
   WHEN date_diff('day', CAST(last_ok AS DATE), DATE '2024-01-31') >= 14 THEN 'stale' ELSE 'ok' END AS verdict
