@@ -1,0 +1,362 @@
+"""The ten operators against brute force, with nulls, empty and long texts, ties, repeated rows,
+empty tables and clashing extra columns."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+public = pytest.importorskip("public_tokenizers")
+
+from bulletinlake.llm import htmltext, iblt, linededup, packing, pieces, quality, simhash, substring, topk, toxicity  # noqa: E402
+from bulletinlake.llm.components import components  # noqa: E402
+from bulletinlake.llm.shingles import shingle_hashes, words_of  # noqa: E402
+
+DOCS = "doc_id long, text string, TEXT string, source string"
+PROSE = "the quick brown fox jumps over the lazy dog and then it runs far away from the barking hounds of winter"
+
+
+def docs_of(spark, rows):
+    """Documents with an extra column whose name clashes without case."""
+    return spark.createDataFrame([(i, t, "clash", s) for i, t, s in rows], DOCS)
+
+
+def sample(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdeilnorst"), rng.integers(2, 8))) for _ in range(400)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    base = text(120)
+    rows = [(1, base, "a"), (2, base, "a"), (3, base.replace(words[0], "changed"), "b"), (4, None, None), (5, "", "b"), (6, "   \n\t ", "a"), (None, text(30), "a"), (8, text(5), "c"), (8, text(5), "c")]
+    rows += [(20 + i, text(int(rng.integers(1, 200))), "abc"[i % 3]) for i in range(40)]
+    rows += [(90, "x" * 30_000, "a"), (91, "word " * 9000, "a"), (92, base, "a"), (92, base, "a")]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    return sample(spark)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return docs_of(spark, rows)
+
+
+def test_components_settles_on_smallest(spark):
+    edges = [(5, 4), (4, 3), (3, 1), (10, 9), (7, 7), (None, 3), (9, 10)] + [(100 + i, 101 + i) for i in range(40)]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))
+    assert got == {3: 1, 4: 1, 5: 1, 10: 9, **{101 + i: 100 for i in range(40)}}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_simhash_components(spark, docs, rows):
+    got = [tuple(r) for r in simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id").collect()]
+    prints = [(i, simhash.simhash(shingle_hashes(words_of(t), 4)) & (1 << 64) - 1) for i, t, _ in rows]
+    unique = sorted({f for _, f in prints})
+    parent = {f: f for f in unique}
+
+    def find(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    for a in unique:
+        for b in unique:
+            if (a ^ b).bit_count() <= 4:
+                parent[find(a)] = find(b)
+    least = {}
+    for i, f in prints:
+        if i is not None:
+            least[find(f)] = min(least.get(find(f), i), i)
+    assert sorted(got, key=repr) == sorted(((i, f"{f:016x}", least.get(find(f))) for i, f in prints), key=repr)
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_simhash_links_every_pair_within_budget(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 30)
+    near = [int(b) ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(0, 5), replace=False)) for b in base for _ in range(12)]
+    fps = sorted(set(near))
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for crowd in (64, 3):
+        roots = dict(map(tuple, components(simhash.hamming_links(df, crowd=crowd)).collect()))
+        for a in fps:
+            for b in fps:
+                if (a ^ b).bit_count() <= 4:
+                    assert roots.get(a, a) == roots.get(b, b)
+
+
+def test_one_of_each(spark):
+    rows = [(1, PROSE), (2, PROSE), (2, PROSE), (3, "other words entirely here now"), (4, None), (5, ""), (None, "some third text of its own")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 3, 4, None]
+
+
+def brute_lines(rows):
+    strip = " \t\n\x0b\x0c\r"
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    holders = defaultdict(set)
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            key = line.strip(strip).translate(lower)
+            if len(key) >= 20:
+                holders[key].add(i)
+    order = lambda i: -1 if i is None else i
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        left = [x for x in lines if len(h := holders.get(x.strip(strip).translate(lower), set())) < 3 or i == max(h, key=order)]
+        out.append((i, len(lines), len(lines) - len(left), "\n".join(left)))
+    return sorted(out, key=repr)
+
+
+def test_line_dedup(spark):
+    common, short = "A line that many documents share é", "short line"
+    rows = [(i, f"own text number {i} is here\n  {common.upper() if i % 2 else common}\t\n{short}\n{common}") for i in range(60)]
+    rows += [(100, None), (101, ""), (102, "\n\n"), (None, common), (7, "another text of the same id\n" + common), (103, "pair of lines in two docs"), (104, "pair of lines in two docs"), (105, "ÄÖÜ twenty characters")]
+    rows += [(106, "x" * 50_000 + "\n" + common), (106, "x" * 50_000 + "\n" + common)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = linededup.with_kept(docs, linededup.keep_bitmaps(docs)).select("doc_id", "n_lines", "n_dropped", "kept")
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_lines(rows)
+    assert linededup.keep_bitmaps(docs.limit(0)).count() == 0
+    assert linededup.keep_bitmaps(docs_of(spark, [(1, common, "a")])).count() == 0
+
+
+def test_iblt_recovers_differences():
+    rng = np.random.default_rng(1)
+    a = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (0, 1, 40, 900)]
+    b = [np.concatenate((x[: len(x) // 2], rng.integers(0, 2**63, 17).astype(np.uint64))) for x in a]
+    assert iblt.difference_sizes(a, b, 4).tolist() == [len(np.setxor1d(x, y)) for x, y in zip(a, b)]
+    keys, owner, sign, whole = iblt.sketch(a[2:3], 64).minus(iblt.sketch(b[2:3], 64)).peel()
+    assert whole.all() and set(keys[sign > 0].tolist()) == set(a[2].tolist()) - set(b[2].tolist())
+
+
+def test_fingerprints(spark, docs, rows):
+    got = [r.asDict() for r in iblt.fingerprints(docs).collect()]
+    order = sorted(((i, t or "") for i, t, _ in rows), key=lambda r: (-(r[0] if r[0] is not None else -(10**9)), r[1]))
+    want = []
+    for (i, x), (_, y) in zip(order, order[1:] + order[:1]):
+        half = len(x) // 2
+        edited = x[: len(x) - half] + y[:half]
+        sets = [set(iblt.digests(t).tolist()) for t in (x, edited, y)]
+        like = lambda a, b: 1.0 if not a and not b else 1 - len(a ^ b) / (len(a) + len(b))
+        want.append((i, len(x), hashlib.sha256(edited.encode()).hexdigest(), round(like(sets[0], sets[1]), 9), round(like(sets[0], sets[2]), 9)))
+    mine = [(r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got]
+    assert sorted(mine, key=repr) == sorted(want, key=repr)
+    by_text = defaultdict(set)
+    for r in got:
+        by_text[r["doc_id"]].add(r["fingerprint"])
+    assert by_text[1] == by_text[2] == by_text[92] and by_text[4] == by_text[5]
+    assert iblt.fingerprints(docs.limit(0)).count() == 0
+    only = iblt.fingerprints(docs.where("doc_id = 1")).first()
+    assert only["near_next"] == 1.0
+
+
+ODD = ["", "a", " a", "  a  b   c  ", "x▁y", "\n\n a\t", "😀é ﬁ", "<s> </s><unk> <0x0A>", "\x00a", "a" + "▁" * 20 + " b", "a" * 3000, " " * 300, "日本語 テスト", "à́", "a▁", "<|endoftext|> x", None]
+
+
+def test_pieces_equal_the_library(spark, rows):
+    texts = ODD + [t for _, t, _ in rows]
+    df = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    path = public.path("piece_bpe_32k.model")
+    library = pieces.load(path).library
+    got = {r["doc_id"]: r for r in pieces.encode_and_decode(df, path, check="texts").collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_bos=True, add_eos=True)
+        assert np.frombuffer(got[i]["ids"], "<u4").tolist() == ids and got[i]["decoded"] == library.decode(ids)
+    assert pieces.encode_and_decode(df.limit(0), path).count() == 0
+
+
+def test_pieces_forget_without_changing(spark, rows):
+    model = pieces.load(public.path("piece_bpe_32k.model"))
+    run = pieces._encoder(public.path("piece_bpe_32k.model"), 8, "texts")
+    batch = pa.record_batch([pa.array(range(len(rows)), pa.int64()), pa.array([t for _, t, _ in rows], pa.string())], names=["doc_id", "text"])
+    assert sum(b.num_rows for b in run([batch, batch])) == 2 * len(rows)
+    assert model.encode_run("▁" + "ab" * 40) == model._spell(model._merge_long("▁" + "ab" * 40))
+
+
+def test_packing(spark, rows):
+    import tokenizers
+
+    rows = rows + [(200 + i, t, "odd") for i, t in enumerate(ODD)]
+    df = docs_of(spark, rows)
+    got = packing.packed(df).collect()
+    slow = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    want = Counter()
+    for i, t, s in rows:
+        ids = np.array([*slow.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        want[(i, s, len(ids))] += 1
+    assert Counter((r["doc_id"], r["source"], r["doc_tokens"]) for r in got if r["start"] == 0) == want
+    total = sum(k[2] * n for k, n in want.items())
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    sizes = []
+    for _, parts in sorted(sequences.items()):
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        sizes.append(at)
+    assert sum(sizes) == total and all(n == 2048 or n & (n - 1) == 0 for n in sizes) and sizes.count(2048) == total // 2048
+    one = next(r for r in got if r["doc_id"] == 200 + ODD.index("日本語 テスト"))
+    ids = np.array([*slow.encode("日本語 テスト").ids, 1], "<u4")
+    assert one["length"] < len(ids) or one["ids_crc32"] == zlib.crc32(ids.tobytes())
+    assert packing.packed(df.limit(0)).count() == 0
+
+
+def test_packing_keeps_the_mixture(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(["token"] * int(rng.integers(20, 200))), "abcd"[min(3, int(rng.integers(0, 8)) // 2 * (i % 3 > 0))]) for i in range(900)]
+    out = packing.pack(docs_of(spark, rows), public.path("byte_bpe_50k.json"), window=4).collect()
+    total = Counter()
+    windows = defaultdict(Counter)
+    for r in out:
+        total[r["source"]] += r["length"]
+        windows[r["sequence_id"] // 4][r["source"]] += r["length"]
+    n = sum(total.values())
+    full = [w for w in windows.values() if sum(w.values()) == 4 * 2048]
+    assert len(full) == n // (4 * 2048)
+    for w in full:
+        size = sum(w.values())
+        for s in total:
+            assert abs(w[s] / size - total[s] / n) < 0.06
+
+
+def test_both_tokenisers_split_plain_characters_alike():
+    bpe = packing.load(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    plain = [chr(c) for c in range(0x2100) if packing.PLAIN.fullmatch(chr(c))]
+    assert len(plain) > 300
+    for c in plain:
+        t = f"a{c}b {c} {c}{c}1{c}  {c}'s.{c}\n{c}\r\n {c}"
+        assert bpe.fast.encode_ordinary(t) == bpe.slow.encode(t).ids, hex(ord(c))
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
+<header><a href="/">Site</a></header><nav><ul><li><a href="/a">menu</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
+<div><p>Site wide promise to readers</p></div>
+<article><h1>Head {i} &amp; more</h1><p><b>First {i}.<br><p>Second&nbsp;&lt;b&gt;   line {i}<!-- no --></p><ul><li>one {i}<li>two {i}</ul><form><input><button>Go</button></form>
+<div class="comments"><p>reader says</p></div></article><aside>side</aside><footer>&copy; x</footer></body></html>"""
+
+
+def test_html(spark):
+    pages = [(i, f"https://u@Host.example:80/p/{i}", PAGE.format(i=i)) for i in range(30)]
+    pages += [(100, None, None), (101, "x", ""), (102, "https://a.b/", "plain text &eacute;"), (103, "https://a.b/", "<p>cut <b>off</b> at <a hr"), (104, "https://a.b/", "<div>" * 3000 + "deep" + "</div>" * 3000), (105, "https://a.b/", "a < b &unknown; <p>x"), (5, "https://u@Host.example:80/p/5", PAGE.format(i=5))]
+    df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, HTML string")
+    got = defaultdict(list)
+    for r in htmltext.extract(df).collect():
+        got[r["page_id"]].append(r["text"])
+    assert got[3] == ["Head 3 & more\nFirst 3.\nSecond <b> line 3\none 3\ntwo 3"] and len(got[5]) == 2
+    assert got[100] == [""] and got[101] == [""] and got[102] == ["plain text é"] and got[103] == ["cut off at"] and got[104] == ["deep"] and got[105] == ["a < b &unknown;\nx"]
+    assert htmltext.extract(df.limit(0)).count() == 0
+
+
+def test_html_removes_a_sites_template(spark):
+    page = "<body><div><p>Only on this site, every time</p></div><div><p>Story {i} of its own</p></div></body>"
+    many = spark.createDataFrame([(i, f"https://big.example/{i}", page.format(i=i)) for i in range(40)] + [(99, "https://small.example/", page.format(i=99))], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(many).collect()}
+    assert got[7] == "Story 7 of its own" and got[99] == "Only on this site, every time\nStory 99 of its own"
+
+
+def test_toxicity(spark):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdeilnorst"), rng.integers(3, 8))) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 5 == 0
+        ws = list(rng.choice(words, 40)) + (list(rng.choice(["zzgrubba", "zzgrubber", "zzgrubbing", "vilest"], int(rng.integers(1, 5)))) if bad else [])
+        rng.shuffle(ws)
+        rows.append((i, " ".join(ws), "a"))
+        if i % 2 == 0:
+            labels.append((i, int(bad), 9))
+    rows += [(1000, None, "a"), (1001, "", "a"), (None, "vilest zzgrubbest", "a"), (1, rows[1][1], "a")]
+    lab = spark.createDataFrame(labels + [(None, 1, 9), (3, None, 9)], "doc_id long, toxic int, TOXIC int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, lab)
+    got = toxicity.assess(docs, model).collect()
+    assert len(got) == len(rows)
+    assert sum(r["toxic"] != (r["doc_id"] % 5 == 0) for r in got if r["doc_id"] is not None and r["doc_id"] < 600) <= 6
+    assert [r["toxic"] for r in got if r["doc_id"] in (1000, 1001)] == [0, 0]
+    assert list(model.thetas) == sorted(model.thetas)
+    nothing = toxicity.fit(docs, lab.limit(0))
+    assert {r["toxic"] for r in toxicity.assess(docs, nothing).collect()} == {0}
+    assert toxicity.assess(docs.limit(0), model).count() == 0
+
+
+def test_quality(spark):
+    rng = np.random.default_rng(6)
+    rows, labels = [], []
+    for i in range(800):
+        good = i % 3 > 0
+        n = int(rng.integers(5, 80))
+        rows.append((i, " ".join(f"w{int(k)}" if good else "spam&&&" for k in rng.integers(0, 500, n)), "a"))
+        labels.append((i, int(good)))
+    rows += [(2000, None, "a"), (2001, "", "a"), (1, rows[1][1], "a"), (None, "some text", "a")]
+    lab = spark.createDataFrame(labels + [(None, 1), (5, None)], "doc_id long, quality int")
+    got = [r.asDict() for r in quality.score(docs_of(spark, rows), lab).collect()]
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and not math.isnan(r["score"]) for r in got)
+    held = [r for r in got if r["held_out"]]
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in held)
+    assert sum(r["predicted"] == int(r["doc_id"] % 3 > 0) for r in held if r["doc_id"] < 800) >= 0.97 * sum(r["doc_id"] < 800 for r in held)
+    assert {r["score"] for r in quality.score(docs_of(spark, rows[:5]), lab.limit(0)).select("score").collect()} == {1.0}
+    assert quality.score(docs_of(spark, rows).limit(0), lab).count() == 0
+    assert len(quality.statistics(None)) == len(quality.statistics("a b\nc")) == quality.N_STATS
+
+
+def test_isotonic_pools():
+    at, levels = quality.pool(np.array([1.0, 1, 2, 1]), np.array([0.0, 0.8, 0.4, 1.0]), np.arange(4.0))
+    assert levels.tolist() == sorted(levels) and len(levels) == 3
+
+
+def test_substring(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdeilnorst"), rng.integers(2, 8)))
+    text = lambda n: [word() for _ in range(n)]
+    passage, fuzzy = text(70), text(80)
+    variant = list(fuzzy)
+    variant[20], variant[55:56] = "EDIT", []
+    rows = [(i, " ".join([*text(60), *passage, *text(40)])) for i in range(12)]
+    rows += [(50, " ".join([*text(30), *fuzzy])), (51, " ".join([*variant, *text(30)])), (52, " ".join(text(300))), (60, None), (61, ""), (None, " ".join(passage)), (62, "one two"), (63, "und " * 5000), (64, "line one\n" + " ".join(passage) + "\nline two")]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, chains string")
+    got = {r["doc_id"]: r for r in substring.repeated_passages(docs).collect()}
+    whole = " ".join(passage)
+    assert whole in got[0]["kept"] and not got[0]["passages"]
+    for i in range(1, 12):
+        assert [(p["start"], p["words"], p["of"]) for p in got[i]["passages"]] == [(60, 70, 0)] and whole not in got[i]["kept"] and got[i]["n_cut"] == 70
+    assert got[51]["passages"][0]["of"] == 50 and got[51]["n_cut"] == 79
+    for i in (50, 52, 60, 61, None, 62, 63):
+        assert not got[i]["passages"] and got[i]["n_cut"] == 0
+    assert got[64]["kept"] == "line one\nline two" and got[64]["chains"] == "clash"
+    assert substring.repeated_passages(docs.limit(0)).count() == 0
+
+
+def test_chains_follow_both_orders():
+    xs, ys = [0, 10, 20, 30, 40], [100, 110, 5, 120, 130]
+    assert substring.chains(xs, ys, 5, 0.1, 48, 2) == [[(0, 100), (10, 110), (30, 120), (40, 130)]]
+    assert substring.chains([0, 500], [0, 500], 5, 0.001, 48, 1) == [[(500, 500)], [(0, 0)]]
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(0, 0.2, 16).astype("float32").tolist()) for i in range(300)]
+    rows += [(300, rows[0][1]), (300, rows[1][1]), (301, None), (302, [None] * 16), (303, [float("nan")] * 16), (304, [float("inf")] * 16), (305, [0.0] * 16), (306, [0.5] * 3), (None, rows[2][1]), (350, [])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, Embedding string")
+    got = defaultdict(list)
+    for r in topk.top_k(df, "vec_id % 50 = 0", block_rows=64, query_rows=3).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    usable = [(i, np.floor(256 * np.array(v, "float64")).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    usable = [(i, np.pad(v, (0, 16 - len(v)))) for i, v in usable]
+    want = defaultdict(list)
+    for q, v in usable:
+        if q % 50 == 0:
+            best = sorted((-int(v @ w), i) for i, w in usable if i != q)[:5]
+            want[q] += [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v) for q, v in want.items()}
+    assert topk.top_k(df.limit(0), "vec_id % 50 = 0").count() == 0
+    assert topk.top_k(df.where("vec_id = 0"), "vec_id % 50 = 0").count() == 0
