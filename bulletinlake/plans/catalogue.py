@@ -8,10 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dates, text
 from ..operators import linkage, merge, ranking, reconcile, reports, scoring, vectors
-from ..session import table
+from ..operators import sentences as sentence_ops
+from ..session import table, work_dir
+from ..sources import html
+from ..streaming import ingest
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -581,3 +585,85 @@ def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def schema_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").withColumn("c_mktsegment", F.nullif("c_mktsegment", F.lit("BUILDING")))
     return reconcile.schema_problems(rows, "c_custkey", ["c_mktsegment", "c_name"])
+
+
+# Pages, sentences and streams
+
+
+@query()
+def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "pages").select("page_id", html.visible_text(F.col("html")).alias("text"))
+    return found.select("page_id", "text", F.length("text").alias("n_chars"))
+
+
+@query()
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.page_links(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query()
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_ops.sentences(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@query()
+def candidate_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return sentence_ops.candidates(docs, "doc_id", "text", "source", priority="ation|keit|eau|ción")
+
+
+@query()
+def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(sentence_ops.chunks(F.col("text"))).alias("pos", "chunk"))
+
+
+@query(
+    """WITH RECURSIVE o AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem),
+b AS (SELECT l_orderkey, rn, s AS used, 0 AS batch FROM o WHERE rn = 1
+  UNION ALL SELECT o.l_orderkey, o.rn, CASE WHEN b.used > 0 AND b.used + o.s > 60 THEN o.s ELSE b.used + o.s END, b.batch + CASE WHEN b.used > 0 AND b.used + o.s > 60 THEN 1 ELSE 0 END
+  FROM b JOIN o ON o.l_orderkey = b.l_orderkey AND o.rn = b.rn + 1)
+SELECT l_orderkey, CAST(count(DISTINCT batch) AS BIGINT) AS batches, max(used) AS fullest FROM b GROUP BY l_orderkey"""
+)
+def size_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"), F.col("l_quantity").cast("long").alias("size"))
+    dealt = sentence_ops.batches_by_size(lines, "l_orderkey", "pos", "size", 60)
+    sized = lines.join(dealt, ["l_orderkey", "pos"]).groupBy("l_orderkey", "batch").agg(F.sum("size").alias("used"))
+    last = sized.groupBy("l_orderkey").agg(F.count("*").alias("batches"), F.max("used").alias("fullest"))
+    return last
+
+
+def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    # as a pattern, the path may name one file as well as a folder of them
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedupe_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_dir(spark, "dedupe")
+    first = ingest.dedupe(_events_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), ["user_id", "event_type"], "ts", "400 days")
+    run = first.select("user_id", "event_type").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("user_id long, event_type string").parquet(f"{folder}/out")
+
+
+@query(
+    """SELECT user_id, arg_max(event_type, event_id) AS event_type, max(ts) FILTER (WHERE event_id = last) AS ts, CAST(min(CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END) AS INT) AS only_flag
+FROM (SELECT *, max(event_id) OVER (PARTITION BY user_id) AS last FROM events) GROUP BY user_id"""
+)
+def stream_upsert_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_dir(spark, "upsert")
+    schema = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("only_flag", T.IntegerType())])
+    rows = _events_stream(spark, sf_dir).select("user_id", "event_type", "ts", "event_id", F.when(F.col("event_type") == "purchase", 0).otherwise(1).alias("only_flag"))
+    sink = ingest.upsert_sink(f"{folder}/table", schema, ["user_id"], "event_id", ["event_type", "ts"], ratchet=["only_flag"])
+    run = rows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return ingest.latest(spark, f"{folder}/table", schema)
+
+
+@query("SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_week_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the stream's transformation over a static table: the same plan without the watermark's state
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return ingest.calendar_counts(events, "ts", ["event_type"])

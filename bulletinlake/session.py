@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,3 +18,13 @@ def session(app: str = "bulletinlake", **conf: str) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the one that the cluster shares (spark.checkpoint.dir); a temporary one where that is unset."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(shared)
+    return f"{shared.rstrip('/')}/bulletinlake/{uuid.uuid4().hex}/{name}"
