@@ -1,13 +1,14 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
 Encoding keeps an agenda of adjacent symbol pairs whose joined string is a piece, ordered by
-score (best first) and then by position (leftmost first). The best pair merges, its neighbours
-enter the agenda, stale entries are skipped. Symbols left without a piece become byte pieces.
+score (best first) and then by position (leftmost first). The best pair merges and its neighbours
+enter the agenda. Symbols left without a piece become byte pieces. The agendas of many short
+runs are kept side by side in arrays, each round taking the best entry of every run; a long run
+has a heap of its own, in which stale entries are skipped.
 
 White space is written U+2581 with one in front of the text. A vocabulary whose pieces hold
 that sign only as leading run (checked on loading) never merges across the start of such a
-run, so a text is encoded run by run and runs seen lately aren't encoded again. Inside a run
-nothing merges across two neighbours that no piece has side by side, so it falls into parts.
+run, so a text is encoded run by run and runs seen lately aren't encoded again.
 
 Check: each slice of an Arrow batch has the sentencepiece library encode its distinct new runs
 and decode every document's ids; any difference raises. ``check="texts"`` has it encode whole
@@ -25,6 +26,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .scratch import pick
 
 SPACE = "▁"
-SLICE = 256  # documents whose runs are held at a time
+SLICE = 512  # documents whose runs are held at a time
 SHORT, NEVER = 48, float("inf")
 _RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -67,7 +69,6 @@ class PieceModel:
         self.bos, self.eos = sp.bos_id(), sp.eos_id()
         self.ids: dict[str, int] = {}
         self.known: Remembered = Remembered(0)
-        self.parts: Remembered = Remembered(0)
         self.bytes = [0] * 256
         self.out: list[bytes] = []
         for i in range(sp.get_piece_size()):
@@ -83,45 +84,91 @@ class PieceModel:
                 if SPACE in piece.lstrip(SPACE):
                     raise ValueError(f"piece {piece!r} holds a space sign after other characters")
         self.cost = {p: -sp.get_score(i) for p, i in self.ids.items() if len(p) > 1}
-        self.bonds = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self._tables()
+
+    def _tables(self) -> None:
+        """Symbols are pieces, by id, and then characters; pairs that merge are sorted by both symbols."""
+        size = len(self.out)
+        chars = sorted({c for p in self.ids for c in p} - set(self.ids))
+        symbols = self.ids | {c: size + i for i, c in enumerate(chars)}
+        self.base = size + len(chars)  # a character in no piece is base + its code point
+        self.symbol_of = np.arange(0x110000, dtype=np.int64) + self.base
+        for s, i in symbols.items():
+            if len(s) == 1:
+                self.symbol_of[ord(s)] = i
+        merges = [(symbols[p[:i]], symbols[p[i:]], c, self.ids[p]) for p, c in self.cost.items() for i in range(1, len(p)) if p[:i] in symbols and p[i:] in symbols]
+        pairs = np.array([(a << 32) | b for a, b, _, _ in merges], np.int64)
+        order = np.argsort(pairs)
+        self.pairs = np.append(pairs[order], np.iinfo(np.int64).max)
+        self.pair_cost = np.append(np.array([m[2] for m in merges])[order], NEVER)
+        self.pair_piece = np.append(np.array([m[3] for m in merges], np.int64)[order], 0)
+        self.pieces = size
+
+    def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cost and piece of each pair; never, if the two don't merge."""
+        key = (left << 32) | right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.pair_cost[at], NEVER), self.pair_piece[at]
+
+    def encode_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs of up to ``SHORT`` characters, one after the other, and how many each has."""
+        lengths = np.fromiter(map(len, runs), np.int64, len(runs))
+        points = np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), "<u4")
+        sym, run = self.symbol_of[points], np.repeat(np.arange(len(runs)), lengths)
+        cost, piece = np.full(len(sym), NEVER), np.zeros(len(sym), np.int64)
+        if len(sym) > 1:
+            cost[:-1], piece[:-1] = self._look(sym[:-1], sym[1:])
+            cost[:-1][run[:-1] != run[1:]] = NEVER
+        ended: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(sym):
+            starts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+            counts = np.diff(np.append(starts, len(run)))
+            best = np.minimum.reduceat(cost, starts)
+            live = best < NEVER
+            if not live.all():
+                stays = np.repeat(live, counts)
+                ended.append((run[~stays], sym[~stays]))
+                sym, run, cost, piece = sym[stays], run[stays], cost[stays], piece[stays]
+                best, counts = best[live], counts[live]
+                if not len(sym):
+                    break
+            hit = np.flatnonzero(cost == np.repeat(best, counts))
+            at = hit[np.concatenate(([True], run[hit[1:]] != run[hit[:-1]]))]  # the leftmost of each run
+            sym[at] = piece[at]
+            keep = np.ones(len(sym), bool)
+            keep[at + 1] = False
+            cost[at] = cost[at + 1]  # whether another symbol of the run follows is decided below
+            sym, run, cost, piece = sym[keep], run[keep], cost[keep], piece[keep]
+            at -= np.arange(len(at))
+            for i in (at, at - 1):
+                i = i[(i >= 0) & (i + 1 < len(sym))]
+                c, p = self._look(sym[i], sym[i + 1])
+                cost[i], piece[i] = np.where(run[i] == run[i + 1], c, NEVER), p
+            if len(sym):
+                cost[-1] = NEVER
+        if not ended:
+            return np.empty(0, np.int64), lengths
+        run, sym = (np.concatenate(x) for x in zip(*ended))
+        order = np.argsort(run, kind="stable")
+        run, sym = run[order], sym[order]
+        odd = np.flatnonzero(sym >= self.pieces)
+        if len(odd):  # characters without a piece: as their bytes
+            spelt = [list(self._bytes_of(int(x))) for x in sym[odd]]
+            sizes = np.ones(len(sym), np.int64)
+            sizes[odd] = [len(x) for x in spelt]
+            run, wide = np.repeat(run, sizes), np.repeat(sym, sizes)
+            places = np.repeat(np.cumsum(sizes)[odd] - sizes[odd], sizes[odd]) + np.concatenate([np.arange(len(x)) for x in spelt])
+            wide[places] = np.concatenate([np.array(x, np.int64) for x in spelt])
+            sym = wide
+        return sym, np.bincount(run, minlength=len(runs))
+
+    def _bytes_of(self, symbol: int) -> Iterator[int]:
+        point = symbol - self.base if symbol >= self.base else int(np.flatnonzero(self.symbol_of == symbol)[0])
+        return (self.bytes[b] for b in chr(point).encode("utf-8"))
 
     def encode_run(self, run: str) -> list[int]:
-        """Ids of one run, by the agenda of adjacent pairs of each of its parts."""
-        bonds = self.bonds
-        cuts = [i for i in range(1, len(run)) if run[i - 1 : i + 1] not in bonds]
-        if not cuts:
-            return self._encode_part(run)
-        out: list[int] = []
-        at = 0
-        for i in (*cuts, len(run)):
-            out += self._encode_part(run[at:i])
-            at = i
-        return out
-
-    def _encode_part(self, part: str) -> list[int]:
-        ids = self.parts[part]
-        if ids is None:
-            ids = self._spell(self._merge_short(part) if len(part) <= SHORT else self._merge_long(part))
-            self.parts[part] = ids
-        return ids
-
-    def _merge_short(self, run: str) -> list[str]:
-        """The agenda is a list by position: for a few symbols its least entry is found faster than a heap is kept."""
-        cost = self.cost.get
-        parts = list(run)
-        agenda = [cost(run[i : i + 2], NEVER) for i in range(len(run) - 1)]
-        while agenda:
-            best = min(agenda)
-            if best == NEVER:
-                break
-            i = agenda.index(best)
-            parts[i] += parts.pop(i + 1)
-            del agenda[i]
-            if i < len(agenda):
-                agenda[i] = cost(parts[i] + parts[i + 1], NEVER)
-            if i:
-                agenda[i - 1] = cost(parts[i - 1] + parts[i], NEVER)
-        return parts
+        """Ids of one run, by the agenda of adjacent pairs."""
+        return self.encode_runs([run])[0].tolist() if len(run) <= SHORT else self._spell(self._merge_long(run))
 
     def _merge_long(self, run: str) -> list[str]:
         cost = self.cost.get
@@ -190,21 +237,29 @@ def load(path: str) -> PieceModel:
 def _encoder(path: str, remember: int, check: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        known, parts = model.known, model.parts  # kept by the worker from task to task
-        known.most, parts.most = remember, remember // 4
+        known = model.known  # kept by the worker from task to task
+        known.most = remember
         begin, end = np.array([model.bos], "<u4").tobytes(), np.array([model.eos], "<u4").tobytes()
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             texts = [t or "" for t in batch["text"].to_pylist()]
             split = [model.runs(t) for t in texts]
-            known.age(), parts.age()
+            known.age()
             new = list({r for runs in split for r in runs if known[r] is None})
-            wanted = model.library.encode([r[1:].replace(SPACE, " ") for r in new], num_threads=1) if new else []
-            for r, ids in zip(new, wanted):
-                own = model.encode_run(r)
-                # the library is given runs without their first sign, and has no ids for no text
-                if own != ids and r != SPACE:
-                    raise AssertionError(f"the library has {r!r} as {ids}, the agenda as {own}")
-                known[r] = np.array(own, "<u4").tobytes()
+            short = [r for r in new if len(r) <= SHORT]
+            ids, sizes = model.encode_runs(short)
+            raw, ends = ids.astype("<u4").tobytes(), np.cumsum(4 * sizes).tolist()
+            for r, a, b in zip(short, [0, *ends], ends):
+                known[r] = raw[a:b]
+            for r in new:
+                if len(r) > SHORT:
+                    known[r] = np.array(model.encode_run(r), "<u4").tobytes()
+            # the library is given runs without their first sign, and has no ids for no text
+            asked = [r for r in new if r != SPACE]
+            wanted = model.library.encode([r[1:].replace(SPACE, " ") for r in asked], num_threads=1) if asked else []
+            theirs = np.fromiter(chain.from_iterable(wanted), "<u4").tobytes()
+            if b"".join([known[r] for r in asked]) != theirs or [len(known[r]) // 4 for r in asked] != list(map(len, wanted)):
+                r, w = next((r, w) for r, w in zip(asked, wanted) if np.frombuffer(known[r], "<u4").tolist() != w)
+                raise AssertionError(f"the library has {r!r} as {w}, the agenda as {np.frombuffer(known[r], '<u4').tolist()}")
             rows = []
             for doc_id, text, runs in zip(batch["doc_id"].to_pylist(), texts, split):
                 raw = b"".join([begin, *[known[r] for r in runs], end])
