@@ -18,6 +18,11 @@ Where many different fingerprints share a key (large groups of near copies), tho
 apart are linked first through groups of two (the fingerprint with one bit cleared); the join
 then gives only pairs that are not yet in one component.
 
+The operator can also link documents by a stated similarity of their shingle sets: pairs within a
+wider budget are found the same way, with more and shorter segments, and an exact check of the
+sets follows. That budget bounds what it can find; 12 of 64 bits holds nearly all pairs of a
+Jaccard similarity of 0.8.
+
 Nulls: a null doc_id is kept with its fingerprint and gets the component of its fingerprint's
 group (null if no id is known there). Repeated rows give repeated results. Other columns of
 the input are ignored. An empty table gives an empty result.
@@ -104,39 +109,84 @@ def _within(boxes: int, budget: int, chain: int) -> str:
     return f"case l.start {' '.join(cases)} end"
 
 
+def hamming_pairs(labelled: DataFrame, budget: int, boxes: int, chain: int) -> DataFrame:
+    """``labelled(fp, label)`` to the pairs ``(u, v)`` of fingerprints within ``budget`` bits whose labels differ."""
+    if not 0 <= budget < 2 * boxes or not 1 <= chain <= boxes:
+        raise ValueError("the budget must be under twice the number of segments, the chain within it")
+    index = stash(_ring(labelled.select("fp", "label"), boxes, chain).selectExpr("start", "rot", f"bits * {boxes} + start as key", "bits", "fp", "label"), "ring")
+    widths = _widths(boxes)
+    masks = [chain_masks([widths[(i + j) % boxes] for j in range(chain)], budget, boxes) for i in range(boxes)]
+    every = "array(" + ", ".join("array(" + ", ".join(f"{m}L" for m in of) + ")" for of in masks) + ")"
+    # of two keys that differ, the one with the highest differing bit set looks for the other
+    probes = index.selectExpr("start", "rot", "fp", "label", "bits", f"explode(element_at({every}, start + 1)) as mask").where("mask = 0 or (bits & ~(bits ^ mask)) > ((bits ^ mask) & ~bits)").selectExpr("start", "rot", "fp", "label", f"(bits ^ mask) * {boxes} + start as key", "mask")
+    pairs = probes.alias("l").join(index.alias("r"), F.expr(f"l.key = r.key and l.label <> r.label and (l.mask <> 0 or l.fp < r.fp) and {_within(boxes, budget, chain)}"))
+    return pairs.select(F.col("l.fp").alias("u"), F.col("r.fp").alias("v"))
+
+
 def hamming_links(fps: DataFrame, budget: int = 4, boxes: int = 5, chain: int = 2, crowd: int = 64) -> DataFrame:
     """Distinct ``fps(fp)`` to edges ``(u, v)`` with the same components as all pairs within budget.
 
     Keys of more than ``crowd`` fingerprints are crowded: their members are first linked one
     bit apart, and pairs already in one component are left out.
     """
-    if not 0 <= budget < 2 * boxes or not 1 <= chain <= boxes:
-        raise ValueError("the budget must be under twice the number of segments, the chain within it")
-    ring = _ring(fps.select("fp"), boxes, chain).selectExpr("fp", f"bits * {boxes} + start as key")
-    crowded = ring.groupBy("key").count().where(F.col("count") > crowd)
-    members = ring.join(crowded, "key", "left_semi").select("fp").distinct()
+    crowded = _ring(fps.select("fp"), boxes, chain).selectExpr("fp", f"bits * {boxes} + start as key")
+    members = crowded.join(crowded.groupBy("key").count().where(F.col("count") > crowd), "key", "left_semi").select("fp").distinct()
     cleared = members.selectExpr("fp", "explode(sequence(0, 63)) as bit").selectExpr("fp", "bit", "fp & ~shiftleft(1L, bit) as rest")
     near = cleared.groupBy("bit", "rest").agg(F.min("fp").alias("u"), F.max("fp").alias("v")).where("u <> v").select("u", "v") if budget else members.selectExpr("fp as u", "fp as v").limit(0)
     near = stash(near, "near")
-    known = stash(components(near), "known")
+    return hamming_pairs(_labelled(fps, components(near)), budget, boxes, chain).union(near)
 
-    named = fps.join(known, fps.fp == known.node, "left").select("fp", F.coalesce("root", "fp").alias("label"))
-    labelled = stash(_ring(named, boxes, chain).selectExpr("start", "rot", f"bits * {boxes} + start as key", "bits", "fp", "label"), "labelled")
-    widths = _widths(boxes)
-    masks = [chain_masks([widths[(i + j) % boxes] for j in range(chain)], budget, boxes) for i in range(boxes)]
-    every = "array(" + ", ".join("array(" + ", ".join(f"{m}L" for m in of) + ")" for of in masks) + ")"
-    # of two keys that differ, the one with the highest differing bit set looks for the other
-    probes = labelled.selectExpr("start", "rot", "fp", "label", "bits", f"explode(element_at({every}, start + 1)) as mask").where("mask = 0 or (bits & ~(bits ^ mask)) > ((bits ^ mask) & ~bits)").selectExpr("start", "rot", "fp", "label", f"(bits ^ mask) * {boxes} + start as key", "mask")
-    pairs = probes.alias("l").join(labelled.alias("r"), F.expr(f"l.key = r.key and l.label <> r.label and (l.mask <> 0 or l.fp < r.fp) and {_within(boxes, budget, chain)}"))
-    return pairs.select(F.col("l.fp").alias("u"), F.col("r.fp").alias("v")).union(near)
 
+def _labelled(fps: DataFrame, roots: DataFrame) -> DataFrame:
+    """``fps`` with ``label``, the root of each fingerprint (itself, if it has none)."""
+    return fps.join(roots, fps.fp == roots.node, "left").select(*fps.columns, F.coalesce("root", "fp").alias("label"))
+
+
+def similar_links(docs: DataFrame, fps: DataFrame, roots: DataFrame, similarity: float, k: int, budget: int, boxes: int, chain: int) -> DataFrame:
+    """Edges ``(u, v)`` between fingerprints of different roots, within the wider ``budget`` of bits,
+    whose documents' sets of k-word shingles have at least the Jaccard ``similarity``.
+
+    ``fps(fp, least, text_hash)`` names a document of each fingerprint, looked up in ``docs``.
+    """
+    pairs = stash(hamming_pairs(_labelled(fps, roots), budget, boxes, chain).distinct(), "wide")
+    named = pairs.join(fps.selectExpr("fp as u", "least as a", "text_hash as x"), "u").join(fps.selectExpr("fp as v", "least as b", "text_hash as y"), "v")
+    named = stash(named, "named_pairs")
+    wanted = stash(named.selectExpr("explode(array(struct(a as id, x as hash), struct(b as id, y as hash))) as d").selectExpr("d.id", "d.hash").distinct(), "wanted")
+
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(words_of(t), k)).tobytes() for t in texts], dtype=object)
 
-def near_duplicates(docs: DataFrame, k: int = 4, budget: int = 4, boxes: int = 5, chain: int = 2) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, fingerprint, component_id, text_hash)``, one row each."""
+    rows = pick(docs, doc_id="doc_id", text="text").withColumn("hash", F.xxhash64("text"))
+    held = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["id"]) & (rows["hash"] == wanted["hash"]), "left_semi").dropDuplicates(["doc_id", "hash"])
+    held = stash(held.select("doc_id", "hash", F.pandas_udf(sets, "binary")("text").alias("set")), "sets")
+
+    def alike(one: pd.Series, two: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(one, two):
+            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            shared = len(np.intersect1d(p, q, assume_unique=True))
+            out.append(shared / max(1, len(p) + len(q) - shared))
+        return pd.Series(out, dtype="float64")
+
+    left, right = held.selectExpr("doc_id as a", "hash as x", "set as s"), held.selectExpr("doc_id as b", "hash as y", "set as t")
+    joined = named.alias("n").join(left.alias("l"), F.expr("n.a <=> l.a and n.x = l.x")).join(right.alias("r"), F.expr("n.b <=> r.b and n.y = r.y"))
+    return joined.where(F.pandas_udf(alike, "double")("s", "t") >= similarity).select("u", "v")
+
+
+def near_duplicates(docs: DataFrame, k: int = 4, budget: int = 4, boxes: int = 5, chain: int = 2, similarity: float | None = None, set_k: int = 5, wide: tuple[int, int, int] = (12, 13, 2)) -> DataFrame:
+    """``docs(doc_id, text)`` to ``(doc_id, fingerprint, component_id, text_hash)``, one row each.
+
+    With ``similarity``, fingerprints within a wider budget (``wide``: budget, segments, chain) are
+    linked too if the documents' ``set_k``-word shingles have that Jaccard similarity.
+    """
     rows = pick(docs, doc_id="doc_id", text="text")
     marked = stash(rows.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprint_column("text", k).alias("fp")), "marked")
-    fps = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    roots = components(hamming_links(fps, budget, boxes, chain))
+    fps = stash(marked.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("d"), F.min("doc_id").alias("least")).selectExpr("fp", "least", "d.doc_id as named", "d.text_hash"), "fps")
+    links = hamming_links(fps, budget, boxes, chain)
+    if similarity is not None:
+        links = stash(links, "links")
+        links = links.union(similar_links(docs, fps.selectExpr("fp", "named as least", "text_hash"), components(links), similarity, set_k, *wide))
+    roots = components(links)
     rooted = stash(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     named = stash(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"), "named")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
@@ -144,8 +194,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, budget: int = 4, boxes: int = 5
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs(doc_id, text, ...)`` so that one document of each component stays: that of the
-    smallest doc_id (of rows that share it, the one of the smallest text hash, once)."""
-    found = near_duplicates(docs, **options)
+    smallest doc_id (of rows that share it, the one of the smallest text hash, once). Documents of
+    a similarity of 0.8 or more in five-word shingles are near copies here, whatever their bits."""
+    found = near_duplicates(docs, **{"similarity": 0.8} | options)
     group = ["component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_alone")]
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(*group).agg(F.min("text_hash").alias("_hash")).select(F.col("component_id").alias("_id"), "_hash")
     first = stash(first, "first")
