@@ -145,15 +145,20 @@ def sketch(lists: list[np.ndarray], widths: int | np.ndarray) -> Field:
     return field
 
 
-def difference_sizes(a: list[np.ndarray], b: list[np.ndarray], width: int) -> np.ndarray:
-    """How many digests only one of each two documents holds, by peeling, larger on failure."""
+def difference_sizes(a: list[np.ndarray], b: list[np.ndarray], width: int, made: tuple[Field, Field] | None = None) -> np.ndarray:
+    """How many digests only one of each two documents holds, by peeling, larger on failure.
+
+    ``made``: the sketches of that width, if they are at hand.
+    """
     both = np.array([len(x) + len(y) for x, y in zip(a, b)], np.int64)
     out = np.zeros(len(a), np.int64)
     todo = np.arange(len(a))
     widths = np.full(len(a), width, np.int64)
     while len(todo):
-        mine, theirs = [a[i] for i in todo], [b[i] for i in todo]
-        _, owner, _, whole = sketch(mine, widths[todo]).minus(sketch(theirs, widths[todo])).peel()
+        if made is None:
+            made = tuple(sketch([x[i] for i in todo], widths[todo]) for x in (a, b))
+        _, owner, _, whole = made[0].minus(made[1]).peel()
+        made = None
         sizes = np.bincount(owner, minlength=len(todo))
         out[todo[whole]] = sizes[whole]
         todo = todo[~whole]
@@ -166,9 +171,9 @@ def difference_sizes(a: list[np.ndarray], b: list[np.ndarray], width: int) -> np
     return out
 
 
-def likeness(a: list[np.ndarray], b: list[np.ndarray], width: int) -> np.ndarray:
+def likeness(a: list[np.ndarray], b: list[np.ndarray], width: int, made: tuple[Field, Field] | None = None) -> np.ndarray:
     both = np.array([len(x) + len(y) for x, y in zip(a, b)], np.float64)
-    differ = difference_sizes(a, b, width)
+    differ = difference_sizes(a, b, width, made)
     return np.where(both > 0, (both - differ) / np.maximum(both, 1), 1.0)
 
 
@@ -206,15 +211,21 @@ def _follow(width: int, batch_rows: int = 256):
             for _, text, nxt in rows:
                 half = len(text) // 2
                 edited.append(text[: len(text) - half] + nxt[:half])
-            mine, theirs, other = ([digests(t) for t in ts] for ts in ([r[1] for r in rows], edited, [r[2] for r in rows]))
+            own: dict[str, np.ndarray] = {}  # a row's next text is mostly the next row's own
+            for r in rows:
+                for t in r[1:]:
+                    if t not in own:
+                        own[t] = digests(t)
+            mine, theirs, other = [own[r[1]] for r in rows], [digests(t) for t in edited], [own[r[2]] for r in rows]
+            fields = [sketch(x, width) for x in (mine, theirs, other)]
             cols = [
                 pa.array([r[0] for r in rows], pa.int64()),
                 pa.array([len(r[1]) for r in rows], pa.int64()),
                 pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in edited], pa.string()),
-                pa.array(sketch(mine, width).strings(), pa.string()),
-                pa.array(sketch(theirs, width).strings(), pa.string()),
-                pa.array(likeness(mine, theirs, width), pa.float64()),
-                pa.array(likeness(mine, other, width), pa.float64()),
+                pa.array(fields[0].strings(), pa.string()),
+                pa.array(fields[1].strings(), pa.string()),
+                pa.array(likeness(mine, theirs, width, (fields[0], fields[1])), pa.float64()),
+                pa.array(likeness(mine, other, width, (fields[0], fields[2])), pa.float64()),
             ]
             return pa.record_batch(cols, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
