@@ -5,7 +5,7 @@ Vocabularies are parameters; the defaults below are those that the rules are def
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -43,6 +43,12 @@ ELIGIBILITY_QUOTES = (
 AMOUNT_QUOTES = (r"(최대\s*\d[\d,]*\s*(?:억|천만|백만|만)?\s*원)", r"(\d[\d,]*\s*(?:억|천만|백만|만)\s*원)", r"(\d[\d,]*\s*원\s*(?:이내|한도|지원))")
 
 
+def let(values: Mapping[str, Column], body: Callable[[Column], Column]) -> Column:
+    """``body`` of a struct of the values, each of which is computed once however often it is used."""
+    row = F.struct(*[v.alias(k) for k, v in values.items()])
+    return F.get(F.transform(F.array(row), body), F.lit(0))
+
+
 def _bounded(names: Sequence[str], regions: Mapping[str, Sequence[str]], broad: Sequence[str]) -> str:
     """A pattern of names that end where a region may end: at a boundary, a suffix or another region."""
     others = [*(n for ns in regions.values() for n in ns), *broad]
@@ -54,7 +60,7 @@ def region_of(text: Column, regions: Mapping[str, Sequence[str]] = REGIONS, broa
     """The only region named, else a broad one, else null."""
     found = F.array_compact(F.array(*[F.when(text.rlike(_bounded(names, regions, broad)), F.lit(shown)) for shown, names in regions.items()]))
     wide = F.coalesce(*[F.when(text.rlike(_bounded([b], regions, broad)), F.lit(b)) for b in broad])
-    return F.when(F.size(found) == 1, F.get(found, F.lit(0))).otherwise(wide)
+    return let({"found": found}, lambda v: F.when(F.size(v["found"]) == 1, F.get(v["found"], F.lit(0))).otherwise(wide))
 
 
 def infer_region(title: Column, **vocabulary) -> Column:
@@ -62,7 +68,7 @@ def infer_region(title: Column, **vocabulary) -> Column:
     groups = F.filter(bracket_groups(title), lambda g: ~g.rlike(VENUE_WORDS))
     named = F.filter(F.transform(groups, lambda g: region_of(g, **vocabulary)), lambda r: r.isNotNull())
     rest = collapse(F.regexp_replace(strip_brackets(title), VENUE_CONTEXT, " "))
-    return F.coalesce(F.get(named, F.lit(0)), region_of(rest, **vocabulary))
+    return let({"rest": rest}, lambda v: F.coalesce(F.get(named, F.lit(0)), region_of(v["rest"], **vocabulary)))
 
 
 def target_tags(text: Column) -> Column:
@@ -91,36 +97,45 @@ class Verdict:
 
 def classify(title: Column, summary: Column, source: Column, pool: Sequence[str] = COUNCIL_SOURCES) -> Column:
     """struct(verdict, reason, matched, tags, region, pin_section) of a notice by an ordered rule list."""
-    t, s = normalise_title(title), normalise_title(summary)
-    text = F.trim(F.concat_ws(" ", t, s))
-    relevance = F.concat(hits(text, FOREST), hits(text, IDENTITY))
-    relevant = F.size(relevance) > 0
-    institution = F.when(relevant, hits(t, INSTITUTION)).otherwise(hits(t, [w for w in INSTITUTION if w not in BARE_INSTITUTION]))
-    opportunity, noise, first, consumer = hits(t, OPPORTUNITY), hits(t, NOISE), hits(t, INSTITUTION_FIRST), hits(t, CONSUMER)
-    tags = target_tags(text)
-    some = lambda a: F.size(a) > 0
-    why = lambda text, a: F.concat(F.lit(text), F.get(a, F.lit(0)))
-    pin = F.when(some(first), "notice").when(some(opportunity), "apply").otherwise("notice")
     none = F.array().cast("array<string>")
-    rules = [
-        (Verdict("exclude", ~F.coalesce(source.isin(*pool), F.lit(False)) & ~holds_any(t, IDENTITY), F.lit("협의회 소스 풀 외"), shows=False), none),
-        (Verdict("hold", some(noise) & relevant & (some(opportunity) | some(institution)), why("노이즈 의심: ", noise), pin), F.concat(relevance, noise)),
-        (Verdict("exclude", some(noise), why("노이즈: ", noise), shows=False), noise),
-        (Verdict("exclude", ~relevant, F.lit("관련성 없음"), shows=False), none),
-        (Verdict("hold", ~some(tags), F.lit("대상 태그 없음"), pin, shows=False), relevance),
-        (Verdict("notice", some(first), why("제도: ", first)), F.concat(relevance, institution)),
-        (Verdict("hold", some(opportunity) & some(consumer) & ~holds_any(t, BUSINESS), why("참가자 모집(B2C): ", consumer), F.lit("apply")), F.concat(relevance, opportunity, consumer)),
-        (Verdict("apply", some(opportunity), why("기회: ", opportunity)), F.concat(relevance, opportunity)),
-        (Verdict("notice", some(institution), why("제도: ", institution)), F.concat(relevance, institution)),
-    ]
-    region = infer_region(title)
-    end = F.struct(F.lit("hold").alias("verdict"), F.lit("섹션 판정 불명").alias("reason"), relevance.alias("matched"), tags.alias("tags"), region.alias("region"), F.lit("notice").alias("pin_section"))
-    out = end
-    for rule, matched in reversed(rules):
-        shown = (tags, region) if rule.shows else (none, F.lit(None).cast("string"))
-        row = F.struct(F.lit(rule.name).alias("verdict"), rule.reason.alias("reason"), matched.alias("matched"), shown[0].alias("tags"), shown[1].alias("region"), (rule.pin if rule.pin is not None else F.lit(None).cast("string")).alias("pin_section"))
-        out = F.when(rule.condition, row).otherwise(out)
-    return out
+
+    def words(a: Column) -> Column:
+        text = F.trim(F.concat_ws(" ", a["t"], a["s"]))
+        return let({"t": a["t"], "text": text}, lambda v: let({"t": v["t"], "forest": hits(v["text"], FOREST), "identity": hits(v["text"], IDENTITY), "tags": target_tags(v["text"]), "region": infer_region(v["t"])}, found))
+
+    def found(v: Column) -> Column:
+        t = v["t"]
+        held = {"relevance": F.concat(v["forest"], v["identity"]), "opportunity": hits(t, OPPORTUNITY), "institution": hits(t, INSTITUTION), "noise": hits(t, NOISE), "first": hits(t, INSTITUTION_FIRST), "consumer": hits(t, CONSUMER)}
+        flags = {"known": holds_any(t, IDENTITY), "business": holds_any(t, BUSINESS), "tags": v["tags"], "region": v["region"]}
+        return let(held | flags, judged)
+
+    def judged(v: Column) -> Column:
+        relevance, opportunity, noise, first, consumer, tags, region = (v[k] for k in ("relevance", "opportunity", "noise", "first", "consumer", "tags", "region"))
+        some = lambda a: F.size(a) > 0
+        why = lambda text, a: F.concat(F.lit(text), F.get(a, F.lit(0)))
+        relevant = some(relevance)
+        bare = F.array(*[F.lit(w) for w in BARE_INSTITUTION])
+        institution = F.when(relevant, v["institution"]).otherwise(F.array_except(v["institution"], bare))
+        pin = F.when(some(first), "notice").when(some(opportunity), "apply").otherwise("notice")
+        rules = [
+            (Verdict("exclude", ~F.coalesce(source.isin(*pool), F.lit(False)) & ~v["known"], F.lit("협의회 소스 풀 외"), shows=False), none),
+            (Verdict("hold", some(noise) & relevant & (some(opportunity) | some(institution)), why("노이즈 의심: ", noise), pin), F.concat(relevance, noise)),
+            (Verdict("exclude", some(noise), why("노이즈: ", noise), shows=False), noise),
+            (Verdict("exclude", ~relevant, F.lit("관련성 없음"), shows=False), none),
+            (Verdict("hold", ~some(tags), F.lit("대상 태그 없음"), pin, shows=False), relevance),
+            (Verdict("notice", some(first), why("제도: ", first)), F.concat(relevance, institution)),
+            (Verdict("hold", some(opportunity) & some(consumer) & ~v["business"], why("참가자 모집(B2C): ", consumer), F.lit("apply")), F.concat(relevance, opportunity, consumer)),
+            (Verdict("apply", some(opportunity), why("기회: ", opportunity)), F.concat(relevance, opportunity)),
+            (Verdict("notice", some(institution), why("제도: ", institution)), F.concat(relevance, institution)),
+        ]
+        out = F.struct(F.lit("hold").alias("verdict"), F.lit("섹션 판정 불명").alias("reason"), relevance.alias("matched"), tags.alias("tags"), region.alias("region"), F.lit("notice").alias("pin_section"))
+        for rule, matched in reversed(rules):
+            shown = (tags, region) if rule.shows else (none, F.lit(None).cast("string"))
+            row = F.struct(F.lit(rule.name).alias("verdict"), rule.reason.alias("reason"), matched.alias("matched"), shown[0].alias("tags"), shown[1].alias("region"), (rule.pin if rule.pin is not None else F.lit(None).cast("string")).alias("pin_section"))
+            out = F.when(rule.condition, row).otherwise(out)
+        return out
+
+    return let({"t": normalise_title(title), "s": normalise_title(summary)}, words)
 
 
 def quoted(text: Column, patterns: Sequence[str], otherwise: str = "원문 확인") -> Column:
