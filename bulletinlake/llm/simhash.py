@@ -30,10 +30,12 @@ the input are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,18 +101,73 @@ def _within(boxes: int, budget: int, chain: int) -> str:
     the start.
     """
     widths = _widths(boxes)
-    cases = []
-    for i in range(boxes):
-        tests = []
-        for n in range(chain + 1, boxes + 1):
-            bits = sum(widths[(i + j) % boxes] for j in range(n))
-            tests.append(f"bit_count(shiftrightunsigned(l.rot ^ r.rot, {64 - bits})) <= {n * budget // boxes}" if bits < 64 else f"bit_count(l.rot ^ r.rot) <= {budget}")
-        cases.append(f"when {i} then {' and '.join(tests or ['true'])}")
-    return f"case l.start {' '.join(cases)} end"
+    tests = []
+    for n in range(chain + 1, boxes):
+        shifts = ", ".join(str(64 - sum(widths[(i + j) % boxes] for j in range(n))) for i in range(boxes))
+        tests.append(f"bit_count(shiftrightunsigned(l.rot ^ r.rot, element_at(array({shifts}), l.start + 1))) <= {n * budget // boxes}")
+    return " and ".join([*tests, f"bit_count(l.rot ^ r.rot) <= {budget}"])
+
 
+def _compare(budget: int, boxes: int, chain: int, block: int = 1 << 20):
+    """Rows sorted by (key, far) to pairs: each key's probes against its index rows, in blocks.
 
-def hamming_pairs(labelled: DataFrame, budget: int, boxes: int, chain: int) -> DataFrame:
-    """``labelled(fp, label)`` to the pairs ``(u, v)`` of fingerprints within ``budget`` bits whose labels differ."""
+    Index rows have far -1; probes 0 if their own key is meant (then only smaller fingerprints
+    look), else 1.
+    """
+    widths = _widths(boxes)
+    starts = np.cumsum([0, *widths]).tolist()
+    steps = [[(sum(widths[(i + j) % boxes] for j in range(n)), n * budget // boxes) for n in range(chain + 1, boxes + 1)] for i in range(boxes)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, held = None, []
+        for b in batches:
+            key, far = (b[c].to_numpy(zero_copy_only=False) for c in ("key", "far"))
+            fp, label = (b[c].to_numpy(zero_copy_only=False) for c in ("fp", "label"))
+            if not len(key):
+                continue
+            cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | ((far[1:] < 0) != (far[:-1] < 0)))))
+            us, vs = [], []
+            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)]):
+                k = int(key[i])
+                if k != held_key:
+                    held_key, held = k, []
+                if far[i] < 0:
+                    held.append((fp[i:j], label[i:j]))
+                    continue
+                if not held:
+                    continue
+                if len(held) > 1:
+                    held = [tuple(np.concatenate(x) for x in zip(*held))]
+                other, theirs = held[0]
+                at = starts[k % boxes]
+                turn = (lambda x: (x << np.uint64(at)) | (x >> np.uint64(64 - at))) if at else (lambda x: x)
+                ring = turn(other.view(np.uint64))
+                size = max(1, block // len(other))
+                for a in range(i, j, size):
+                    z = min(j, a + size)
+                    x = turn(fp[a:z].view(np.uint64))[:, None] ^ ring[None, :]
+                    bits, most = steps[k % boxes][0]
+                    l, r = np.nonzero(np.bitwise_count(x >> np.uint64(64 - bits)) <= most)
+                    x = x[l, r]
+                    for bits, most in steps[k % boxes][1:]:
+                        ok = np.bitwise_count(x >> np.uint64(64 - bits)) <= most
+                        l, r, x = l[ok], r[ok], x[ok]
+                    mine = fp[a:z][l]
+                    ok = (label[a:z][l] != theirs[r]) & ((far[a:z][l] > 0) | (mine < other[r]))
+                    if ok.any():
+                        us.append(mine[ok])
+                        vs.append(other[r][ok])
+            if us:
+                yield pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
+    return run
+
+
+def hamming_pairs(labelled: DataFrame, budget: int, boxes: int, chain: int, dense: bool = False) -> DataFrame:
+    """``labelled(fp, label)`` to the pairs ``(u, v)`` of fingerprints within ``budget`` bits whose labels differ.
+
+    ``dense``: keys have many rows each (short chains), so they are compared in numpy blocks.
+    """
     if not 0 <= budget < 2 * boxes or not 1 <= chain <= boxes:
         raise ValueError("the budget must be under twice the number of segments, the chain within it")
     index = stash(_ring(labelled.select("fp", "label"), boxes, chain).selectExpr("start", "rot", f"bits * {boxes} + start as key", "bits", "fp", "label"), "ring")
@@ -119,6 +176,10 @@ def hamming_pairs(labelled: DataFrame, budget: int, boxes: int, chain: int) -> D
     every = "array(" + ", ".join("array(" + ", ".join(f"{m}L" for m in of) + ")" for of in masks) + ")"
     # of two keys that differ, the one with the highest differing bit set looks for the other
     probes = index.selectExpr("start", "rot", "fp", "label", "bits", f"explode(element_at({every}, start + 1)) as mask").where("mask = 0 or (bits & ~(bits ^ mask)) > ((bits ^ mask) & ~bits)").selectExpr("start", "rot", "fp", "label", f"(bits ^ mask) * {boxes} + start as key", "mask")
+    if dense:
+        parts = max(1, int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        rows = index.selectExpr("key", "-1 as far", "fp", "label").union(probes.selectExpr("key", "int(mask <> 0) as far", "fp", "label"))
+        return rows.repartition(parts, "key").sortWithinPartitions("key", "far").mapInArrow(_compare(budget, boxes, chain), "u long, v long")
     pairs = probes.alias("l").join(index.alias("r"), F.expr(f"l.key = r.key and l.label <> r.label and (l.mask <> 0 or l.fp < r.fp) and {_within(boxes, budget, chain)}"))
     return pairs.select(F.col("l.fp").alias("u"), F.col("r.fp").alias("v"))
 
@@ -148,7 +209,7 @@ def similar_links(docs: DataFrame, fps: DataFrame, roots: DataFrame, similarity:
 
     ``fps(fp, least, text_hash)`` names a document of each fingerprint, looked up in ``docs``.
     """
-    pairs = stash(hamming_pairs(_labelled(fps, roots), budget, boxes, chain).distinct(), "wide")
+    pairs = stash(hamming_pairs(_labelled(fps, roots), budget, boxes, chain, dense=True).distinct(), "wide")
     named = pairs.join(fps.selectExpr("fp as u", "least as a", "text_hash as x"), "u").join(fps.selectExpr("fp as v", "least as b", "text_hash as y"), "v")
     named = stash(named, "named_pairs")
     wanted = stash(named.selectExpr("explode(array(struct(a as id, x as hash), struct(b as id, y as hash))) as d").selectExpr("d.id", "d.hash").distinct(), "wanted")

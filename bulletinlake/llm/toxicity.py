@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, n_features:
     share = min(1.0, fit_rows / n_labels)
     marked = marked.where(F.pmod(F.xxhash64("_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = pick(docs, doc_id="doc_id", text="text")
-    fitted = stash(rows.join(marked, rows["doc_id"] == marked["_id"]).select("doc_id", "text", "toxic").dropDuplicates(["text", "toxic"]), "fitted")
+    fitted = stash(rows.join(marked, rows["doc_id"] == marked["_id"]).groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id")), "fitted")
     totals = fitted.agg(F.count("*"), F.sum("toxic")).first()
     n, n_toxic = totals[0], totals[1] or 0
     if not n_toxic or n_toxic == n:
