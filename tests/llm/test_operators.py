@@ -92,6 +92,31 @@ def test_simhash_links_every_pair_within_budget(spark):
                     assert roots.get(a, a) == roots.get(b, b)
 
 
+def test_wide_pairs_are_all_found_either_way(spark):
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**63, 12)
+    fps = sorted({int(b) ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(0, 9), replace=False)) for b in base for _ in range(8)})
+    df = spark.createDataFrame([(f, f) for f in fps], "fp long, label long")
+    want = {frozenset((a, b)) for a in fps for b in fps if a != b and (a ^ b).bit_count() <= 12}
+    for dense in (False, True):
+        got = {frozenset((r["u"], r["v"])) for r in simhash.hamming_pairs(df, 12, 13, 2, dense).collect()}
+        assert got == want
+
+
+def test_near_copies_of_some_similarity(spark):
+    rng = np.random.default_rng(13)
+    words = ["".join(rng.choice(list("abcdeilnorst"), rng.integers(2, 8))) for _ in range(900)]
+    first = list(rng.choice(words, 300))
+    close, far = list(first), list(first)
+    for i in (40, 120, 260):
+        close[i] = "edited"
+    for i in range(0, 300, 12):
+        far[i] = "edited"
+    rows = [(1, " ".join(first)), (2, " ".join(close)), (3, " ".join(far)), (4, " ".join(rng.choice(words, 300))), (5, None)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
 def test_one_of_each(spark):
     rows = [(1, PROSE), (2, PROSE), (2, PROSE), (3, "other words entirely here now"), (4, None), (5, ""), (None, "some third text of its own")]
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
