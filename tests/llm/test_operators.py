@@ -367,6 +367,16 @@ def test_chains_follow_both_orders():
     assert substring.chains([0, 500], [0, 500], 5, 0.001, 48, 1) == [[(500, 500)], [(0, 0)]]
 
 
+def test_substring_parts_passages_of_one_chain(spark):
+    new = iter(range(100_000))
+    fresh = lambda n: " ".join(f"w{next(new)}" for _ in range(n))
+    one, two, short = fresh(50), fresh(50), fresh(10)
+    rows = [(1, f"{fresh(20)} {one} {fresh(30)} {two} {fresh(20)}"), (2, f"{fresh(9)} {one} {fresh(30)} {two} {fresh(9)}")]
+    rows += [(3, f"{(three := fresh(50))} {fresh(30)} {short}"), (4, f"{three} {fresh(30)} {short}")]
+    got = {r["doc_id"]: [(p["start"], p["words"], p["of"]) for p in r["passages"]] for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), window=4).collect()}
+    assert got == {1: [], 2: [(9, 50, 1), (89, 50, 1)], 3: [], 4: [(0, 50, 3)]}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(9)
     rows = [(i, rng.normal(0, 0.2, 16).astype("float32").tolist()) for i in range(300)]
