@@ -377,6 +377,18 @@ def test_substring_parts_passages_of_one_chain(spark):
     assert got == {1: [], 2: [(9, 50, 1), (89, 50, 1)], 3: [], 4: [(0, 50, 3)]}
 
 
+def test_substring_finds_partners_behind_a_decoy(spark):
+    new = iter(range(100_000))
+    fresh = lambda n: [f"v{next(new)}" for _ in range(n)]
+    passage = fresh(60)
+    decoy = [w for i in range(0, 56, 5) for w in (*passage[i : i + 5], *fresh(60))]
+    decoy += [w for i in range(56) for w in (*passage[i : i + 5], *fresh(60))]  # each single five-gram
+    rows = [(1, decoy), (2, fresh(20) + passage + fresh(20)), (3, fresh(30) + passage + fresh(10)), (4, passage)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r["doc_id"]: [(p["start"], p["words"], p["of"]) for p in r["passages"]] for r in substring.repeated_passages(docs).collect()}
+    assert got == {1: [], 2: [], 3: [(30, 60, 2)], 4: [(0, 60, 2)]}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(9)
     rows = [(i, rng.normal(0, 0.2, 16).astype("float32").tolist()) for i in range(300)]
