@@ -1,10 +1,11 @@
 """Main text of web pages: site template removal by subtree hashes, then block text.
 
 Each page is read into an element tree. The subtrees of its elements (tag, text and children)
-are hashed; Spark counts on how many pages of a host each hash occurs, and subtrees found on
-at least ``min_pages`` pages and ``share`` of the host's pages are the site's template and are
-deleted. Inside an article or main element a subtree must be on ``inner_share`` of the pages,
-so passages that a site's articles share stay. Elements that are boilerplate by tag, role or
+are hashed; Spark counts on how many different pages of a host each hash occurs (copies of a page
+are one), and subtrees found on at least ``min_pages`` of them and ``share`` of the host's are the
+site's template and are deleted. Inside the article (or what stands for it, below) a subtree must be
+on ``inner_share`` of the pages, so passages that a site's articles share stay; the counts of one
+place delete nothing in the other. Elements that are boilerplate by tag, role or
 class (menus, headers and footers outside the article, sidebars, notices, adverts, forms,
 comments, scripts, styles) are deleted on any page, also where a host has few pages.
 
@@ -17,7 +18,7 @@ a host's template can have is bounded by the share. Pages and their template has
 so a host with a third of all pages isn't one task's.
 
 Nulls: null html is empty and gives ''; a null or relative url has host ''. Repeated rows count
-as pages of their own and give repeated results. Other columns are ignored; an empty table gives
+as one page and give repeated results. Other columns are ignored; an empty table gives
 an empty result.
 """
 
@@ -146,14 +147,15 @@ def boilerplate(node: Node, inside: bool) -> bool:
 
 
 def subtrees(root: Node) -> list[tuple[Node, int, bool]]:
-    """Every element with text, its hash and whether it is inside an article or main element."""
+    """Every element with text, its hash and whether it is inside the container that gives the text."""
+    top, inner = _content(root, set())
     found: list[tuple[Node, int, bool]] = []
     order: list[tuple[Node, bool]] = []
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
         order.append((node, inside))
-        deeper = inside or node.tag in ("article", "main")
+        deeper = inside or (inner and node is top)
         stack.extend((k, deeper) for k in node.kids if isinstance(k, Node))
     hashes: dict[int, tuple[int, bool]] = {}
     for node, inside in reversed(order):
@@ -169,7 +171,7 @@ def subtrees(root: Node) -> list[tuple[Node, int, bool]]:
                 text = text or has
                 h.update(f"\x01{of:x}")
         hashes[id(node)] = (h.intdigest(), text)
-        if text and node.tag not in ("#root", "html", "body", "article", "main"):
+        if text and node.tag not in ("#root", "html", "body", "article", "main") and not (inner and node is top):
             found.append((node, h.intdigest() - (1 << 63), inside))
     return found
 
@@ -237,9 +239,10 @@ def text_of(root: Node, gone: set[int]) -> str:
     return "\n".join(blocks)
 
 
-def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
+def main_text(page: str | None, template: frozenset[tuple[int, bool]] | set[tuple[int, bool]] = frozenset()) -> str:
+    """``template``: hashes of subtrees, each with the place (inside the container or not) where it is template."""
     root = parse(page or "")
-    gone = {id(n) for n, h, _ in subtrees(root) if h in template} if template else set()
+    gone = {id(n) for n, h, inside in subtrees(root) if (h, inside) in template} if template else set()
     return text_of(root, gone)
 
 
@@ -247,28 +250,31 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for page_id, tx, host, page in zip(*[batch[c].to_pylist() for c in ("page_id", "tx", "host", "html")]):
-            seen = {(h, inside) for _, h, inside in subtrees(parse(page or ""))}
-            rows.append((page_id, tx, host, [{"hash": h, "inside": i} for h, i in seen]))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("hash", pa.int64()), ("inside", pa.bool_())])))
-        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["page_id", "tx", "host", "seen"])
+            found = subtrees(parse(page or ""))
+            seen = {(h, inside) for _, h, inside in found}
+            whole = xxhash.xxh64("".join(f"{h:x}{inside:d}" for _, h, inside in found)).intdigest() - (1 << 63)
+            rows.append((page_id, tx, host, whole, [{"hash": h, "inside": i} for h, i in seen]))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct([("hash", pa.int64()), ("inside", pa.bool_())])))
+        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["page_id", "tx", "host", "content", "seen"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(p, set(t or ())) for p, t in zip(batch["html"].to_pylist(), batch["template"].to_pylist())]
+        texts = [main_text(p, {(x["hash"], x["inside"]) for x in t or ()}) for p, t in zip(batch["html"].to_pylist(), batch["template"].to_pylist())]
         yield pa.record_batch([batch["page_id"], batch["url"], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame, min_pages: int = 20, share: float = 0.5, inner_share: float = 0.8) -> DataFrame:
     """``pages(page_id, url, html)`` to ``(page_id, url, text)``."""
     rows = pick(pages, page_id="page_id", url="url", html="html").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64("url", "html").alias("tx"), F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)).alias("host"))
-    seen = stash(rows.mapInArrow(_hashes, "page_id long, tx long, host string, seen array<struct<hash: long, inside: boolean>>"), "subtrees")
+    seen = stash(rows.mapInArrow(_hashes, "page_id long, tx long, host string, content long, seen array<struct<hash: long, inside: boolean>>"), "subtrees")
     each = seen.select("page_id", "tx", "host", F.explode("seen").alias("s")).select("page_id", "tx", "host", "s.hash", "s.inside")
-    sizes = seen.groupBy("host").agg(F.count("*").alias("pages"))
-    counted = each.groupBy("host", "hash", "inside").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    contents = seen.groupBy("host", "content").agg(F.first("seen").alias("seen"))
+    sizes = contents.groupBy("host").agg(F.count("*").alias("pages"))
+    counted = contents.select("host", F.explode("seen").alias("s")).select("host", "s.hash", "s.inside").groupBy("host", "hash", "inside").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     common = counted.join(sizes, "host").where(F.col("n") >= F.col("pages") * F.when(F.col("inside"), inner_share).otherwise(share))
     template = stash(common.select("host", "hash", "inside"), "template")
-    own = each.join(template, ["host", "hash", "inside"], "left_semi").groupBy("page_id", "tx").agg(F.collect_set("hash").alias("template"))
+    own = each.join(template, ["host", "hash", "inside"], "left_semi").groupBy("page_id", "tx").agg(F.collect_set(F.struct("hash", "inside")).alias("template"))
     own = own.select(F.col("page_id").alias("_id"), F.col("tx").alias("_tx"), "template")
     joined = rows.join(own, rows["page_id"].eqNullSafe(own["_id"]) & (rows["tx"] == own["_tx"]), "left").select("page_id", "url", "html", "template")
     return joined.mapInArrow(_texts, "page_id long, url string, text string")

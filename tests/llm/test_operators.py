@@ -289,6 +289,18 @@ def test_html_removes_a_sites_template(spark):
     assert got[7] == "Story 7 of its own" and got[99] == "Only on this site, every time\nStory 99 of its own"
 
 
+def test_html_counts_each_place_and_content_by_itself(spark):
+    menu = "<body><div><a>Sports</a></div><article><p>Story {i} in {word}</p></article></body>"
+    rows = [(i, f"https://menu.example/{i}", menu.format(i=i, word="<a>Sports</a>" if i == 3 else "brief")) for i in range(30)]
+    copied = "<body><div class='content'><p>One story, copied</p><p>to the end</p></div></body>"
+    other = "<body><div class='content'><p>Other story {i}</p></div></body>"
+    rows += [(100 + i, f"https://copies.example/{i}", copied if i < 36 else other.format(i=i)) for i in range(40)]
+    many = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(many).collect()}
+    assert got[3] == "Story 3 in Sports" and got[4] == "Story 4 in brief"
+    assert got[100] == "One story, copied\nto the end" and got[139] == "Other story 39"
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(4)
     words = ["".join(rng.choice(list("abcdeilnorst"), rng.integers(3, 8))) for _ in range(300)]
