@@ -2,9 +2,9 @@
 
 Each page is read into an element tree. The subtrees of its elements (tag, text and children)
 are hashed; Spark counts on how many different pages of a host each hash occurs (copies of a page
-are one), and subtrees found on at least ``min_pages`` of them and ``share`` of the host's are the
-site's template and are deleted. Inside the article (or what stands for it, below) a subtree must be
-on ``inner_share`` of the pages, so passages that a site's articles share stay; the counts of one
+are one), and subtrees found on at least ``outer_pages`` of them are the site's template and are
+deleted. Inside the article (or what stands for it, below) a subtree must be on ``min_pages`` pages
+and ``inner_share`` of the host's, so passages that a site's articles share stay; the counts of one
 place delete nothing in the other. Elements that are boilerplate by tag, role or
 class (menus, headers and footers outside the article, sidebars, notices, adverts, forms,
 comments, scripts, styles) are deleted on any page, also where a host has few pages.
@@ -13,8 +13,7 @@ From what is left the article (else main, else the largest content container, el
 gives its text: character references decoded, white space inside a block one space, blocks
 trimmed, empty ones left out, joined in page order by ``\\n``.
 
-Scale: pages meet only as (host, hash) rows, counted with partial aggregation; how many hashes
-a host's template can have is bounded by the share. Pages and their template hashes join by page,
+Scale: pages meet only as (host, hash) rows, counted with partial aggregation. Pages and their template hashes join by page,
 so a host with a third of all pages isn't one task's.
 
 Nulls: null html is empty and gives ''; a null or relative url has host ''. Repeated rows count
@@ -264,15 +263,15 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch["page_id"], batch["url"], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-def extract(pages: DataFrame, min_pages: int = 20, share: float = 0.5, inner_share: float = 0.8) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 20, outer_pages: int = 5, inner_share: float = 0.8) -> DataFrame:
     """``pages(page_id, url, html)`` to ``(page_id, url, text)``."""
     rows = pick(pages, page_id="page_id", url="url", html="html").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64("url", "html").alias("tx"), F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)).alias("host"))
     seen = stash(rows.mapInArrow(_hashes, "page_id long, tx long, host string, content long, seen array<struct<hash: long, inside: boolean>>"), "subtrees")
     each = seen.select("page_id", "tx", "host", F.explode("seen").alias("s")).select("page_id", "tx", "host", "s.hash", "s.inside")
     contents = seen.groupBy("host", "content").agg(F.first("seen").alias("seen"))
     sizes = contents.groupBy("host").agg(F.count("*").alias("pages"))
-    counted = contents.select("host", F.explode("seen").alias("s")).select("host", "s.hash", "s.inside").groupBy("host", "hash", "inside").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    common = counted.join(sizes, "host").where(F.col("n") >= F.col("pages") * F.when(F.col("inside"), inner_share).otherwise(share))
+    counted = contents.select("host", F.explode("seen").alias("s")).select("host", "s.hash", "s.inside").groupBy("host", "hash", "inside").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(F.col("inside"), min_pages).otherwise(outer_pages))
+    common = counted.join(sizes, "host").where(~F.col("inside") | (F.col("n") >= F.col("pages") * inner_share))
     template = stash(common.select("host", "hash", "inside"), "template")
     own = each.join(template, ["host", "hash", "inside"], "left_semi").groupBy("page_id", "tx").agg(F.collect_set(F.struct("hash", "inside")).alias("template"))
     own = own.select(F.col("page_id").alias("_id"), F.col("tx").alias("_tx"), "template")

@@ -301,6 +301,16 @@ def test_html_counts_each_place_and_content_by_itself(spark):
     assert got[100] == "One story, copied\nto the end" and got[139] == "Other story 39"
 
 
+def test_html_removes_what_few_pages_of_a_host_share(spark):
+    page = "<body>{box}<div><p>Story {i} of its own</p></div></body>"
+    box = "<div>Partner of the week</div>"
+    rows = [(i, f"https://large.example/{i}", page.format(i=i, box=box if i < 6 else "")) for i in range(60)]
+    rows += [(100 + i, f"https://little.example/{i}", page.format(i=i, box=box)) for i in range(7)]
+    rows += [(200 + i, f"https://once.example/{i}", page.format(i=i, box=box if i < 2 else "")) for i in range(7)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Story 3 of its own" and got[104] == "Story 4 of its own" and got[200] == "Partner of the week\nStory 0 of its own"
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(4)
     words = ["".join(rng.choice(list("abcdeilnorst"), rng.integers(3, 8))) for _ in range(300)]
