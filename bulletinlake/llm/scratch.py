@@ -1,7 +1,8 @@
 """Cutting lineage: Parquet tables in the folder that driver and executors share.
 
-The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests on
-one machine) a temporary folder is taken and set as the session's checkpoint folder.
+The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset and
+the master is local (tests on one machine) a temporary folder is taken and set as the session's
+checkpoint folder; on a cluster an unset folder is an error, since executors couldn't see the driver's.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BUCKETS = 1 << 20  # of ids, to leave out rows that nobody asks for
 _written: dict[str, list[str]] = {}
 
 
@@ -19,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -56,12 +60,28 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     Works on tables with extra or clashing columns (``text`` and ``TEXT``, or a name twice:
     the first counts), where a plain ``select`` would be ambiguous.
     """
-    names = df.columns
-    where = {}
-    for new, old in columns.items():
-        hits = [i for i, n in enumerate(names) if n == old] or [i for i, n in enumerate(names) if n.lower() == old.lower()]
-        if not hits:
-            raise ValueError(f"no column {old!r} among {names}")
-        where[new] = hits[0]
-    plain = df.toDF(*[f"_{i}" for i in range(len(names))])
-    return plain.select(*[F.col(f"_{i}").alias(new) for new, i in where.items()])
+    plain, names = numbered(df)
+    return plain.select(*[F.col(place_of(names, old)).alias(new) for new, old in columns.items()])
+
+
+def asked_for(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """``rows`` whose doc_id may be one of ``ids(name)``: by buckets of them, at most ``BUCKETS`` rows to broadcast."""
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    wanted = ids.select(bucket(name).alias("__bucket")).distinct()
+    return rows.join(F.broadcast(wanted), bucket("doc_id") == wanted["__bucket"], "left_semi")
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns renamed ``_0``, ``_1``, ... and its own names, to put back with ``toDF``.
+
+    Joins on such a frame can't be ambiguous, whatever its columns are called.
+    """
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]), df.columns
+
+
+def place_of(names: list[str], name: str) -> str:
+    """The numbered name of the column ``name`` (exactly, else the first that matches without case)."""
+    hits = [i for i, n in enumerate(names) if n == name] or [i for i, n in enumerate(names) if n.lower() == name.lower()]
+    if not hits:
+        raise ValueError(f"no column {name!r} among {names}")
+    return f"_{hits[0]}"

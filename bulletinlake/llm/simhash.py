@@ -18,10 +18,8 @@ Where many different fingerprints share a key (large groups of near copies), tho
 apart are linked first through groups of two (the fingerprint with one bit cleared); the join
 then gives only pairs that are not yet in one component.
 
-The operator can also link documents by a stated similarity of their shingle sets: pairs within a
-wider budget are found the same way, with more and shorter segments, and an exact check of the
-sets follows. That budget bounds what it can find; 12 of 64 bits holds nearly all pairs of a
-Jaccard similarity of 0.8.
+The operator can also link documents by a stated similarity of their shingle sets, whatever their
+fingerprints: ``setjoin`` finds these links exactly and joins them to those of the fingerprints.
 
 Nulls: a null doc_id is kept with its fingerprint and gets the component of its fingerprint's
 group (null if no id is known there). Repeated rows give repeated results. Other columns of
@@ -30,17 +28,16 @@ the input are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import pick, stash
+from .scratch import numbered, pick, place_of, stash
+from .setjoin import SHARE, class_of, similar_links
 from .shingles import shingle_hashes, words_of
 
 _CHUNK = 1 << 18
@@ -108,66 +105,8 @@ def _within(boxes: int, budget: int, chain: int) -> str:
     return " and ".join([*tests, f"bit_count(l.rot ^ r.rot) <= {budget}"])
 
 
-def _compare(budget: int, boxes: int, chain: int, block: int = 1 << 20):
-    """Rows sorted by (key, far) to pairs: each key's probes against its index rows, in blocks.
-
-    Index rows have far -1; probes 0 if their own key is meant (then only smaller fingerprints
-    look), else 1.
-    """
-    widths = _widths(boxes)
-    starts = np.cumsum([0, *widths]).tolist()
-    steps = [[(sum(widths[(i + j) % boxes] for j in range(n)), n * budget // boxes) for n in range(chain + 1, boxes + 1)] for i in range(boxes)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held = None, []
-        for b in batches:
-            key, far = (b[c].to_numpy(zero_copy_only=False) for c in ("key", "far"))
-            fp, label = (b[c].to_numpy(zero_copy_only=False) for c in ("fp", "label"))
-            if not len(key):
-                continue
-            cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | ((far[1:] < 0) != (far[:-1] < 0)))))
-            us, vs = [], []
-            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)]):
-                k = int(key[i])
-                if k != held_key:
-                    held_key, held = k, []
-                if far[i] < 0:
-                    held.append((fp[i:j], label[i:j]))
-                    continue
-                if not held:
-                    continue
-                if len(held) > 1:
-                    held = [tuple(np.concatenate(x) for x in zip(*held))]
-                other, theirs = held[0]
-                at = starts[k % boxes]
-                turn = (lambda x: (x << np.uint64(at)) | (x >> np.uint64(64 - at))) if at else (lambda x: x)
-                ring = turn(other.view(np.uint64))
-                size = max(1, block // len(other))
-                for a in range(i, j, size):
-                    z = min(j, a + size)
-                    x = turn(fp[a:z].view(np.uint64))[:, None] ^ ring[None, :]
-                    bits, most = steps[k % boxes][0]
-                    l, r = np.nonzero(np.bitwise_count(x >> np.uint64(64 - bits)) <= most)
-                    x = x[l, r]
-                    for bits, most in steps[k % boxes][1:]:
-                        ok = np.bitwise_count(x >> np.uint64(64 - bits)) <= most
-                        l, r, x = l[ok], r[ok], x[ok]
-                    mine = fp[a:z][l]
-                    ok = (label[a:z][l] != theirs[r]) & ((far[a:z][l] > 0) | (mine < other[r]))
-                    if ok.any():
-                        us.append(mine[ok])
-                        vs.append(other[r][ok])
-            if us:
-                yield pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
-
-    return run
-
-
-def hamming_pairs(labelled: DataFrame, budget: int, boxes: int, chain: int, dense: bool = False) -> DataFrame:
-    """``labelled(fp, label)`` to the pairs ``(u, v)`` of fingerprints within ``budget`` bits whose labels differ.
-
-    ``dense``: keys have many rows each (short chains), so they are compared in numpy blocks.
-    """
+def hamming_pairs(labelled: DataFrame, budget: int, boxes: int, chain: int) -> DataFrame:
+    """``labelled(fp, label)`` to the pairs ``(u, v)`` of fingerprints within ``budget`` bits whose labels differ."""
     if not 0 <= budget < 2 * boxes or not 1 <= chain <= boxes:
         raise ValueError("the budget must be under twice the number of segments, the chain within it")
     index = stash(_ring(labelled.select("fp", "label"), boxes, chain).selectExpr("start", "rot", f"bits * {boxes} + start as key", "bits", "fp", "label"), "ring")
@@ -176,10 +115,6 @@ def hamming_pairs(labelled: DataFrame, budget: int, boxes: int, chain: int, dens
     every = "array(" + ", ".join("array(" + ", ".join(f"{m}L" for m in of) + ")" for of in masks) + ")"
     # of two keys that differ, the one with the highest differing bit set looks for the other
     probes = index.selectExpr("start", "rot", "fp", "label", "bits", f"explode(element_at({every}, start + 1)) as mask").where("mask = 0 or (bits & ~(bits ^ mask)) > ((bits ^ mask) & ~bits)").selectExpr("start", "rot", "fp", "label", f"(bits ^ mask) * {boxes} + start as key", "mask")
-    if dense:
-        parts = max(1, int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        rows = index.selectExpr("key", "-1 as far", "fp", "label").union(probes.selectExpr("key", "int(mask <> 0) as far", "fp", "label"))
-        return rows.repartition(parts, "key").sortWithinPartitions("key", "far").mapInArrow(_compare(budget, boxes, chain), "u long, v long")
     pairs = probes.alias("l").join(index.alias("r"), F.expr(f"l.key = r.key and l.label <> r.label and (l.mask <> 0 or l.fp < r.fp) and {_within(boxes, budget, chain)}"))
     return pairs.select(F.col("l.fp").alias("u"), F.col("r.fp").alias("v"))
 
@@ -203,66 +138,60 @@ def _labelled(fps: DataFrame, roots: DataFrame) -> DataFrame:
     return fps.join(roots, fps.fp == roots.node, "left").select(*fps.columns, F.coalesce("root", "fp").alias("label"))
 
 
-def similar_links(docs: DataFrame, fps: DataFrame, roots: DataFrame, similarity: float, k: int, budget: int, boxes: int, chain: int) -> DataFrame:
-    """Edges ``(u, v)`` between fingerprints of different roots, within the wider ``budget`` of bits,
-    whose documents' sets of k-word shingles have at least the Jaccard ``similarity``.
-
-    ``fps(fp, least, text_hash)`` names a document of each fingerprint, looked up in ``docs``.
-    """
-    pairs = stash(hamming_pairs(_labelled(fps, roots), budget, boxes, chain, dense=True).distinct(), "wide")
-    named = pairs.join(fps.selectExpr("fp as u", "least as a", "text_hash as x"), "u").join(fps.selectExpr("fp as v", "least as b", "text_hash as y"), "v")
-    named = stash(named, "named_pairs")
-    wanted = stash(named.selectExpr("explode(array(struct(a as id, x as hash), struct(b as id, y as hash))) as d").selectExpr("d.id", "d.hash").distinct(), "wanted")
-
-    def sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(words_of(t), k)).tobytes() for t in texts], dtype=object)
-
-    rows = pick(docs, doc_id="doc_id", text="text").withColumn("hash", F.xxhash64("text"))
-    held = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["id"]) & (rows["hash"] == wanted["hash"]), "left_semi").dropDuplicates(["doc_id", "hash"])
-    held = stash(held.select("doc_id", "hash", F.pandas_udf(sets, "binary")("text").alias("set")), "sets")
-
-    def alike(one: pd.Series, two: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(one, two):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            shared = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(shared / max(1, len(p) + len(q) - shared))
-        return pd.Series(out, dtype="float64")
-
-    left, right = held.selectExpr("doc_id as a", "hash as x", "set as s"), held.selectExpr("doc_id as b", "hash as y", "set as t")
-    joined = named.alias("n").join(left.alias("l"), F.expr("n.a <=> l.a and n.x = l.x")).join(right.alias("r"), F.expr("n.b <=> r.b and n.y = r.y"))
-    return joined.where(F.pandas_udf(alike, "double")("s", "t") >= similarity).select("u", "v")
-
-
-def near_duplicates(docs: DataFrame, k: int = 4, budget: int = 4, boxes: int = 5, chain: int = 2, similarity: float | None = None, set_k: int = 5, wide: tuple[int, int, int] = (12, 13, 2)) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 4, budget: int = 4, boxes: int = 5, chain: int = 2, similarity: float | None = None, set_k: int = 5) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, fingerprint, component_id, text_hash)``, one row each.
 
-    With ``similarity``, fingerprints within a wider budget (``wide``: budget, segments, chain) are
-    linked too if the documents' ``set_k``-word shingles have that Jaccard similarity.
+    With ``similarity``, documents whose sets of ``set_k``-word shingles have that Jaccard similarity
+    are linked too, whatever their bits (see ``setjoin``).
     """
     rows = pick(docs, doc_id="doc_id", text="text")
-    marked = stash(rows.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprint_column("text", k).alias("fp")), "marked")
-    fps = stash(marked.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("d"), F.min("doc_id").alias("least")).selectExpr("fp", "least", "d.doc_id as named", "d.text_hash"), "fps")
+    own = ["doc_id", F.xxhash64("text").alias("text_hash")]
+    if similarity is None:
+        marked = rows.select(*own, fingerprint_column("text", k).alias("fp"))
+    else:
+        marked = rows.select(*own, _marks("text", k, set_k).alias("m")).select("doc_id", "text_hash", "m.*")
+    marked = stash(marked, "marked")
+    fps = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
     links = hamming_links(fps, budget, boxes, chain)
     if similarity is not None:
-        links = stash(links, "links")
-        links = links.union(similar_links(docs, fps.selectExpr("fp", "named as least", "text_hash"), components(links), similarity, set_k, *wide))
+        one = F.min(F.struct("doc_id", "text_hash"))
+        classes = stash(marked.groupBy("class").agg(F.first("size").alias("size"), F.first("part").alias("part"), F.min("fp").alias("node"), one.alias("d")).selectExpr("class", "size", "part", "node", "d.doc_id", "d.text_hash"), "classes")
+        same = marked.join(classes.select("class", "node"), "class").where("size > 0 and fp <> node").selectExpr("fp as u", "node as v").distinct()
+        links = similar_links(docs, classes, stash(links.union(same), "links"), similarity, set_k)
     roots = components(links)
     rooted = stash(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     named = stash(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"), "named")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
 
 
+def _marks(text, k: int, set_k: int):
+    """The fingerprint and, of the set of ``set_k``-word shingles, name, size and how many are in the sampled share."""
+
+    @F.pandas_udf("fp long, class long, size int, part int")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            words = words_of(t)
+            own = np.unique(shingle_hashes(words, set_k))
+            rows.append((simhash(shingle_hashes(words, k)), class_of(own), len(own), int((own % SHARE == 0).sum())))
+        return pd.DataFrame(rows, columns=["fp", "class", "size", "part"]).astype({"fp": "int64", "class": "int64", "size": "int32", "part": "int32"})
+
+    return of(text)
+
+
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs(doc_id, text, ...)`` so that one document of each component stays: that of the
     smallest doc_id (of rows that share it, the one of the smallest text hash, once). Documents of
-    a similarity of 0.8 or more in five-word shingles are near copies here, whatever their bits."""
+    a similarity of 0.8 or more in five-word shingles are near copies here, whatever their bits.
+    Rows of null doc_id stay, one for each text, where no row with an id is in their component."""
     found = near_duplicates(docs, **{"similarity": 0.8} | options)
     group = ["component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_alone")]
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(*group).agg(F.min("text_hash").alias("_hash")).select(F.col("component_id").alias("_id"), "_hash")
     first = stash(first, "first")
-    same = docs["doc_id"].eqNullSafe(first["_id"]) & (F.xxhash64(docs["text"]) == first["_hash"])
-    return docs.join(first, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    rows, names = numbered(docs)
+    doc_id, text = (place_of(names, c) for c in ("doc_id", "text"))
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
+    return rows.join(first, same, "left_semi").dropDuplicates([doc_id, text]).toDF(*names)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

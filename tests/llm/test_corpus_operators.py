@@ -14,7 +14,7 @@ import pytest
 
 public = pytest.importorskip("public_tokenizers")
 
-from bulletinlake.llm import htmltext, iblt, linededup, packing, pieces, quality, simhash, substring, topk, toxicity  # noqa: E402
+from bulletinlake.llm import htmltext, iblt, linededup, packing, pieces, quality, setjoin, simhash, substring, topk, toxicity  # noqa: E402
 from bulletinlake.llm.components import components  # noqa: E402
 from bulletinlake.llm.shingles import shingle_hashes, words_of  # noqa: E402
 
@@ -92,15 +92,66 @@ def test_simhash_links_every_pair_within_budget(spark):
                     assert roots.get(a, a) == roots.get(b, b)
 
 
-def test_wide_pairs_are_all_found_either_way(spark):
-    rng = np.random.default_rng(11)
-    base = rng.integers(0, 2**63, 12)
-    fps = sorted({int(b) ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(0, 9), replace=False)) for b in base for _ in range(8)})
-    df = spark.createDataFrame([(f, f) for f in fps], "fp long, label long")
-    want = {frozenset((a, b)) for a in fps for b in fps if a != b and (a ^ b).bit_count() <= 12}
-    for dense in (False, True):
-        got = {frozenset((r["u"], r["v"])) for r in simhash.hamming_pairs(df, 12, 13, 2, dense).collect()}
-        assert got == want
+def components_of(pairs):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    return {x: find(x) for x in list(parent)}
+
+
+def test_similar_sets_are_linked_as_by_all_pairs(spark):
+    rng = np.random.default_rng(21)
+    words = ["".join(rng.choice(list("abcdeilnorst"), rng.integers(2, 7))) for _ in range(700)]
+    text = lambda n: list(rng.choice(words, n))
+    common = text(14)
+    base = text(150)
+    texts = [" ".join(common + text(int(rng.integers(3, 90)))) for _ in range(60)]  # a line that many texts share
+    for _ in range(120):  # a large group of near copies, some of them beyond the similarity
+        copy = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 9)), replace=False):
+            copy[at : at + 1] = text(int(rng.integers(0, 3)))
+        texts.append(" ".join(copy))
+    texts += [" ".join(base)] * 4 + ["", None, "one", "two words", "one", " ".join(base[:130]), " ".join(text(2) * 3000)]
+    for n in (5, 6, 9, 10, 20, 45):
+        some = text(n)
+        texts += [" ".join(some), " ".join(some + text(1)), " ".join(text(1) + some)]
+    rows = list(enumerate(texts))
+    for similarity in (0.8, 0.6):
+        sets = {i: set(setjoin.shingle_set(t, 5).tolist()) for i, t in rows}
+        prints = {i: simhash.simhash(shingle_hashes(words_of(t), 4)) & (1 << 64) - 1 for i, t in rows}
+        pairs = [(i, i) for i, _ in rows]
+        for i in sets:
+            for j in range(i):
+                shared = len(sets[i] & sets[j])
+                if (prints[i] ^ prints[j]).bit_count() <= 4 or shared and shared >= similarity * (len(sets[i] | sets[j])) - 1e-9:
+                    pairs.append((i, j))
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similarity=similarity).collect()}
+        assert got == components_of(pairs)
+
+
+def test_runs_of_shared_shingles_over_partitions(spark):
+    rng = np.random.default_rng(22)
+    rows = sorted({(int(h), int(c)) for h, c in zip(rng.integers(0, 40, 3000) ** 2 % 60, rng.integers(0, 900, 3000))} | {(7, c) for c in range(500)})
+    holders = Counter(h for h, _ in rows)
+    for cuts in ([], [1, 2, 300, 301, 1500], [len(rows) // 2]):
+        seen, totals = [], Counter()
+        for a, z in zip([0, *cuts], [*cuts, len(rows)]):
+            part = [r for r in rows[a:z] for _ in range(1 + r[1] % 2)]  # some classes came from two tasks
+            batches = [pa.record_batch([pa.array([r[0] for r in part[i : i + 70]], pa.int64()), pa.array([r[1] for r in part[i : i + 70]], pa.int64()), pa.array([9] * len(part[i : i + 70]), pa.int32())], names=["hash", "class", "size"]) for i in range(0, len(part), 70)]
+            for b in setjoin._runs(chunk=100)(iter(batches)):
+                for r in b.to_pylist():
+                    if r["kind"] == setjoin.SUMMARY:
+                        totals[r["hash"]] += r["freq"]
+                    else:
+                        seen.append(r)
+        got = sorted((r["hash"], r["class"], totals[r["hash"]] if r["kind"] == setjoin.OPEN else r["freq"]) for r in seen)
+        assert [g for g in got if g[2] > 1] == [(h, c, holders[h]) for h, c in rows if holders[h] > 1]
 
 
 def test_near_copies_of_some_similarity(spark):
