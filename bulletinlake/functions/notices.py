@@ -5,13 +5,13 @@ Vocabularies are parameters; the defaults below are those that the rules are def
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank, bracket_groups, collapse, hits, holds_any, normalise_title, strip_brackets
+from .text import blank, bracket_groups, collapse, hits, holds_any, let, normalise_title, strip_brackets
 
 # The vocabularies of the rules.
 REGIONS = {
@@ -43,12 +43,6 @@ ELIGIBILITY_QUOTES = (
 AMOUNT_QUOTES = (r"(최대\s*\d[\d,]*\s*(?:억|천만|백만|만)?\s*원)", r"(\d[\d,]*\s*(?:억|천만|백만|만)\s*원)", r"(\d[\d,]*\s*원\s*(?:이내|한도|지원))")
 
 
-def let(values: Mapping[str, Column], body: Callable[[Column], Column]) -> Column:
-    """``body`` of a struct of the values, each of which is computed once however often it is used."""
-    row = F.struct(*[v.alias(k) for k, v in values.items()])
-    return F.get(F.transform(F.array(row), body), F.lit(0))
-
-
 def _bounded(names: Sequence[str], regions: Mapping[str, Sequence[str]], broad: Sequence[str]) -> str:
     """A pattern of names that end where a region may end: at a boundary, a suffix or another region."""
     others = [*(n for ns in regions.values() for n in ns), *broad]

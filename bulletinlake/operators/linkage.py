@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,30 +76,46 @@ def plan_violations(plan: DataFrame, rows: DataFrame) -> DataFrame:
     return doomed.unionByName(missing)
 
 
-def similar_pairs(sets: DataFrame, id_col: str, items: str, least: float) -> DataFrame:
-    """Pairs (left_id < right_id, similarity) of rows whose item sets have Jaccard >= ``least``.
+def similar_classes(sets: DataFrame, id_col: str, items: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """Rows of equal item sets as classes ``(id, class)``, and pairs ``(a, b, similarity)`` of classes with Jaccard >= ``least``.
 
     Prefix filter: items are ordered by how rare they are; two sets that similar share one of
     their first ``size - ceil(least * size) + 1`` items, so only these join, not all rows.
-    Equal sets are one class from the start: representatives join, members are expanded after.
     """
+    exact = Fraction(least).limit_denominator(1000)  # so that no bound is lost by rounding
+    num, den = exact.numerator, exact.denominator
     classed = sets.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(items)).alias("items")).where(F.size("items") > 0).withColumn("class", F.sha2(F.to_json("items").cast("binary"), 256))
-    reps = classed.groupBy("class").agg(F.min("id").alias("rep"), F.first("items").alias("items"))
+    reps = classed.groupBy("class").agg(F.first("items").alias("items"))
     counted = reps.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
     each = reps.select("class", F.size("items").alias("size"), F.explode("items").alias("item")).join(counted, "item")
     ranked = each.groupBy("class", "size").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("by_rarity"))
-    keep = F.col("size") - F.ceil(F.lit(least) * F.col("size")).cast("int") + 1
-    prefix = ranked.select("class", "size", F.explode(F.slice("by_rarity", F.lit(1), F.greatest(keep, F.lit(1)))).alias("p")).select("class", "size", F.col("p.item").alias("item"))
+    prefix = ranked.selectExpr("class", "size", f"explode(slice(by_rarity, 1, int(size - (size * {num} + {den - 1}) div {den} + 1))) as p").select("class", "size", F.col("p.item").alias("item"))
     l, r = prefix.alias("l"), prefix.alias("r")
-    near = l.join(r, (F.col("l.item") == F.col("r.item")) & (F.col("l.class") < F.col("r.class")) & (F.col("l.size") >= least * F.col("r.size")) & (F.col("r.size") >= least * F.col("l.size")))
+    near = l.join(r, F.expr(f"l.item = r.item and l.class < r.class and l.size * {den} >= r.size * {num} and r.size * {den} >= l.size * {num}"))
     near = near.select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct()
     one, two = reps.select(F.col("class").alias("a"), F.col("items").alias("ia")), reps.select(F.col("class").alias("b"), F.col("items").alias("ib"))
-    checked = near.join(one, "a").join(two, "b")
     shared = F.size(F.array_intersect("ia", "ib"))
-    checked = checked.withColumn("similarity", shared / (F.size("ia") + F.size("ib") - shared)).where(F.col("similarity") >= least)
-    ids = classed.select("class", "id")
-    across = checked.select("a", "b", "similarity").join(ids.select(F.col("class").alias("a"), F.col("id").alias("x")), "a").join(ids.select(F.col("class").alias("b"), F.col("id").alias("y")), "b")
-    across = across.select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), "similarity")
-    # members of one class link to its first, which tells the same classes without all pairs
-    within = classed.join(reps.select("class", "rep"), "class").where("id <> rep").select(F.col("rep").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("similarity"))
+    checked = near.join(one, "a").join(two, "b").withColumn("_n", shared).withColumn("_all", F.size("ia") + F.size("ib") - F.col("_n"))
+    return classed.select("id", "class"), checked.where(f"_n * {den} >= _all * {num}").select("a", "b", (F.col("_n") / F.col("_all")).alias("similarity"))
+
+
+def similar_pairs(sets: DataFrame, id_col: str, items: str, least: float) -> DataFrame:
+    """Pairs (left_id < right_id, similarity) that tell all similar rows: the first rows of similar classes, and
+    each row with the first of its class. Members of two classes aren't spelled out as pairs."""
+    members, pairs = similar_classes(sets, id_col, items, least)
+    first = members.groupBy("class").agg(F.min("id").alias("rep"))
+    named = pairs.join(first.select(F.col("class").alias("a"), F.col("rep").alias("x")), "a").join(first.select(F.col("class").alias("b"), F.col("rep").alias("y")), "b")
+    across = named.select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), "similarity")
+    within = members.join(first, "class").where("id <> rep").select(F.col("rep").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("similarity"))
     return across.unionByName(within)
+
+
+def similar_counts(sets: DataFrame, id_col: str, items: str, least: float) -> DataFrame:
+    """(id, n_similar): how many other rows are similar to each, from the sizes of classes."""
+    members, pairs = similar_classes(sets, id_col, items, least)
+    sizes = members.groupBy("class").agg(F.count("*").alias("n"))
+    both = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("class", "other")
+    near = both.join(sizes.select(F.col("class").alias("other"), "n"), "other").groupBy("class").agg(F.sum("n").alias("near"))
+    by_class = sizes.join(near, "class", "left").select("class", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_similar"))
+    counted = members.join(by_class, "class").select("id", "n_similar")
+    return sets.select(F.col(id_col).alias("id")).join(counted, "id", "left").select(F.col("id").alias(id_col), F.coalesce("n_similar", F.lit(0)).alias("n_similar"))

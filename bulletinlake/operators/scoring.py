@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, council_key, council_tokens, hits, holds_any, keyword_match, token_sequence_in
+from ..functions.text import blank, council_key, council_tokens, hits, holds_any, keyword_match, let, token_sequence_in
 
 
 def keyword_relevance(fields: Sequence[Column], must: Sequence[str], boost: Mapping[str, float], exclude: Sequence[str]) -> Column:
@@ -16,7 +16,10 @@ def keyword_relevance(fields: Sequence[Column], must: Sequence[str], boost: Mapp
     The first excluded word gives 0; a required word 0.5; boosts 0.05 of their weight each, 0.5 in
     all at most.
     """
-    text = F.lower(F.concat_ws(" ", *[blank(c) for c in fields]))
+    return let({"text": F.lower(F.concat_ws(" ", *[blank(c) for c in fields]))}, lambda v: _relevance(v["text"], must, boost, exclude))
+
+
+def _relevance(text: Column, must: Sequence[str], boost: Mapping[str, float], exclude: Sequence[str]) -> Column:
     low = lambda ws: [w.lower() for w in ws]
     barred = F.try_element_at(hits(text, low(exclude)), F.lit(1)) if exclude else F.lit(None).cast("string")
     needed = hits(text, low(must))
@@ -98,7 +101,10 @@ def _any(conditions: Sequence[Column]) -> Column:
 
 def domain_scores(text: Column, domains: Mapping[str, Mapping[str, Sequence[str]]]) -> Column:
     """Array of struct(score, ord, domain) for all domains: primary words count 2, secondary 1, over their possible sum."""
-    low = F.lower(blank(text))
+    return let({"text": F.lower(blank(text))}, lambda v: _domain_scores(v["text"], domains))
+
+
+def _domain_scores(low: Column, domains: Mapping[str, Mapping[str, Sequence[str]]]) -> Column:
     out = []
     for i, (name, words) in enumerate(domains.items()):
         total = 2 * len(words["primary"]) + len(words["secondary"])
@@ -109,9 +115,12 @@ def domain_scores(text: Column, domains: Mapping[str, Mapping[str, Sequence[str]
 
 def best_domain(text: Column, domains: Mapping[str, Mapping[str, Sequence[str]]]) -> Column:
     """struct(domain, confidence); ties go to the first domain, no hit gives ('', 0)."""
-    best = F.array_max(domain_scores(text, domains))
-    hit = best["score"] > 0
-    return F.struct(F.when(hit, best["domain"]).otherwise("").alias("domain"), F.when(hit, F.least(best["score"], F.lit(1.0))).otherwise(0.0).alias("confidence"))
+
+    def named(v: Column) -> Column:
+        best, hit = v["best"], v["best"]["score"] > 0
+        return F.struct(F.when(hit, best["domain"]).otherwise("").alias("domain"), F.when(hit, F.least(best["score"], F.lit(1.0))).otherwise(0.0).alias("confidence"))
+
+    return let({"best": F.array_max(domain_scores(text, domains))}, named)
 
 
 def all_domains(text: Column, domains: Mapping[str, Mapping[str, Sequence[str]]]) -> Column:

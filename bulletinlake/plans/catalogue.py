@@ -349,18 +349,18 @@ def canonical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH old AS (SELECT o_orderkey, o_totalprice AS score, o_orderpriority AS tags, 1 AS only_flag FROM orders WHERE o_orderkey % 3 <> 0),
+    """WITH old AS (SELECT o_orderkey, o_totalprice AS score, o_orderpriority AS tags, 1 AS only_flag FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' OR o_orderdate IS NULL),
 inc AS (SELECT o_orderkey, o_totalprice * 2 AS score, CASE WHEN o_orderstatus = 'F' THEN 'new' END AS tags,
-  CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END AS only_flag FROM orders WHERE o_orderkey % 2 = 0)
+  CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END AS only_flag FROM orders WHERE o_orderdate >= TIMESTAMP '1994-01-01')
 SELECT coalesce(o.o_orderkey, i.o_orderkey) AS o_orderkey, coalesce(i.score, o.score) AS score, coalesce(i.tags, o.tags) AS tags,
   CASE WHEN o.o_orderkey IS NULL THEN i.only_flag WHEN i.only_flag = 0 THEN 0 ELSE o.only_flag END AS only_flag
 FROM old o FULL OUTER JOIN inc i ON o.o_orderkey = i.o_orderkey"""
 )
 def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # two overlapping snapshots of the whole table play the stored and the incoming rows
+    # the stored and the incoming rows overlap in three years, and each order is in at least one of them
     orders = table(spark, sf_dir, "orders")
-    old = orders.where("o_orderkey % 3 <> 0").select("o_orderkey", F.col("o_totalprice").alias("score"), F.col("o_orderpriority").alias("tags"), F.lit(1).alias("only_flag"))
-    new = orders.where("o_orderkey % 2 = 0").select("o_orderkey", (F.col("o_totalprice") * 2).alias("score"), F.when(F.col("o_orderstatus") == "F", "new").alias("tags"), F.when(F.col("o_orderstatus") == "O", 0).otherwise(1).alias("only_flag"))
+    old = orders.where("o_orderdate < timestamp_ntz'1997-01-01' or o_orderdate is null").select("o_orderkey", F.col("o_totalprice").alias("score"), F.col("o_orderpriority").alias("tags"), F.lit(1).alias("only_flag"))
+    new = orders.where("o_orderdate >= timestamp_ntz'1994-01-01'").select("o_orderkey", (F.col("o_totalprice") * 2).alias("score"), F.when(F.col("o_orderstatus") == "F", "new").alias("tags"), F.when(F.col("o_orderstatus") == "O", 0).otherwise(1).alias("only_flag"))
     return merge.upsert(old, new, ["o_orderkey"], ["score"], ["tags"], ["only_flag"])
 
 
@@ -439,13 +439,11 @@ def keyword_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH t AS (SELECT doc_id, ' ' || array_to_string([w FOR w IN string_split_regex(lower(translate(text, '()[]{}<>.,:;!?/|~"…-', repeat(' ', 20))), '\s+') IF w <> ''], ' ') || ' ' AS s FROM documents)
+    r"""WITH t AS (SELECT doc_id, ' ' || array_to_string([w FOR w IN string_split_regex(lower(translate(text, '()[]{}（）［］【】「」『』<>〈〉《》.,·:;!?/|~"''“”‘’…-', repeat(' ', 42))), '\s+') IF w <> ''], ' ') || ' ' AS s FROM documents)
 SELECT doc_id, contains(s, ' of the ') AS has_phrase, contains(s, ' worthless ') AS has_word FROM t"""
 )
 def token_exclude_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spaced = F.lower(F.translate("text", '()[]{}<>.,:;!?/|~"…-', " " * 20))
-    tokens = F.filter(F.split(spaced, r"\s+"), lambda t: t != "")
-    found = table(spark, sf_dir, "documents").select("doc_id", tokens.alias("tokens"))
+    found = table(spark, sf_dir, "documents").select("doc_id", text.council_tokens(F.col("text")).alias("tokens"))
     wanted = lambda s: F.array(*[F.lit(w) for w in s.split()])
     return found.select("doc_id", text.token_sequence_in(F.col("tokens"), wanted("of the")).alias("has_phrase"), text.token_sequence_in(F.col("tokens"), wanted("worthless")).alias("has_word"))
 
@@ -507,10 +505,7 @@ SELECT item_id, count(p.i) AS n_similar FROM benchmark LEFT JOIN p ON item_id =
 )
 def similar_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", text.ngrams(F.col("text")).alias("grams"))
-    pairs = linkage.similar_pairs(items, "item_id", "grams", 0.3)
-    ends = pairs.select(F.explode(F.array("left_id", "right_id")).alias("item_id"))
-    counts = ends.groupBy("item_id").agg(F.count("*").alias("n_similar"))
-    return items.select("item_id").join(counts, "item_id", "left").select("item_id", F.coalesce("n_similar", F.lit(0)).alias("n_similar"))
+    return linkage.similar_counts(items, "item_id", "grams", 0.3)
 
 
 # Vectors
@@ -619,7 +614,7 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE o AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem),
+    """WITH RECURSIVE o AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)) AS rn FROM lineitem),
 b AS (SELECT l_orderkey, rn, s AS used, 0 AS batch FROM o WHERE rn = 1
   UNION ALL SELECT o.l_orderkey, o.rn, CASE WHEN b.used > 0 AND b.used + o.s > 60 THEN o.s ELSE b.used + o.s END, b.batch + CASE WHEN b.used > 0 AND b.used + o.s > 60 THEN 1 ELSE 0 END
   FROM b JOIN o ON o.l_orderkey = b.l_orderkey AND o.rn = b.rn + 1)
@@ -628,7 +623,7 @@ SELECT l_orderkey, CAST(count(DISTINCT batch) AS BIGINT) AS batches, max(used) A
 def size_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"), F.col("l_quantity").cast("long").alias("size"))
     dealt = sentence_ops.batches_by_size(lines, "l_orderkey", "pos", "size", 60)
-    sized = lines.join(dealt, ["l_orderkey", "pos"]).groupBy("l_orderkey", "batch").agg(F.sum("size").alias("used"))
+    sized = dealt.groupBy("l_orderkey", "batch").agg(F.sum("size").alias("used"))
     last = sized.groupBy("l_orderkey").agg(F.count("*").alias("batches"), F.max("used").alias("fullest"))
     return last
 
@@ -662,8 +657,16 @@ def stream_upsert_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.latest(spark, f"{folder}/table", schema)
 
 
-@query("SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query("SELECT CAST(date_trunc('week', ts + INTERVAL 9 HOUR) AS DATE) AS week_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_week_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the stream's transformation over a static table: the same plan without the watermark's state
-    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return ingest.calendar_counts(events, "ts", ["event_type"])
+    folder = work_dir(spark, "weeks")
+    events = _events_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp") + F.expr("interval 9 hours"))  # Korean weeks
+    counts = ingest.calendar_counts(events, "ts", ["event_type"], late="400 days")
+    schema = counts.schema
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/v={number}")
+
+    run = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return ingest.latest(spark, folder, schema)

@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the one that the cluster shares (spark.checkpoint.dir); a temporary one where that is unset."""
+    """A fresh folder in the one that the cluster shares (spark.checkpoint.dir); a temporary one where that is unset on a local master."""
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not shared:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(shared)
     return f"{shared.rstrip('/')}/bulletinlake/{uuid.uuid4().hex}/{name}"
