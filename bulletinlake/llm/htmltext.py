@@ -7,10 +7,11 @@ deleted. Inside the article (or what stands for it, below) a subtree must be on
 and ``inner_share`` of the host's, so passages that a site's articles share stay; the counts of one
 place delete nothing in the other. Elements that are boilerplate by tag, role or
 class (menus, headers and footers outside the article, sidebars, notices, adverts, forms,
-comments, scripts, styles) are deleted on any page, also where a host has few pages.
+comments, scripts, styles) are deleted on any page, also where a host has few pages. Inside the article
+only classes made of nothing but words of widgets count, so ``share-price`` or a heading's id stays.
 
-From what is left the article (else main, else the largest content container, else the body)
-gives its text: character references decoded, white space inside a block one space, blocks
+From what is left the articles (in page order, without nested ones, comments and teasers; else main,
+else the largest content container, else the body) give their text: character references decoded, white space inside a block one space, blocks
 trimmed, empty ones left out, joined in page order by ``\\n``.
 
 Scale: pages meet only as (host, hash) rows, counted with partial aggregation. Pages and their template hashes join by page,
@@ -43,7 +44,7 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 
 # HTML element names by their part in the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math canvas object audio video".split())
+RAW = frozenset("script style noscript template iframe textarea title svg canvas audio video".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr legend summary".split())
 OWN_KIND = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -55,6 +56,8 @@ DROP_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices notification comment comments respond disqus share sharing social related recommended newsletter subscribe subscription signup login "
     "popup modal overlay pagination pager toolbar widget widgets skip masthead".split()
 )
+WIDGET_PARTS = frozenset("area bar block box buttons container content form group inline inner items link links list panel post posts section slot small unit wrap wrapper zone".split())
+TEASER_WORDS = frozenset("teaser card preview excerpt comment comments reply related".split())
 OUTER_WORDS = frozenset("header topbar site-header".split())
 CONTENT_WORDS = frozenset("article content post entry story articlebody maintext".split())
 
@@ -130,8 +133,20 @@ def _words(node: Node) -> set[str]:
     return set(re.split(r"[^a-z0-9]+", found)) | set(found.split())
 
 
+def _widget(node: Node) -> bool:
+    """Is a class (or the id of a plain box) made of nothing but words of widgets? Ids of headings and sections come from titles."""
+    names = node.attrs.get("class", "").lower().split()
+    if node.tag in ("div", "ul", "ol", "table"):
+        names.append(node.attrs.get("id", "").lower())
+    for name in names:
+        parts = set(filter(None, re.split(r"[^a-z0-9]+", name)))
+        if parts & DROP_WORDS and parts <= DROP_WORDS | WIDGET_PARTS:
+            return True
+    return False
+
+
 def boilerplate(node: Node, inside: bool) -> bool:
-    """By tag, role, class or being hidden; ``inside``: within the article."""
+    """By tag, role, class or being hidden; ``inside``: within the article, where only whole names of widgets count."""
     if node.tag in DROP_TAGS or (node.tag == "header" and not inside):
         return True
     a = node.attrs
@@ -139,22 +154,25 @@ def boilerplate(node: Node, inside: bool) -> bool:
         return False
     if a.get("role", "").lower() in DROP_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
-    words = _words(node) if "class" in a or "id" in a else set()
-    if node.tag in ("html", "body", "#root"):
+    if node.tag in ("html", "body", "#root") or not ("class" in a or "id" in a):
         return False
-    return bool(words & DROP_WORDS) or (not inside and bool(words & OUTER_WORDS))
+    if inside:
+        return _widget(node)
+    words = _words(node)
+    return bool(words & DROP_WORDS) or bool(words & OUTER_WORDS)
 
 
 def subtrees(root: Node) -> list[tuple[Node, int, bool]]:
     """Every element with text, its hash and whether it is inside the container that gives the text."""
-    top, inner = _content(root, set())
+    tops, inner = _content(root, set())
+    chosen = {id(t) for t in tops}
     found: list[tuple[Node, int, bool]] = []
     order: list[tuple[Node, bool]] = []
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
         order.append((node, inside))
-        deeper = inside or (inner and node is top)
+        deeper = inside or (inner and id(node) in chosen)
         stack.extend((k, deeper) for k in node.kids if isinstance(k, Node))
     hashes: dict[int, tuple[int, bool]] = {}
     for node, inside in reversed(order):
@@ -170,7 +188,7 @@ def subtrees(root: Node) -> list[tuple[Node, int, bool]]:
                 text = text or has
                 h.update(f"\x01{of:x}")
         hashes[id(node)] = (h.intdigest(), text)
-        if text and node.tag not in ("#root", "html", "body", "article", "main") and not (inner and node is top):
+        if text and node.tag not in ("#root", "html", "body", "article", "main") and not (inner and id(node) in chosen):
             found.append((node, h.intdigest() - (1 << 63), inside))
     return found
 
@@ -187,30 +205,39 @@ def _size(node: Node, gone: set[int], inside: bool) -> int:
     return total
 
 
-def _content(root: Node, gone: set[int]) -> tuple[Node, bool]:
-    """The article, else main, else the largest content container, else all."""
+def _teaser(node: Node) -> bool:
+    return bool(_words(node) & TEASER_WORDS)
+
+
+def _content(root: Node, gone: set[int]) -> tuple[list[Node], bool]:
+    """The articles (but nested ones, comments and teasers), else main, else the largest content container, else all."""
     article, main, other = [], [], []
-    stack = [root]
+    stack = [(root, False)]
     while stack:
-        n = stack.pop()
-        if n is not root and (id(n) in gone or boilerplate(n, False)):
+        n, within = stack.pop()
+        if n is not root and (id(n) in gone or boilerplate(n, within)):
             continue
-        if n.tag == "article":
+        if n.tag == "article" and not within:
             article.append(n)
         elif n.tag == "main" or n.attrs.get("role", "").lower() == "main":
             main.append(n)
         elif n.attrs and (n.attrs.get("itemprop", "").lower() == "articlebody" or _words(n) & CONTENT_WORDS) and n.tag in ("div", "section", "td"):
             other.append(n)
-        stack.extend(k for k in n.kids if isinstance(k, Node))
-    for found in (article, main, other):
+        within = within or n.tag == "article"
+        stack.extend((k, within) for k in reversed(n.kids) if isinstance(k, Node))
+    found = [n for n in article if _size(n, gone, True) > 0]
+    if found:
+        return [n for n in found if not _teaser(n)] or found, True
+    for found in (main, other):
         sized = [(_size(n, gone, True), -i, n) for i, n in enumerate(found)]
         if sized and max(sized)[0] > 0:
-            return max(sized)[2], True
-    return root, False
+            return [max(sized)[2]], True
+    return [root], False
 
 
 def text_of(root: Node, gone: set[int]) -> str:
-    top, inside = _content(root, gone)
+    tops, inside = _content(root, gone)
+    chosen = {id(t) for t in tops}
     blocks: list[str] = []
     parts: list[str] = []
 
@@ -220,14 +247,14 @@ def text_of(root: Node, gone: set[int]) -> str:
             blocks.append(text)
         parts.clear()
 
-    stack: list = [top]
+    stack: list = list(reversed(tops))
     while stack:
         x = stack.pop()
         if x is None:
             flush()
         elif isinstance(x, str):
             parts.append(x)
-        elif x is top or (id(x) not in gone and not boilerplate(x, inside)):
+        elif id(x) in chosen or (id(x) not in gone and not boilerplate(x, inside)):
             if x.tag == "br":
                 parts.append(" ")
             elif x.tag in BLOCK:

@@ -333,6 +333,38 @@ def test_html(spark):
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
+def test_html_keeps_what_only_sounds_like_a_widget():
+    page = """<body><nav>menu</nav><article class="post"><h2 id="side-effects">Side effects</h2><section id="share-price"><p>Shares rose</p></section>
+<p class="widget-pricing">Widgets cost 3</p><section id="related"><p>Related work</p></section><p>Let <math><mi>x</mi></math> be</p>
+<div class="share-bar">Share this</div><div id="comments">A reader</div><div class="ad-slot">Buy</div></article>
+<article><p>Second part</p><article class="comment"><p>Nested reply</p></article></article><article class="teaser"><p>Other story</p></article></body>"""
+    assert htmltext.main_text(page) == "Side effects\nShares rose\nWidgets cost 3\nRelated work\nLet x be\nSecond part"
+
+
+def test_html_counts_subtrees_as_brute_force_does(spark):
+    rng = np.random.default_rng(31)
+    boxes = [f"<div><p>Box {k}</p></div>" for k in range(6)]
+    rows = []
+    for i in range(60):
+        outer = "".join(b for k, b in enumerate(boxes) if rng.random() < (k + 1) / 14)
+        inner = "".join(f"<p>Shared {k}</p>" for k in range(3) if rng.random() < 0.3 + 0.3 * k)
+        rows.append((i, f"https://h{i % 2}.example/{i}", f"<body>{outer}<article><p>Own {i // 2 * (i % 5 > 0)}</p>{inner}</article></body>"))
+    places = defaultdict(set)
+    sizes = defaultdict(set)
+    for i, url, page in rows:
+        found = htmltext.subtrees(htmltext.parse(page))
+        sizes[url[8:10]].add(tuple((h, inside) for _, h, inside in found))
+        for _, h, inside in found:
+            places[url[8:10], h, inside].add(tuple((h, inside) for _, h, inside in found))
+    want = {}
+    for i, url, page in rows:
+        host = url[8:10]
+        gone = {(h, inside) for (at, h, inside), pages in places.items() if at == host and len(pages) >= (20 if inside else 5) and (not inside or len(pages) >= 0.8 * len(sizes[host]))}
+        want[i] = htmltext.main_text(page, gone)
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_html_removes_a_sites_template(spark):
     page = "<body><div><p>Only on this site, every time</p></div><div><p>Story {i} of its own</p></div></body>"
     many = spark.createDataFrame([(i, f"https://big.example/{i}", page.format(i=i)) for i in range(40)] + [(99, "https://small.example/", page.format(i=99))], "page_id long, url string, html string")
