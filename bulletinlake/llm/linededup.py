@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import pick, stash
+from .scratch import numbered, pick, place_of, stash
 
 STRIP = b" \t\n\x0b\x0c\r"
 EMIT = "h1 long, h2 long, doc_id long, tx long, n_lines int, positions array<int>"
@@ -169,7 +169,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
 
 
 def with_kept(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text and others) with columns n_lines, n_dropped and kept (the text left)."""
+    """``docs`` (doc_id, text and others) with columns n_lines, n_dropped and kept (the text left); columns of these names are replaced."""
 
     @F.pandas_udf("n_lines long, n_dropped long, kept string")
     def cut(text: pd.Series, keep: pd.Series) -> pd.DataFrame:
@@ -184,9 +184,13 @@ def with_kept(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
                 out.append((len(lines), len(lines) - len(left), "\n".join(left)))
         return pd.DataFrame(out, columns=["n_lines", "n_dropped", "kept"])
 
-    maps = bitmaps.select(F.col("doc_id").alias("_id"), F.col("tx").alias("_tx"), "keep")
-    joined = docs.join(maps, docs["doc_id"].eqNullSafe(maps["_id"]) & (F.xxhash64(docs["text"]) == maps["_tx"]), "left")
-    return joined.withColumn("_cut", cut("text", "keep")).select(*docs.columns, "_cut.n_lines", "_cut.n_dropped", "_cut.kept")
+    rows, names = numbered(docs)
+    doc_id, body = (place_of(names, c) for c in ("doc_id", "text"))
+    stays = [i for i, n in enumerate(names) if n.lower() not in ("n_lines", "n_dropped", "kept")]
+    maps = bitmaps.select(F.col("doc_id").alias("_id"), F.col("tx").alias("_tx"), F.col("keep").alias("_keep"))
+    joined = rows.join(maps, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(body) == F.col("_tx")), "left")
+    out = joined.withColumn("_cut", cut(body, "_keep")).select(*[f"_{i}" for i in stays], "_cut.n_lines", "_cut.n_dropped", "_cut.kept")
+    return out.toDF(*[names[i] for i in stays], "n_lines", "n_dropped", "kept")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

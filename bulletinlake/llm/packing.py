@@ -135,7 +135,8 @@ def _cut(length: int, total: int):
 def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, end_id: int = 1, length: int = 2048, window: int = 64, targets: dict[str, float] | None = None) -> DataFrame:
     """``docs(doc_id, text, source)`` to pieces ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source)``.
 
-    ``ranks_path`` and ``pattern`` name the same vocabulary for the faster library, if there is one.
+    ``targets``: shares of the tokens of each window by source, put in proportion; a source not named has its own
+    share of all tokens. ``ranks_path`` and ``pattern`` name the same vocabulary for the faster library, if there is one.
     """
     rows = pick(docs, doc_id="doc_id", text="text", source="source").select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
     tokens = stash(rows.mapInArrow(_tokenise(tokenizer_path, ranks_path, pattern, end_id), "rid long, doc_id long, source string, n long, width int, ids binary"), "tokens")
@@ -143,8 +144,12 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pa
     queues = running_sum(tokens.select("rid", "doc_id", "source", "n"), [F.col("source"), F.col("doc_id"), F.col("rid")], "n", "source")
     share = F.col("total") / F.lit(float(max(total, 1)))
     if targets:
+        if min(targets.values()) <= 0:
+            raise ValueError("a source's target share must be over 0")
         given = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])
         share = F.coalesce(F.try_element_at(given, F.col("source")), share)
+        whole = queues.groupBy("source").agg(F.first("total").alias("total")).agg(F.sum(share)).first()[0] or 1.0
+        share = share / F.lit(whole)  # of a window all sources together get the whole
     rounds = queues.withColumn("round", F.ceil(F.col("upto") / (F.lit(float(window * length)) * share)).cast("long"))
     stream = _stream(rounds)
     placed = tokens.join(stream, "rid")

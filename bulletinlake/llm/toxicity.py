@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import pick, stash
+from .scratch import numbered, pick, place_of, stash
 
 _WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, n_features:
     if not n_labels:
         return OrdinalModel()
     share = min(1.0, fit_rows / n_labels)
-    marked = marked.where(F.pmod(F.xxhash64("_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000))
+    marked = marked.where(F.pmod(F.xxhash64("_id", F.lit("fit")), F.lit(1 << 40)) < math.ceil(share * (1 << 40)))
     rows = pick(docs, doc_id="doc_id", text="text")
     fitted = stash(rows.join(marked, rows["doc_id"] == marked["_id"]).groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id")), "fitted")
     totals = fitted.agg(F.count("*"), F.sum("toxic")).first()
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, n_features:
 
 
 def assess(docs: DataFrame, model: OrdinalModel, cut: float = 0.4) -> DataFrame:
-    """``docs`` (with a text column) with severity, p_toxic and toxic (0 or 1) added."""
+    """``docs`` (with a text column) with severity, p_toxic and toxic (0 or 1) added; columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # n_features weights at most
 
     def grade(texts: pd.Series) -> pd.DataFrame:
@@ -179,7 +179,10 @@ def assess(docs: DataFrame, model: OrdinalModel, cut: float = 0.4) -> DataFrame:
         return pd.DataFrame({"severity": [float(sum(p)) for p in out], "p_toxic": [float(p[0]) for p in out], "toxic": [int(p[0] >= cut) for p in out]})
 
     graded = F.pandas_udf(grade, "severity double, p_toxic double, toxic int")
-    return docs.withColumn("_g", graded(docs["text"])).select(*docs.columns, "_g.severity", "_g.p_toxic", "_g.toxic")
+    rows, names = numbered(docs)
+    stays = [i for i, n in enumerate(names) if n.lower() not in ("severity", "p_toxic", "toxic")]
+    out = rows.withColumn("_g", graded(F.col(place_of(names, "text")))).select(*[f"_{i}" for i in stays], "_g.severity", "_g.p_toxic", "_g.toxic")
+    return out.toDF(*[names[i] for i in stays], "severity", "p_toxic", "toxic")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -512,3 +512,96 @@ def test_top_k(spark):
     assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v) for q, v in want.items()}
     assert topk.top_k(df.limit(0), "vec_id % 50 = 0").count() == 0
     assert topk.top_k(df.where("vec_id = 0"), "vec_id % 50 = 0").count() == 0
+
+
+def test_top_k_reads_only_part_of_the_postings():
+    rng = np.random.default_rng(17)
+    near = rng.normal(0, 40, (20, 48))
+    values = np.floor(np.concatenate([near + rng.normal(0, 2, (20, 48)), rng.normal(0, 6, (2000, 48))])).astype(np.int64)
+    queries = np.floor(near).astype(np.int64)
+    index = topk.Index(np.arange(len(values)), values)
+    got = defaultdict(list)
+    for row, vec, score in index.top(np.full(20, -1), queries, 3):
+        got[row].append((vec, score))
+    for row in range(20):
+        exact = values @ queries[row]
+        order = np.lexsort((np.arange(len(values)), -exact))[:3]
+        assert got[row] == [(int(i), int(exact[i])) for i in order]
+    assert 0 < index.read < 0.6 * index.offered
+    floor = np.full(20, 1e12)
+    read = index.read
+    assert not list(index.top(np.full(20, -1), queries, 3, floor)) and index.read == read
+
+
+def test_packing_to_targets_equals_deficit_counters(spark):
+    rng = np.random.default_rng(41)
+    rows = [(i, " ".join(["token"] * int(rng.integers(5, 120))), "abc"[i % 3 if i % 7 else 0]) for i in range(400)]
+    out = packing.pack(docs_of(spark, rows), public.path("byte_bpe_50k.json"), window=1, targets={"a": 1.0, "b": 3.0, "c": 1.0}).collect()
+    sizes = {r["doc_id"]: r["doc_tokens"] for r in out}
+    source = {i: s for i, _, s in rows}
+    queues = {s: [i for i in sorted(sizes) if source[i] == s] for s in "abc"}
+    deficit = dict.fromkeys("abc", 0.0)
+    order = []
+    while any(queues.values()):
+        for s, share in (("a", 0.2), ("b", 0.6), ("c", 0.2)):
+            deficit[s] += 2048 * share
+            while queues[s] and sizes[queues[s][0]] <= deficit[s] + 1e-9:
+                deficit[s] -= sizes[queues[s][0]]
+                order.append(queues[s].pop(0))
+    got = sorted((r for r in out if r["start"] == 0), key=lambda r: (r["sequence_id"], r["offset"]))
+    assert [r["doc_id"] for r in got] == order
+    with pytest.raises(ValueError):
+        packing.pack(docs_of(spark, rows), public.path("byte_bpe_50k.json"), targets={"a": 0.0})
+
+
+def test_clashing_columns_are_replaced_or_kept(spark):
+    common = "a line that is in three documents"
+    docs = spark.createDataFrame([(i, f"own {i}\n{common}", "X", 7, "k") for i in range(4)] + [(None, None, None, None, None)], "doc_id long, text string, TEXT string, n_words int, keep string")
+    kept = linededup.with_kept(docs, linededup.keep_bitmaps(docs))
+    assert kept.columns == ["doc_id", "text", "TEXT", "n_words", "keep", "n_lines", "n_dropped", "kept"] and kept.count() == 5
+    cut = substring.repeated_passages(docs)
+    assert cut.columns == ["doc_id", "text", "TEXT", "keep", "n_words", "n_cut", "passages", "kept"] and cut.count() == 5
+    judged = toxicity.assess(docs, toxicity.OrdinalModel())
+    assert judged.columns[:5] == docs.columns and judged.count() == 5
+    one = simhash.one_of_each(docs)
+    assert one.columns == docs.columns and one.count() == 5
+
+
+def test_fingerprint_bits_by_plain_counting():
+    import xxhash
+
+    for text in ("", "one", "A b c d e f g h", "the quick brown fox " * 9):
+        words = text.encode().lower().split()
+        grams = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+        hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+        want = sum(1 << b for b in range(64) if hashes and 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash.simhash(shingle_hashes(words_of(text), 4)) & (1 << 64) - 1 == want
+
+
+def test_passages_against_brute_force_local_alignment(spark):
+    """Recall of planted fuzzy passages: each must be found where its words match at 0.8 to 1."""
+    rng = np.random.default_rng(43)
+    new = iter(range(10**7))
+    fresh = lambda n: [f"w{next(new)}" for _ in range(n)]
+    rows, planted = [], {}
+    for i in range(120):
+        n, wrong = int(rng.integers(50, 90)), float(rng.choice([0, 0.05, 0.1, 0.15]))
+        passage = fresh(n)
+        copy = list(passage)
+        for at in rng.choice(n, int(n * wrong), replace=False):
+            copy[at : at + 1] = fresh(int(rng.integers(0, 3))) if rng.random() < 0.5 else fresh(1)
+        rows.append((2 * i, " ".join(fresh(int(rng.integers(0, 60))) + passage + fresh(int(rng.integers(0, 60))))))
+        rows.append((2 * i + 1, " ".join(fresh(int(rng.integers(0, 60))) + copy + fresh(int(rng.integers(0, 60))))))
+
+    def best(a, b):
+        """Words matched in the best common stretch, by the longest common subsequence of all words (they are unlike elsewhere)."""
+        at = {w: j for j, w in enumerate(b)}
+        runs = [(i, at[w], 1) for i, w in enumerate(a) if w in at]
+        return substring.segments(runs, 45, 0.8)
+
+    got = {r["doc_id"]: r["passages"] for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {j: best(b.split(), a.split()) for (_, a), (j, b) in zip(rows[::2], rows[1::2])}
+    asked = [j for j, w in want.items() if w]
+    found = [j for j in asked if any(p["of"] == j - 1 and p["matched"] >= 0.9 * want[j][0][4] for p in got[j])]
+    assert len(asked) > 80 and len(found) >= 0.95 * len(asked)
+    assert not any(got[i] for i, _ in rows[::2])
