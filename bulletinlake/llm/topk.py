@@ -9,7 +9,7 @@ query stops when the k-th best lower bound proves all but a few vectors out, or
 is left; the possible members are rescored in integers. Ties go to the smaller vec_id, so
 vectors at the threshold itself are never proved out.
 
-A block's segments are made once and all query blocks are sent to it. The queries go through one block
+A block's segments are made once for some query blocks, which are sent to it. The queries go through one block
 first: the k-th best score found there is their floor in all other blocks, where vectors under it are
 out and whole blocks too, if query norm times their longest vector is under it. The best k of each
 block are merged by query.
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .scratch import pick, stash
 
 FEW = 64
+QUERY_BLOCKS = 16  # query blocks that go through one copy of an index
 
 
 def segments(values: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -115,7 +116,7 @@ PACKED = "block long, dim int, rids binary, ids binary, values binary, floors bi
 
 
 def _scan(k: int):
-    """Rows sorted by (block, kind): a block's vectors are indexed once, then its query blocks go through the index."""
+    """Rows sorted by (block, salt, kind): a block's vectors are indexed once, then its query blocks go through the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = values = None
@@ -153,11 +154,13 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, scale: float = 256.0, q
 
     blocks = stash(packed(rows.withColumn("floor", F.lit(None).cast("double")), c_blocks), "blocks")
 
+    salts = max(1, -(-q_blocks // QUERY_BLOCKS))
+
     def scanned(queries: DataFrame, first: int, last: int) -> DataFrame:
-        """The k best of each query in each of the blocks first..last; a block moves once, query blocks to each of them."""
-        sent = queries.withColumn("block", F.explode(F.sequence(F.lit(first), F.lit(last)).cast("array<long>"))).withColumn("kind", F.lit(1))
-        both = blocks.where(F.col("block").between(first, last)).withColumn("kind", F.lit(0)).unionByName(sent)
-        dealt = both.repartition(last - first + 1, "block").sortWithinPartitions("block", "kind")
+        """The k best of each query in each of the blocks first..last; a task has one block and at most ``QUERY_BLOCKS`` or so of query blocks."""
+        sent = queries.withColumn("salt", F.pmod("block", F.lit(salts))).withColumn("block", F.explode(F.sequence(F.lit(first), F.lit(last)).cast("array<long>"))).withColumn("kind", F.lit(1))
+        held = blocks.where(F.col("block").between(first, last)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>"))).withColumn("kind", F.lit(0))
+        dealt = held.unionByName(sent).repartition((last - first + 1) * salts, "block", "salt").sortWithinPartitions("block", "salt", "kind")
         return dealt.mapInArrow(_scan(k), "rid long, query_id long, vec_id long, score long")
 
     asked = rows.where(is_query)

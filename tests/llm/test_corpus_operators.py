@@ -494,12 +494,13 @@ def test_substring_finds_partners_behind_a_decoy(spark):
     assert got == {1: [], 2: [], 3: [(30, 60, 2)], 4: [(0, 60, 2)]}
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(9)
     rows = [(i, rng.normal(0, 0.2, 16).astype("float32").tolist()) for i in range(300)]
     rows += [(300, rows[0][1]), (300, rows[1][1]), (301, None), (302, [None] * 16), (303, [float("nan")] * 16), (304, [float("inf")] * 16), (305, [0.0] * 16), (306, [0.5] * 3), (None, rows[2][1]), (350, [])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, Embedding string")
     got = defaultdict(list)
+    monkeypatch.setattr(topk, "QUERY_BLOCKS", 2)
     for r in topk.top_k(df, "vec_id % 50 = 0", block_rows=64, query_rows=3).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     usable = [(i, np.floor(256 * np.array(v, "float64")).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
