@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .ranges import ranged
 from .scratch import asked_for, pick, stash
 from .shingles import shingle_hashes, words_of
 
@@ -123,11 +124,10 @@ def _runs(chunk: int = 1 << 16):
     return run
 
 
-def shared_shingles(texts: DataFrame, k: int, share: int) -> DataFrame:
-    """``texts(text)`` to ``(hash, class, size, freq)`` of the shingles that at least two classes hold."""
-    parts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = texts.select("text").mapInArrow(_emit(k, share), "hash long, class long, size int")
-    seen = stash(rows.repartitionByRange(parts, "hash", "class").sortWithinPartitions("hash", "class").mapInArrow(_runs(), RUNS), "shared")
+def shared_shingles(texts: DataFrame, n_texts: int, k: int, share: int) -> DataFrame:
+    """``texts(text)``, about ``n_texts`` of them, to ``(hash, class, size, freq)`` of the shingles that at least two classes hold."""
+    rows = ranged(texts.select("text"), n_texts, _emit(k, share), "hash long, class long, size int", "hash", "class")
+    seen = stash(rows.sortWithinPartitions("hash", "class").mapInArrow(_runs(), RUNS), "shared")
     totals = seen.where(F.col("kind") == SUMMARY).groupBy("hash").agg(F.sum("freq").alias("freq")).where("freq > 1")
     late = seen.where(F.col("kind") == OPEN).drop("kind", "freq").join(F.broadcast(totals), "hash")
     return seen.where(F.col("kind") == ROW).drop("kind").unionByName(late)
@@ -183,7 +183,7 @@ def similar_links(docs: DataFrame, classes: DataFrame, links: DataFrame, similar
     """
     num, den = ratio(similarity)
     rows = pick(docs, doc_id="doc_id", text="text")
-    counts = shared_shingles(rows, k, SHARE).groupBy("class").agg(F.count("*").alias("n"))
+    counts = shared_shingles(rows, rows.count(), k, SHARE).groupBy("class").agg(F.count("*").alias("n"))
     left = classes.where("size > 0").join(counts, "class", "left").where(f"part - coalesce(n, 0) <= size - {_least('size', num, den)}")
     left = stash(left.drop("n"), "left")
 
@@ -192,7 +192,7 @@ def similar_links(docs: DataFrame, classes: DataFrame, links: DataFrame, similar
         near = asked_for(rows, some, "doc_id").withColumn("hash", F.xxhash64("text"))
         return near.join(named, F.expr("doc_id <=> _id and hash = _hash")).dropDuplicates(["class"]).select("class", "text")
 
-    prefixes = stash(_prefixes(shared_shingles(texts_of(left), k, 1), num, den), "prefixes")
+    prefixes = stash(_prefixes(shared_shingles(texts_of(left), left.count(), k, 1), num, den), "prefixes")
     rule = _may_match(num, den)
     head = prefixes.groupBy("hash").agg(F.min(F.struct((F.col("pos") / F.col("size")).alias("share"), "class", "size", "pos")).alias("h")).selectExpr("hash", "h.class", "h.size", "h.pos")
     turned = rule.replace("l.", "_.").replace("r.", "l.").replace("_.", "r.")

@@ -14,7 +14,7 @@ import pytest
 
 public = pytest.importorskip("public_tokenizers")
 
-from bulletinlake.llm import htmltext, iblt, linededup, packing, pieces, quality, setjoin, simhash, substring, topk, toxicity  # noqa: E402
+from bulletinlake.llm import htmltext, iblt, linededup, packing, pieces, quality, ranges, setjoin, simhash, substring, topk, toxicity  # noqa: E402
 from bulletinlake.llm.components import components  # noqa: E402
 from bulletinlake.llm.shingles import shingle_hashes, words_of  # noqa: E402
 
@@ -154,6 +154,27 @@ def test_runs_of_shared_shingles_over_partitions(spark):
         assert [g for g in got if g[2] > 1] == [(h, c, holders[h]) for h, c in rows if holders[h] > 1]
 
 
+def test_ranged_rows_are_contiguous_and_whole(spark):
+    rng = np.random.default_rng(23)
+    a, b = rng.integers(-5, 6, 500), rng.integers(-9, 10, 500)
+    keys = sorted(zip(rng.integers(-5, 6, 12).tolist(), rng.integers(-9, 10, 12).tolist()))
+    bounds = [np.array(c, np.int64) for c in zip(*keys)]
+    assert ranges.part_of(a, b, *bounds).tolist() == [sum(k <= own for k in keys) for own in zip(a.tolist(), b.tolist())]
+
+    def emit(batches):
+        for batch in batches:
+            of = batch["doc_id"].to_numpy()
+            yield pa.record_batch([pa.array(np.where(of % 3 == 0, 7, of * 7919 % 1009)), pa.array(of)], names=["a", "b"])  # a third has one key
+
+    for n in (0, 1, 4000):
+        got = ranges.ranged(spark.range(n).withColumnRenamed("id", "doc_id"), n, emit, "a long, b long", "a", "b").selectExpr("a", "b", "spark_partition_id() as p").collect()
+        assert sorted(r["b"] for r in got) == list(range(n))
+        at = [r["p"] for r in sorted(got)]
+        assert at == sorted(at)
+        if n == 4000:
+            assert max(Counter(at).values()) < 3 * n / len(set(at)) and len(set(at)) > 1
+
+
 def test_near_copies_of_some_similarity(spark):
     rng = np.random.default_rng(13)
     words = ["".join(rng.choice(list("abcdeilnorst"), rng.integers(2, 8))) for _ in range(900)]
