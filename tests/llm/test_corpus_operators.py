@@ -493,6 +493,45 @@ def test_chains_follow_both_orders():
     assert substring.chains([0, 500], [0, 500], 5, 0.01) == [[(0, 0)], [(500, 500)]]
 
 
+def test_seeds_of_many_texts_are_those_of_every_window():
+    rng = np.random.default_rng(11)
+    texts = [None, "", "a", "a b c d e f", "one two " * 200] + [" ".join(rng.choice(list("abcdefgh"), int(n))) for n in rng.integers(0, 40, 300)]
+    got = [[] for _ in texts]
+    for some in substring.portions(texts):
+        of, seeds, pos = substring.seeds_of(texts[some], 6, 8)
+        for i, seed, at in zip(of.tolist(), seeds.tolist(), pos.tolist()):
+            got[some.start + i].append((seed, at))
+    for text, mine in zip(texts, got):
+        h = substring.grams(substring.word_codes(words_of(text)), 6)
+        if len(h) <= 8:
+            wanted = [int(h.argmin())] if len(h) else []
+        else:
+            wanted = sorted({i for b in range(len(h) - 7) for i in range(b, b + 8) if h[i] == h[b : b + 8].min()})
+        kept = []
+        for i in wanted:
+            if not kept or h[i] != h[kept[-1]] or i - kept[-1] >= 8:
+                kept.append(i)
+        assert mine == list(zip(h.view(np.int64)[kept].tolist(), kept))
+
+
+def test_portions_cover_all_texts_in_order():
+    texts = ["x" * n for n in (0, 10, substring.PORTION + 5, 3)] + [None]
+    assert [(p.start, p.stop) for p in substring.portions(texts)] == [(0, 2), (2, 3), (3, 5)]
+    assert list(substring.portions([])) == []
+
+
+def test_common_words_are_longest_common_subsequences():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n, m = rng.integers(1, 33, 2)
+        equal = rng.random((n, m)) < rng.choice([0.0, 0.1, 0.5, 1.0])
+        want = np.zeros((n + 1, m + 1), int)
+        for i in range(n):
+            for j in range(m):
+                want[i + 1, j + 1] = want[i, j] + 1 if equal[i, j] else max(want[i, j + 1], want[i + 1, j])
+        assert (substring.common_words(equal)[0] == want[1:, 1:]).all()
+
+
 def test_substring_parts_passages_of_one_chain(spark):
     new = iter(range(100_000))
     fresh = lambda n: " ".join(f"w{next(new)}" for _ in range(n))
