@@ -8,7 +8,9 @@ from .linededup import OP5_SQL, op5_line_dedup
 from .packing import op6_packing
 from .pieces import op3_pieces
 from .quality import op8_quality
+from .sharding import OP12_SQL, op12_sharding
 from .simhash import op1_simhash
+from .sortmeans import OP13_SQL, op13_sortmeans
 from .substring import op9_substring
 from .topk import OP10_SQL, op10_topk
 from .toxicity import op7_toxicity
@@ -24,9 +26,13 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_substring": op9_substring,
     "op10_topk": op10_topk,
+    "op12_sharding": op12_sharding,
+    "op13_sortmeans": op13_sortmeans,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": OP5_SQL,
     "op10_topk": OP10_SQL,
+    "op12_sharding": OP12_SQL,
+    "op13_sortmeans": OP13_SQL,
 }

@@ -39,7 +39,9 @@ def stash(df: DataFrame, name: str = "t", swept: bool = True) -> DataFrame:
     df.write.parquet(path)
     if swept:
         _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
 
 
 def sweep(spark: SparkSession) -> None:
@@ -54,6 +56,14 @@ def sweep(spark: SparkSession) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def drop(table: DataFrame) -> None:
+    """Delete a table that ``stash`` returned, when no result still to be run reads it."""
+    spark, path = table.sparkSession, table.stashed_at
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _written[spark.sparkContext.applicationId].remove(path)
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Select columns by exact name (else by the first that matches without case), renamed.
 
