@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import OP11_SQL, op11_collocations
 from .htmltext import op4_html
 from .iblt import op2_fingerprints
 from .linededup import OP5_SQL, op5_line_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_substring": op9_substring,
     "op10_topk": op10_topk,
+    "op11_collocations": op11_collocations,
     "op12_sharding": op12_sharding,
     "op13_sortmeans": op13_sortmeans,
 }
@@ -33,6 +35,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": OP5_SQL,
     "op10_topk": OP10_SQL,
+    "op11_collocations": OP11_SQL,
     "op12_sharding": OP12_SQL,
     "op13_sortmeans": OP13_SQL,
 }

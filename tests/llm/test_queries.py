@@ -20,6 +20,7 @@ COLUMNS = {
     "op8_quality": "doc_id held_out score predicted",
     "op9_substring": "doc_id class_id passages",
     "op10_topk": "query_id rank vec_id score",
+    "op11_collocations": "lang rank phrase a l r n score",
     "op12_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op13_sortmeans": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
 }
