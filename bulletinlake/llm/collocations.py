@@ -13,8 +13,8 @@ dropped; as a longer one's frequency is never above that of the parts in between
 Of each language the best ``top`` stay, by score, frequency and the phrase's UTF-8 bytes. Decimals of 38 digits hold the
 products exactly up to 10**15 occurrences.
 
-Scale: texts are read once, into blocks of about ``BLOCK`` bytes of one language with words as small
-numbers; a longer text is a block of its own. Lists live inside blocks, where they are made again for each length, so
+Scale: texts are read once, into blocks of about ``BLOCK`` bytes of one language (a task holds eight blocks' worth of all
+languages at most) with words as small numbers; a longer text is a block of its own. Lists live inside blocks, where they are made again for each length, so
 only the blocks move, and no list of a frequent word is ever in one place. Frequencies are sums over blocks of list
 lengths; a phrase has one row a block, however often it occurs there, so frequent words and phrases are no hot
 keys. What is frequent goes back to the blocks that hold it by a join; nothing is broadcast, and
@@ -39,7 +39,6 @@ from pyspark.sql import functions as F
 from .scratch import pick, stash
 
 BLOCK = 1 << 22  # bytes of text
-HELD = 1 << 25  # bytes of texts of all languages that a task holds before it closes their blocks
 SALTS = 64  # tasks that share a language's candidates
 END = b"\xff"  # between pieces; no byte of UTF-8
 _BYTES = bytes(0xFF if chr(b) in ".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -66,28 +65,31 @@ def _block(texts: list[bytes], lang: str, block: int) -> pa.RecordBatch | None:
     return pa.record_batch(cols, names=["block", "lang", "n_words", "words", "counts", "codes"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    numbers = count(TaskContext.get().partitionId() << 32)
-    held: dict[str, list[bytes]] = {}
-    size: dict[str, int] = {}
-
-    def close(langs: list[str]) -> Iterator[pa.RecordBatch]:
-        for lang in langs:
-            size.pop(lang)
-            made = _block(held.pop(lang), lang, next(numbers))
-            if made is not None:
-                yield made
+def _blocks(block_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = count(TaskContext.get().partitionId() << 32)
+        held: dict[str, list[bytes]] = {}
+        size: dict[str, int] = {}
+
+        def close(langs: list[str]) -> Iterator[pa.RecordBatch]:
+            for lang in langs:
+                size.pop(lang)
+                made = _block(held.pop(lang), lang, next(numbers))
+                if made is not None:
+                    yield made
+
+        for batch in batches:
+            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist()):
+                if text:
+                    held.setdefault(lang, []).append(text)
+                    size[lang] = size.get(lang, 0) + len(text)
+                    if size[lang] >= block_bytes:
+                        yield from close([lang])
+            if sum(size.values()) >= 8 * block_bytes:
+                yield from close(list(size))
+        yield from close(list(size))
 
-    for batch in batches:
-        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist()):
-            if text:
-                held.setdefault(lang, []).append(text)
-                size[lang] = size.get(lang, 0) + len(text)
-                if size[lang] >= BLOCK:
-                    yield from close([lang])
-        if sum(size.values()) >= HELD:
-            yield from close(list(size))
-    yield from close(list(size))
+    return run
 
 
 def postings(codes: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,14 +164,14 @@ def _back(rows: DataFrame, frequent: DataFrame, keys: list[str], column: str, pa
     return stash(held.repartition(parts, "block").groupBy("block").agg(F.array_sort(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), "id"))).alias(column)), column)
 
 
-def mined(docs: DataFrame, least: int = 10, longest: int = 3) -> list[DataFrame]:
+def mined(docs: DataFrame, least: int = 10, longest: int = 3, block_bytes: int = BLOCK) -> list[DataFrame]:
     """Tables of the frequent phrases of 1, 2, ... ``longest`` words of ``docs(lang, text)``, and last the words of each language ``(lang, n)``.
 
     Columns: id, lang, text, a (frequency), left and right (ids of the phrase without its last word, and of that
     word), suffix (id of the phrase without its first word), firsts and rests (frequencies of both parts of each cut).
     """
     rows = pick(docs, lang="lang", text="text").select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    blocks = stash(rows.mapInArrow(_blocks, BLOCKS), "blocks")
+    blocks = stash(rows.mapInArrow(_blocks(block_bytes), BLOCKS), "blocks")
     n_blocks = blocks.count()
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_blocks // 8)
     each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts"))).select("block", "lang", F.col("pos").alias("i"), F.col("col.words").alias("text"), F.col("col.counts").alias("n"))
@@ -214,9 +216,9 @@ def candidates(levels: list[DataFrame], share: int = 50) -> DataFrame:
     return out
 
 
-def collocations(docs: DataFrame, least: int = 10, longest: int = 3, share: int = 50, top: int = 2000) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, longest: int = 3, share: int = 50, top: int = 2000, block_bytes: int = BLOCK) -> DataFrame:
     """``docs(lang, text)`` to ``(lang, rank, phrase, a, l, r, n, score)``: each language's best ``top``."""
-    words, *levels, totals = mined(docs, least, longest)
+    words, *levels, totals = mined(docs, least, longest, block_bytes)
     order = [F.desc("score"), F.desc("a"), F.col("phrase")]
     found = candidates(levels, share).withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     some = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(*order))).where(F.col("rank") <= top)
