@@ -14,11 +14,13 @@ Of each language the best ``top`` stay, by score, frequency and the phrase's UTF
 products exactly up to 10**15 occurrences.
 
 Scale: texts are read once, into blocks of about ``BLOCK`` bytes of one language (a task holds eight blocks' worth of all
-languages at most) with words as small numbers; a longer text is a block of its own. Lists live inside blocks, where they are made again for each length, so
-only the blocks move, and no list of a frequent word is ever in one place. Frequencies are sums over blocks of list
-lengths; a phrase has one row a block, however often it occurs there, so frequent words and phrases are no hot
-keys. What is frequent goes back to the blocks that hold it by a join; nothing is broadcast, and
-a language that holds most of the words is many blocks. The best of a language are taken in two steps, the first in many tasks.
+languages at most) with words as small numbers; a longer text is a block of its own. Lists live inside
+blocks, where they are made again for each length: blocks move, and no list of a frequent word is
+ever in one place. Most of a block's phrases are rare, so before any is counted as a row, 32-bit hashes of all of them
+go to parts by further bits of the hash (``PART`` of them a part, as many parts as that takes); what is too rare by hash is too rare.
+Bits that tell which phrases stay go back to the blocks; these are counted exactly, as one row a block
+however often they occur in it, so frequent words and phrases are no hot keys. Nothing is broadcast, and a
+language that holds most of the words is many blocks. The best of a language are taken in two steps, the first in many tasks.
 
 Null text is empty, null lang is ``und``. Repeated rows count each time. Other columns are
 ignored; an empty table gives no rows.
@@ -26,6 +28,7 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -38,12 +41,13 @@ from pyspark.sql import functions as F
 
 from .scratch import pick, stash
 
-BLOCK = 1 << 22  # bytes of text
+BLOCK = 1 << 21  # bytes of text
+PART = 1 << 21  # hashes that one task counts
 SALTS = 64  # tasks that share a language's candidates
 END = b"\xff"  # between pieces; no byte of UTF-8
 _BYTES = bytes(0xFF if chr(b) in ".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 BLOCKS = "block long, lang string, n_words long, words array<string>, counts array<long>, codes binary"
-GROWN = "block long, left array<long>, right array<long>, n array<long>"
+PASSED = "block long, ids array<long>, n array<long>, parts array<int>, hashes array<binary>, counts array<binary>"
 
 
 def coded(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
@@ -61,7 +65,7 @@ def _block(texts: list[bytes], lang: str, block: int) -> pa.RecordBatch | None:
     if not words:
         return None
     counts = np.bincount(codes, minlength=len(words) + 1)[: len(words)]
-    cols = [pa.array([block], pa.int64()), pa.array([lang], pa.string()), pa.array([int(counts.sum())], pa.int64()), pa.array([words], pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())), pa.array([codes.tobytes()], pa.binary())]
+    cols = [pa.array([block], pa.int64()), pa.array([lang], pa.string()), pa.array([int(counts.sum())], pa.int64()), pa.array([words], pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())), pa.array([zlib.compress(codes.tobytes(), 1)], pa.binary())]
     return pa.record_batch(cols, names=["block", "lang", "n_words", "words", "counts", "codes"])
 
 
@@ -78,7 +82,7 @@ def _blocks(block_bytes: int):
                 if made is not None:
                     yield made
 
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist()):
                 if text:
                     held.setdefault(lang, []).append(text)
@@ -122,84 +126,129 @@ def extended(owner: np.ndarray, at: np.ndarray, k: int, word: np.ndarray, word_a
     return key[starts] // width, key[starts] % width, np.diff(np.append(starts, len(key))), at
 
 
-def _flags(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the block's numbering, and ids, of what is frequent."""
-    held = column[row].values
-    return tuple(held.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of word ids."""
+    h = np.zeros(len(ids), np.uint64)
+    for column in ids.T:
+        h = (h ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
-def _grow(length: int):
-    """Blocks with what is frequent of 1 .. ``length`` - 1 words to the lengths of the lists of ``length`` words."""
+def dealt(ids: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases (rows of word ids) by part and hash: their order, and in it part and 32-bit hash."""
+    h = _mixed(ids)
+    part, low = ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int32), h.astype(np.uint32)
+    order = np.lexsort((low, part))
+    return order, part[order], low[order]
+
+
+def _list(values, kind: pa.DataType) -> pa.Array:
+    return pa.array([values], pa.list_(kind))
+
+
+def _pass(length: int, longest: int, least: int, parts: int):
+    """Blocks, their frequent words and what passed by hash of 2 .. ``length`` words, to the phrases of ``length`` words with
+    the lengths of their lists (``length`` > 1) and, by part, to hashes and lengths of the lists that are one word longer."""
+    kind = np.dtype("<u1" if least < 256 else "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                codes = np.frombuffer(b["codes"][row].as_buffer(), f"<u{b['width'][row].as_py()}")
-                numbers, word_ids = _flags(b["f1"], row)
+                numbers, word_ids = (b[c][row].values.to_numpy(zero_copy_only=False) for c in ("numbers", "ids"))
+                codes = np.frombuffer(zlib.decompress(b["codes"][row].as_py()), f"<u{b['width'][row].as_py()}")
                 word, word_at = postings(codes, numbers)
-                owner, at, ids = word, word_at, word_ids
-                for k in range(1, length):
-                    if k > 1:
-                        kept, ids = _flags(b[f"f{k}"], row)
-                        which = np.full(len(n), -1)
-                        which[kept] = np.arange(len(kept))
-                        owner = np.repeat(which, n)
-                        at, owner = at[owner >= 0], owner[owner >= 0]
+                owner, at, phrases = word, word_at, np.arange(len(numbers))[:, None]
+                for k in range(1, min(length + 1, longest)):
                     left, right, n, at = extended(owner, at, k, word, word_at)
-                cols = [pa.array([x], pa.list_(pa.int64())) for x in (ids[left], word_ids[right], n)]
-                yield pa.record_batch([b["block"].slice(row, 1), *cols], names=["block", "left", "right", "n"])
+                    phrases = np.concatenate((phrases[left], right[:, None]), axis=1)
+                    if k < length:  # keep what passed
+                        order, _, _ = dealt(word_ids[phrases], parts)
+                        bits = np.concatenate([np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=x["size"]) for x in b[f"passed{k + 1}"][row].as_py() or ()] or [np.zeros(0, np.uint8)])
+                        stays = np.zeros(len(n), bool)
+                        stays[order[bits > 0]] = True
+                        phrases, owner = phrases[stays], np.repeat(np.where(stays, np.cumsum(stays) - 1, -1), n)
+                        at, owner, n = at[owner >= 0], owner[owner >= 0], n[stays]
+                        counted = phrases, n
+                if length == longest:
+                    counted = phrases, n
+                ids, sizes = (word_ids[counted[0]].ravel(), counted[1]) if length > 1 else ((), ())
+                each, hashes, counts = [], [], []
+                if length < longest and len(n):
+                    order, part, low = dealt(word_ids[phrases], parts)
+                    n = np.minimum(n[order], least).astype(kind)
+                    starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(part)]):
+                        each.append(int(part[s]))
+                        hashes.append(low[s:e].astype("<u4").tobytes())
+                        counts.append(n[s:e].tobytes())
+                cols = [b["block"].slice(row, 1), _list(ids, pa.int64()), _list(sizes, pa.int64()), _list(each, pa.int32()), _list(hashes, pa.binary()), _list(counts, pa.binary())]
+                yield pa.record_batch(cols, names=["block", "ids", "n", "parts", "hashes", "counts"])
 
     return run
 
 
-def _frequent(rows: DataFrame, keys: list[str], least: int, name: str) -> DataFrame:
-    """``rows(block, i, *keys, n)`` to ``(id, *keys, a)`` of what occurs often enough."""
-    found = rows.groupBy(*keys).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    return stash(found.withColumn("id", F.monotonically_increasing_id()), name)
+def _judge(least: int):
+    """All rows of one part to the bits of what occurs often enough by hash."""
+    kind = np.dtype("<u1" if least < 256 else "<u4")
 
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        hashes = [np.frombuffer(x, "<u4") for x in table["hashes"].to_pylist()]
+        counts = np.concatenate([np.frombuffer(x, kind) for x in table["counts"].to_pylist()])
+        _, which = np.unique(np.concatenate(hashes), return_inverse=True)
+        passed = (np.bincount(which, counts) >= least)[which]
+        sizes = [len(h) for h in hashes]
+        bits = [np.packbits(x).tobytes() for x in np.split(passed, np.cumsum(sizes)[:-1])]
+        return pa.table([table["block"], table["part"], pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], names=["block", "part", "size", "bits"])
 
-def _back(rows: DataFrame, frequent: DataFrame, keys: list[str], column: str, parts: int) -> DataFrame:
-    """For each block what of its rows is frequent: structs (i, id) in the order of i; no more than its rows."""
-    held = rows.select("block", "i", *keys).join(frequent.select(*keys, "id"), keys)
-    return stash(held.repartition(parts, "block").groupBy("block").agg(F.array_sort(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), "id"))).alias(column)), column)
+    return run
 
 
 def mined(docs: DataFrame, least: int = 10, longest: int = 3, block_bytes: int = BLOCK) -> list[DataFrame]:
     """Tables of the frequent phrases of 1, 2, ... ``longest`` words of ``docs(lang, text)``, and last the words of each language ``(lang, n)``.
 
-    Columns: id, lang, text, a (frequency), left and right (ids of the phrase without its last word, and of that
-    word), suffix (id of the phrase without its first word), firsts and rests (frequencies of both parts of each cut).
+    Columns: ids (of the words), lang, text, a (frequency), firsts and rests (frequencies of both parts of each cut).
     """
     rows = pick(docs, lang="lang", text="text").select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     blocks = stash(rows.mapInArrow(_blocks(block_bytes), BLOCKS), "blocks")
-    n_blocks = blocks.count()
+    n_blocks, n_words = blocks.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_blocks // 8)
+    hash_parts = max(1, n_words // PART)
     each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts"))).select("block", "lang", F.col("pos").alias("i"), F.col("col.words").alias("text"), F.col("col.counts").alias("n"))
-    words = _frequent(each, ["lang", "text"], least, "words")
-    joined = blocks.select("block", "codes", F.when(F.size("words") < 1 << 16, 2).otherwise(4).alias("width")).repartition(parts, "block")
-    joined = joined.join(_back(each, words, ["lang", "text"], "f1", parts), "block")
+    # a word has one row a block; the smallest of its rows' numbers is its id
+    numbered = each.repartition(parts, "lang", "text").withColumn("rid", F.monotonically_increasing_id())
+    of_word = Window.partitionBy("lang", "text")
+    held = stash(numbered.withColumn("a", F.sum("n").over(of_word)).where(F.col("a") >= least).withColumn("id", F.min("rid").over(of_word)), "words")
     none = F.array().cast("array<long>")
-    levels = [words.withColumn("suffix", F.lit(None).cast("long")).withColumn("firsts", none).withColumn("rests", none)]
-    for length in range(2, longest + 1):
-        grown = stash(joined.mapInArrow(_grow(length), GROWN), "grown")
-        each = grown.select("block", F.posexplode(F.arrays_zip("left", "right", "n"))).select("block", F.col("pos").alias("i"), "col.left", "col.right", "col.n")
-        found = _frequent(each, ["left", "right"], least, "phrases")
-        levels.append(stash(_described(found, levels[-1], levels[0]), "described"))
+    words = held.where("rid = id").select(F.array("id").alias("ids"), "lang", "text", "a", none.alias("firsts"), none.alias("rests"))
+    frequent = held.select("block", "i", "id").repartition(parts, "block").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("i", "id"))).alias("f")).select("block", F.col("f.i").alias("numbers"), F.col("f.id").alias("ids"))
+    joined = blocks.select("block", "codes", F.when(F.size("words") < 1 << 16, 2).otherwise(4).alias("width")).repartition(parts, "block").join(stash(frequent, "frequent"), "block")
+    levels = [words]
+    for length in range(1, longest + 1):
+        if length == longest == 1:
+            break
+        done = stash(joined.mapInArrow(_pass(length, longest, least, hash_parts), PASSED), "passed")
+        if length > 1:
+            phrase = F.explode(F.expr(f"transform(sequence(0, size(n) - 1), i -> struct(slice(ids, i * {length} + 1, {length}) as ids, n[i] as n))")).alias("p")
+            found = done.where("size(n) > 0").select(phrase).groupBy("p.ids").agg(F.sum("p.n").alias("a")).where(F.col("a") >= least)
+            levels.append(stash(_described(found, levels[-1], words, length), "phrases"))
         if length < longest:
-            joined = joined.join(_back(each, found, ["left", "right"], f"f{length}", parts), "block")
+            sent = done.select("block", F.explode(F.arrays_zip("parts", "hashes", "counts")).alias("c")).select("block", F.col("c.parts").alias("part"), "c.hashes", "c.counts")
+            bits = sent.groupBy("part").applyInArrow(_judge(least), "block long, part int, size int, bits binary")
+            back = stash(bits.repartition(parts, "block").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "size", "bits"))).alias(f"passed{length + 1}")), "back")
+            joined = joined.join(back, "block", "left")
     return [*levels, blocks.groupBy("lang").agg(F.sum("n_words").alias("n"))]
 
 
-def _described(found: DataFrame, shorter: DataFrame, words: DataFrame) -> DataFrame:
-    first = shorter.select(F.col("id").alias("left"), "lang", F.col("text").alias("_begin"), F.col("suffix").alias("_inner"), F.concat("firsts", F.array("a")).alias("firsts"))
-    last = words.select(F.col("id").alias("right"), F.col("text").alias("_word"))
-    out = found.join(first, "left").join(last, "right").withColumn("text", F.concat_ws(" ", "_begin", "_word"))
-    rest = shorter.select(F.col("id").alias("suffix"), F.concat(F.array("a"), "rests").alias("rests"), *([] if "left" not in shorter.columns else [F.col("left").alias("_l"), F.col("right").alias("_r")]))
-    if "left" in shorter.columns:
-        out = out.join(rest, (out["_inner"] == rest["_l"]) & (out["right"] == rest["_r"])).drop("_l", "_r")
-    else:
-        out = out.join(rest, out["right"] == rest["suffix"])
-    return out.select("id", "lang", "text", "a", "left", "right", "suffix", "firsts", "rests")
+def _described(found: DataFrame, shorter: DataFrame, words: DataFrame, length: int) -> DataFrame:
+    """Phrases with their text and the frequencies of their parts, by the phrases without the last and without the first word."""
+    first = shorter.select(F.col("ids").alias("_p"), "lang", F.col("text").alias("_begin"), F.concat("firsts", F.array("a")).alias("firsts"))
+    last = words.select(F.col("ids").alias("_w"), F.col("text").alias("_word"))
+    rest = shorter.select(F.col("ids").alias("_s"), F.concat(F.array("a"), "rests").alias("rests"))
+    out = found.withColumn("_p", F.slice("ids", 1, length - 1)).withColumn("_w", F.slice("ids", length, 1)).withColumn("_s", F.slice("ids", 2, length - 1))
+    out = out.join(first, "_p").join(last, "_w").join(rest, "_s")
+    return out.select("ids", "lang", F.concat_ws(" ", "_begin", "_word").alias("text"), "a", "firsts", "rests")
 
 
 def candidates(levels: list[DataFrame], share: int = 50) -> DataFrame:
@@ -209,8 +258,9 @@ def candidates(levels: list[DataFrame], share: int = 50) -> DataFrame:
     out = None
     for at, level in enumerate(levels):
         if at + 1 < len(levels):
-            longer = levels[at + 1].select(F.explode(F.array("left", "suffix")).alias("id"), F.col("a").alias("_longer")).groupBy("id").agg(F.max("_longer").alias("_longer"))
-            level = level.join(longer, "id", "left").where(f"_longer is null or cast(100 as decimal(3,0)) * {wide('_longer')} < cast({share} as decimal(3,0)) * {wide('a')}")
+            k = at + 2
+            longer = levels[at + 1].select(F.explode(F.array(F.slice("ids", 1, k), F.slice("ids", 2, k))).alias("ids"), F.col("a").alias("_longer")).groupBy("ids").agg(F.max("_longer").alias("_longer"))
+            level = level.join(longer, "ids", "left").where(f"_longer is null or cast(100 as decimal(3,0)) * {wide('_longer')} < cast({share} as decimal(3,0)) * {wide('a')}")
         some = level.withColumn("_cut", cut).select("lang", F.col("text").alias("phrase"), "a", F.expr("firsts[_cut.k - 1]").alias("l"), F.expr("rests[_cut.k - 1]").alias("r"), F.col("_cut.score").alias("score"))
         out = some if out is None else out.union(some)
     return out
