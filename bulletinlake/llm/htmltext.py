@@ -7,8 +7,9 @@ deleted. Inside the article (or what stands for it, below) a subtree must be on
 and ``inner_share`` of the host's, so passages that a site's articles share stay; the counts of one
 place delete nothing in the other. Elements that are boilerplate by tag, role or
 class (menus, headers and footers outside the article, sidebars, notices, adverts, forms,
-comments, scripts, styles) are deleted on any page, also where a host has few pages. Inside the article
-only classes made of nothing but words of widgets count, so ``share-price`` or a heading's id stays.
+comments, scripts, styles) are deleted on any page, also where a host has few pages. Only classes made of nothing
+but words of widgets count, so ``with-sidebar``, ``share-price`` or a heading's id stays, and no element goes for its class
+(or as a form) that holds most of the text of the page's articles or, where there are none, of the page.
 
 From what is left the articles (in page order, without nested ones, comments and teasers; else main,
 else the largest content container, else the body) give their text: character references decoded, white space inside a block one space, blocks
@@ -56,7 +57,9 @@ DROP_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices notification comment comments respond disqus share sharing social related recommended newsletter subscribe subscription signup login "
     "popup modal overlay pagination pager toolbar widget widgets skip masthead".split()
 )
-WIDGET_PARTS = frozenset("area bar block box buttons container content form group inline inner items link links list panel post posts section slot small unit wrap wrapper zone".split())
+WIDGET_PARTS = frozenset("area bar block bottom box buttons col column container content form global group header inline inner items left link links list main module page panel post posts primary right row secondary section site slot small top unit wrap wrapper zone".split())
+ITEM_PARTS = frozenset("article entry item news story".split())
+NEVER_TEXT = DROP_TAGS - frozenset("form dialog label menu".split())
 TEASER_WORDS = frozenset("teaser card preview excerpt comment comments reply related".split())
 OUTER_WORDS = frozenset("header topbar site-header".split())
 CONTENT_WORDS = frozenset("article content post entry story articlebody maintext".split())
@@ -133,20 +136,32 @@ def _words(node: Node) -> set[str]:
     return set(re.split(r"[^a-z0-9]+", found)) | set(found.split())
 
 
-def _widget(node: Node) -> bool:
-    """Is a class (or the id of a plain box) made of nothing but words of widgets? Ids of headings and sections come from titles."""
+def _named(node: Node, words: frozenset[str], others: frozenset[str]) -> bool:
+    """Is a class (or the id of a plain box) made of nothing but ``words``, one at least, and ``others``? Ids of headings and sections come from titles."""
+    if not node.attrs:
+        return False
     names = node.attrs.get("class", "").lower().split()
     if node.tag in ("div", "ul", "ol", "table"):
         names.append(node.attrs.get("id", "").lower())
     for name in names:
         parts = set(filter(None, re.split(r"[^a-z0-9]+", name)))
-        if parts & DROP_WORDS and parts <= DROP_WORDS | WIDGET_PARTS:
+        if parts & words and parts <= words | others:
             return True
     return False
 
 
-def boilerplate(node: Node, inside: bool) -> bool:
-    """By tag, role, class or being hidden; ``inside``: within the article, where only whole names of widgets count."""
+def _widget(node: Node) -> bool:
+    return _named(node, DROP_WORDS, WIDGET_PARTS)
+
+
+def _teaser(node: Node) -> bool:
+    return _named(node, TEASER_WORDS, WIDGET_PARTS | ITEM_PARTS)
+
+
+def boilerplate(node: Node, inside: bool, safe: set[int] | frozenset[int] = frozenset()) -> bool:
+    """By tag, role, class or being hidden; ``inside``: within the article; ``safe``: elements that hold the article (``holders``)."""
+    if id(node) in safe:
+        return node.tag in NEVER_TEXT
     if node.tag in DROP_TAGS or (node.tag == "header" and not inside):
         return True
     a = node.attrs
@@ -156,15 +171,46 @@ def boilerplate(node: Node, inside: bool) -> bool:
         return True
     if node.tag in ("html", "body", "#root") or not ("class" in a or "id" in a):
         return False
-    if inside:
-        return _widget(node)
-    words = _words(node)
-    return bool(words & DROP_WORDS) or bool(words & OUTER_WORDS)
+    return _widget(node) or (not inside and bool(set(a.get("class", "").lower().split()) & OUTER_WORDS))
+
+
+def holders(root: Node) -> set[int]:
+    """Elements that hold most of the text of the page's articles or, where it has none, most of its text; they aren't dropped for a class or as forms.
+
+    Text in links and in what is never text doesn't count, nor do comments and teasers.
+    """
+    order: list[tuple[Node, Node | None]] = []
+    stack: list[tuple[Node, Node | None]] = [(root, None)]
+    while stack:
+        node, top = stack.pop()
+        if node is not root and (node.tag in NEVER_TEXT or node.tag == "a" or _teaser(node)):
+            continue
+        top = top or (node if node.tag in ("article", "main") or node.attrs.get("role", "").lower() == "main" else None)
+        order.append((node, top))
+        stack.extend((k, top) for k in node.kids if isinstance(k, Node))
+    size = {id(n): sum(len(k.strip()) for k in n.kids if isinstance(k, str)) for n, _ in order}
+    for node, _ in reversed(order):
+        if node.parent is not None:
+            size[id(node.parent)] += size[id(node)]
+    tops = [n for n, top in order if n is top and size[id(n)]]
+    safe: set[int] = set()
+    if tops:
+        most = max(tops, key=lambda n: size[id(n)])
+        node = most if 2 * size[id(most)] > sum(size[id(n)] for n in tops) else None
+        while node is not None:
+            safe.add(id(node))
+            node = node.parent
+        return safe
+    node = root if size[id(root)] else None
+    while node is not None:
+        safe.add(id(node))
+        node = next((k for k in node.kids if isinstance(k, Node) and 2 * size.get(id(k), 0) > size[id(root)]), None)
+    return safe
 
 
 def subtrees(root: Node) -> list[tuple[Node, int, bool]]:
     """Every element with text, its hash and whether it is inside the container that gives the text."""
-    tops, inner = _content(root, set())
+    tops, inner = _content(root, set(), holders(root))
     chosen = {id(t) for t in tops}
     found: list[tuple[Node, int, bool]] = []
     order: list[tuple[Node, bool]] = []
@@ -193,29 +239,25 @@ def subtrees(root: Node) -> list[tuple[Node, int, bool]]:
     return found
 
 
-def _size(node: Node, gone: set[int], inside: bool) -> int:
+def _size(node: Node, gone: set[int], inside: bool, safe: set[int]) -> int:
     total, stack = 0, [(node, inside)]
     while stack:
         n, within = stack.pop()
         for k in n.kids:
             if isinstance(k, str):
                 total += len(k.strip())
-            elif id(k) not in gone and not boilerplate(k, within):
+            elif id(k) not in gone and not boilerplate(k, within, safe):
                 stack.append((k, within))
     return total
 
 
-def _teaser(node: Node) -> bool:
-    return bool(_words(node) & TEASER_WORDS)
-
-
-def _content(root: Node, gone: set[int]) -> tuple[list[Node], bool]:
+def _content(root: Node, gone: set[int], safe: set[int]) -> tuple[list[Node], bool]:
     """The articles (but nested ones, comments and teasers), else main, else the largest content container, else all."""
     article, main, other = [], [], []
     stack = [(root, False)]
     while stack:
         n, within = stack.pop()
-        if n is not root and (id(n) in gone or boilerplate(n, within)):
+        if n is not root and (id(n) in gone or boilerplate(n, within, safe)):
             continue
         if n.tag == "article" and not within:
             article.append(n)
@@ -225,18 +267,19 @@ def _content(root: Node, gone: set[int]) -> tuple[list[Node], bool]:
             other.append(n)
         within = within or n.tag == "article"
         stack.extend((k, within) for k in reversed(n.kids) if isinstance(k, Node))
-    found = [n for n in article if _size(n, gone, True) > 0]
+    found = [n for n in article if _size(n, gone, True, safe) > 0]
     if found:
         return [n for n in found if not _teaser(n)] or found, True
     for found in (main, other):
-        sized = [(_size(n, gone, True), -i, n) for i, n in enumerate(found)]
+        sized = [(_size(n, gone, True, safe), -i, n) for i, n in enumerate(found)]
         if sized and max(sized)[0] > 0:
             return [max(sized)[2]], True
     return [root], False
 
 
 def text_of(root: Node, gone: set[int]) -> str:
-    tops, inside = _content(root, gone)
+    safe = holders(root)
+    tops, inside = _content(root, gone, safe)
     chosen = {id(t) for t in tops}
     blocks: list[str] = []
     parts: list[str] = []
@@ -254,7 +297,7 @@ def text_of(root: Node, gone: set[int]) -> str:
             flush()
         elif isinstance(x, str):
             parts.append(x)
-        elif id(x) in chosen or (id(x) not in gone and not boilerplate(x, inside)):
+        elif id(x) in chosen or (id(x) not in gone and not boilerplate(x, inside, safe)):
             if x.tag == "br":
                 parts.append(" ")
             elif x.tag in BLOCK:
