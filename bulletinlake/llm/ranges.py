@@ -42,6 +42,39 @@ def _bounds(rows: DataFrame, first: str, second: str, parts: int) -> tuple[np.nd
     return (a[order][at], b[order][at]) if len(order) else (a, b)
 
 
+def packed(docs: DataFrame, n_docs: int, emit: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, first: str, second: str, parts: int) -> DataFrame:
+    """As ``ranged`` in ``parts`` partitions, but what a batch of ``emit`` has for a partition is one row: each column (of numbers) as bytes.
+
+    ``unpacked`` reads all of a partition; choose ``parts`` so that this fits a task.
+    """
+    share = parts * DOCS / max(1, n_docs)
+    sampled = docs.sample(share, SEED) if share < 1 else docs
+    bounds = _bounds(sampled.mapInArrow(emit, schema), first, second, parts)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in emit(batches):
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            part = part_of(*(cols[b.schema.names.index(c)] for c in (first, second)), *bounds)
+            order = np.argsort(part, kind="stable")
+            part = part[order]
+            starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.empty(0, np.int64)
+            ends = [*starts[1:].tolist(), len(part)]
+            out = [pa.array([c[order[s:e]].tobytes() for s, e in zip(starts.tolist(), ends)], pa.binary()) for c in cols]
+            yield pa.record_batch([*out, pa.array(part[starts], pa.int32())], names=[*b.schema.names, "_part"])
+
+    names = [x.split()[0] for x in schema.split(", ")]
+    return docs.mapInArrow(placed, ", ".join(f"{n} binary" for n in names) + ", _part int").repartitionById(parts, F.col("_part")).drop("_part")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], kinds: dict[str, str]) -> list[np.ndarray]:
+    """All rows of a partition of ``packed``, a column each of ``kinds`` (numpy types), in no order."""
+    held: list[list[bytes]] = [[] for _ in kinds]
+    for b in batches:
+        for some, name in zip(held, kinds):
+            some.extend(b[name].to_pylist())
+    return [np.frombuffer(b"".join(some), kind) for some, kind in zip(held, kinds.values())]
+
+
 def ranged(docs: DataFrame, n_docs: int, emit: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, first: str, second: str) -> DataFrame:
     """``docs.mapInArrow(emit, schema)`` range-partitioned by the long columns ``first`` and ``second``, without nulls in them.
 

@@ -362,6 +362,45 @@ def test_html_keeps_what_only_sounds_like_a_widget():
     assert htmltext.main_text(page) == "Side effects\nShares rose\nWidgets cost 3\nRelated work\nLet x be\nSecond part"
 
 
+BODY = "The council met on Tuesday and agreed on the plan for the harbour, which had been open for months."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="page with-sidebar"><article><p>{}</p></article><div class="sidebar"><p>more</p></div></div>',
+        '<div class="content has-sidebar"><p>{}</p></div>',
+        '<div class="content-sidebar-wrap"><div class="content"><p>{}</p></div><div class="sidebar">links</div></div>',
+        '<div id="side-by-side"><article><p>{}</p></article></div>',
+        '<main class="layout no-social"><p>{}</p></main>',
+        '<section id="press-notice"><article><p>{}</p></article></section>',
+        '<div class="news share-enabled"><p>{}</p></div>',
+        '<article class="comments-open post"><p>{}</p></article><article class="comment"><p>nice</p></article>',
+        '<article class="comments-open post"><p>{}</p></article><div class="comments"><article><p>nice</p></article></div>',
+        '<form id="aspnet"><div class="menu"><a>Home</a></div><article><p>{}</p></article></form>',
+        '<form id="aspnet"><nav><a>Home</a></nav><div id="widget-panel"><p>{}</p></div></form>',
+        '<div class="sidebar-wrapper"><div class="promo"><article><p>short</p></article></div><article><p>{}</p></article></div>',
+        '<div class="notice"><h1>{}</h1></div><div class="comments"><p>nice</p></div>',
+    ],
+)
+def test_html_never_drops_what_holds_the_article(page):
+    text = htmltext.main_text(f"<html><body>{page.format(BODY)}</body></html>")
+    assert text in (BODY, f"short\n{BODY}")
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article><p>{}</p></article><div class="related-posts"><article><p>Another story of some length</p></article></div>',
+        '<div class="content"><p>{}</p></div><div class="comments"><p>A comment that is a good deal longer than the text above it, for whatever reason, and goes on.</p></div>',
+        '<div class="content"><p>{}</p><div class="share-buttons"><a>Share</a></div><div class="newsletter-box">Subscribe</div></div><div class="cookie-notice">We use cookies</div>',
+        '<div><p>{}</p></div><div class="top-nav"><a>Home</a></div><div class="site-footer">Imprint</div><div class="sidebar left"><p>links</p></div>',
+    ],
+)
+def test_html_still_drops_what_stands_beside_the_article(page):
+    assert htmltext.main_text(f"<html><body>{page.format(BODY)}</body></html>") == BODY
+
+
 def test_html_counts_subtrees_as_brute_force_does(spark):
     rng = np.random.default_rng(31)
     boxes = [f"<div><p>Box {k}</p></div>" for k in range(6)]
@@ -548,10 +587,12 @@ def test_substring_finds_partners_behind_a_decoy(spark):
     passage = fresh(60)
     decoy = [w for i in range(0, 56, 5) for w in (*passage[i : i + 5], *fresh(60))]
     decoy += [w for i in range(56) for w in (*passage[i : i + 5], *fresh(60))]  # each single five-gram
+    decoy += [w for i in range(52) for w in (*passage[i : i + 9], *fresh(60))]  # and every seed, nine words at a time
     rows = [(1, decoy), (2, fresh(20) + passage + fresh(20)), (3, fresh(30) + passage + fresh(10)), (4, passage)]
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
     got = {r["doc_id"]: [(p["start"], p["words"], p["of"]) for p in r["passages"]] for r in substring.repeated_passages(docs).collect()}
-    assert got == {1: [], 2: [], 3: [(30, 60, 2)], 4: [(0, 60, 2)]}
+    assert got[1] == got[2] == [] and got[3] == [(30, 60, 2)]
+    assert (0, 60, 2) in got[4] and {p[:2] for p in got[4]} == {(0, 60)} and {p[2] for p in got[4]} <= {2, 3}
 
 
 def test_top_k(spark, monkeypatch):
@@ -666,3 +707,48 @@ def test_passages_against_brute_force_local_alignment(spark):
     found = [j for j in asked if any(p["of"] == j - 1 and p["matched"] >= 0.9 * want[j][0][4] for p in got[j])]
     assert len(asked) > 80 and len(found) >= 0.95 * len(asked)
     assert not any(got[i] for i, _ in rows[::2])
+
+
+def test_substring_finds_passages_of_which_earlier_documents_hold_parts(spark):
+    """Every seed of a passage is in four earlier documents that each hold 22 of its words; and passages of few different words."""
+    new = iter(range(10**6))
+    fresh = lambda n: [f"w{next(new)}" for _ in range(n)]
+    passages = [fresh(60) for _ in range(40)]
+    rows = [fresh(20) + p[a : a + 22] + fresh(20) for p in passages for a in (0, 13, 26, 38)]
+    rows += [fresh(30) + p + fresh(20) for p in passages] + [fresh(10) + p + fresh(20) for p in passages]
+    few = [["la"] * 60, ["yes", "no"] * 30]
+    rows += [fresh(20) + p + fresh(5) for p in few for _ in range(2)]
+    out = substring.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")).collect()
+    got = {r["doc_id"]: [(p["start"], p["words"], p["of"]) for p in r["passages"]] for r in out}
+    for i in range(40):
+        assert got[200 + i] == [(10, 60, 160 + i)] and got[160 + i] == []
+    assert [r["n_cut"] for r in sorted(out, key=lambda r: r["doc_id"])[240:]] == [0, 60, 0, 60]
+
+
+def test_substring_recall_of_fuzzy_passages_with_many_holders(spark):
+    """45 to 80 words, 3 to 20 holders, likeness 0.8 to 0.9 to the first holder, with an earlier document that holds a third of the passage."""
+    rng = np.random.default_rng(47)
+    new = iter(range(10**7))
+    fresh = lambda n: [f"w{next(new)}" for _ in range(n)]
+    decoys, firsts, copies = [], [], []
+    for n in (45, 50, 60, 80):
+        for likeness in (0.8, 0.85, 0.9):
+            for holders in (3, 8, 20):
+                passage = fresh(n)
+                begin = int(rng.integers(0, n - n // 3))
+                decoys.append(fresh(10) + passage[begin : begin + n // 3] + fresh(10))
+                firsts.append(fresh(int(rng.integers(0, 40))) + passage + fresh(int(rng.integers(0, 40))))
+                for _ in range(holders - 1):
+                    copy = list(passage)
+                    for at in 1 + rng.choice(n - 2, int(n * (1 - likeness) + 1e-9), replace=False):
+                        copy[at] = fresh(1)[0]
+                    before = int(rng.integers(0, 40))
+                    copies.append((likeness, n, before, fresh(before) + copy + fresh(int(rng.integers(0, 40)))))
+    rows = [*decoys, *firsts, *(c[3] for c in copies)]
+    got = {r["doc_id"]: r["passages"] for r in substring.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")).collect()}
+    found = defaultdict(list)
+    for i, (likeness, n, before, _) in enumerate(copies, len(decoys) + len(firsts)):
+        found[likeness, n].append(any(p["start"] <= before + 0.1 * n and p["start"] + p["words"] >= before + 0.9 * n for p in got[i]))
+    shares = {k: sum(v) / len(v) for k, v in found.items()}
+    assert sum(map(sum, found.values())) >= 0.97 * len(copies), shares
+    assert min(shares.values()) >= 0.9, shares
