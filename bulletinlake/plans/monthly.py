@@ -137,7 +137,7 @@ def monthly_issue(rows: DataFrame, issue: str, limit: int = 5, per_source: int =
     last = some.select(F.col("id").alias("_id"), *[F.col(c).alias(f"_last_{c}") for c, _ in ORDER])
     ends = told.where("rule is not null").join(last, F.col("id") == F.col("_id"), "left").select(F.col(issue).alias("_issue"), F.col("rule").alias("_rule"), F.col("through").alias("_through"), *[f"_last_{c}" for c, _ in ORDER])
     joined = judged.join(places, F.col("id") == F.col("_id"), "left").join(ends, F.col(issue).eqNullSafe(F.col("_issue")) & F.col("rule").eqNullSafe(F.col("_rule")), "left")
-    passed = F.coalesce(F.col("_through"), F.lit(False)) | F.coalesce(at_or_before(ORDER, {c: F.col(f"_last_{c}") for c, _ in ORDER}), F.lit(False))
+    passed = F.coalesce(F.col("_through"), F.lit(False)) | F.coalesce(F.col("_last_id").isNotNull() & at_or_before(ORDER, {c: F.col(f"_last_{c}") for c, _ in ORDER}), F.lit(False))
     left = F.when(F.col("pinned"), PIN_CAP).when(F.coalesce("_plain", F.lit(False)), BUMPED).when(passed, DIVERSITY).otherwise(SECTION_CAP)
     is_in = F.col("position").isNotNull()
     open_row = F.col("outcome") == "candidate"
