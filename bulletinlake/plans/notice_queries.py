@@ -1,14 +1,16 @@
-"""Queries of the notice rules: listings and upkeep over the driver's tables, Korean rules over rows given here.
+"""Queries of the notice rules: listings and upkeep over the driver's tables, Korean rules over texts made from ``orders``.
 
-The rows of Korean text are small tables of cases, the same in the query and in its SQL. Where SQL can't
-tell a rule briefly, the SQL has the rows that the rule must give, written out as values.
+The driver's tables hold no Korean text. So each order writes a text of its own by one of some patterns, which its number chooses, with
+its number and dates in it (``MARKS``); the SQL fills the same marks into what the rule must give for the pattern. Rules that compare rows
+get a group of rows for each customer.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, evidence, notices, text
@@ -35,8 +37,58 @@ def values(columns: str, rows: Sequence[tuple]) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(_value, r)) + ')' for r in rows)}) t({', '.join(names)})"
 
 
-def expected(columns: str, rows: Sequence[tuple]) -> str:
-    return f"SELECT * FROM {values(columns, rows)}"
+# Marks in patterns, and what stands for them: the row's number, its date thirty years on and the date twenty days later, with and without zeros.
+MARKS = {
+    "@K": ("cast(k as string)", "CAST(k AS VARCHAR)"), "@I": ("date_format(d, 'yyyy-MM-dd')", "strftime(d, '%Y-%m-%d')"), "@J": ("date_format(e, 'yyyy-MM-dd')", "strftime(e, '%Y-%m-%d')"),
+    "@N": ("date_format(d, 'yyyyMMdd')", "strftime(d, '%Y%m%d')"), "@O": ("date_format(e, 'yyyyMMdd')", "strftime(e, '%Y%m%d')"), "@P": ("date_format(d, 'yyyy. M. d.')", "strftime(d, '%Y. %-m. %-d.')"),
+    "@Q": ("date_format(e, 'yyyy. M. d.')", "strftime(e, '%Y. %-m. %-d.')"), "@R": ("date_format(d, 'yyyy.MM.dd')", "strftime(d, '%Y.%m.%d')"), "@S": ("date_format(e, 'yyyy.MM.dd')", "strftime(e, '%Y.%m.%d')"),
+    "@T": ("date_format(d, 'yy-MM-dd')", "strftime(d, '%y-%m-%d')"), "@U": ("date_format(d, 'EEE, dd MMM yyyy')", "strftime(d, '%a, %d %b %Y')"), "@V": ("date_format(d, 'M.d')", "strftime(d, '%-m.%-d')"),
+    "@W": ("concat(extract(yearofweek from d), '-W', lpad(weekofyear(d), 2, '0'))", "strftime(d, '%G-W%V')"), "@X": ("date_format(d, 'yyyy')", "strftime(d, '%Y')"),
+    "@Y": ("date_format(date_trunc('week', d), 'yyyy-MM-dd')", "strftime(date_trunc('week', d), '%Y-%m-%d')"), "@Z": ("date_format(date_add(to_date(date_trunc('week', d)), 6), 'yyyy-MM-dd')", "strftime(date_trunc('week', d) + INTERVAL 6 DAY, '%Y-%m-%d')"),
+    "@A": ("date_format(d, 'yyyy-MM')", "strftime(d, '%Y-%m')"), "@B": ("date_format(last_day(d), 'yyyy-MM-dd')", "strftime(last_day(d), '%Y-%m-%d')"),
+}
+_ORDERS = "SELECT o_orderkey AS k, CAST(o_orderdate + INTERVAL 30 YEAR AS DATE) AS d, CAST(o_orderdate + INTERVAL 30 YEAR AS DATE) + 20 AS e FROM orders"
+_CUSTOMERS = "SELECT c_custkey AS k, DATE '2026-09-01' AS d, DATE '2026-09-21' AS e FROM customer"
+
+
+def _numbered(rows: Sequence[tuple]) -> int:
+    """What a pattern's own number, if it has one, starts from."""
+    return rows[0][0] if isinstance(rows[0][0], int) and not isinstance(rows[0][0], bool) else 0
+
+
+def expected(columns: str, rows: Sequence[tuple], cases: Sequence[tuple]) -> str:
+    """SQL: for each order the rows of its pattern, with marks filled in. ``id`` is the order's number; the first column of ``rows`` chooses them."""
+    names = [c.split() for c in columns.split(", ")]
+    marked = lambda n: _filled_sql(n) if any("@" in str(r[[x[0] for x in names].index(n)]) for r in rows) else n
+    shown = ", ".join("k AS id" if i == 0 else f"{marked(n)} AS {n}" for i, (n, _) in enumerate(names))
+    return f"SELECT {shown} FROM ({_ORDERS}) JOIN (SELECT * FROM {values(columns, rows)}) ON k % {len(cases)} = {names[0][0]} - {_numbered(cases)}"
+
+
+def expected_groups(columns: str, rows: Sequence[tuple], ids: Sequence[str]) -> str:
+    """SQL: ``rows`` for each customer; ``ids`` are columns of row numbers, which become ten times the customer's number and them."""
+    shown = ", ".join(f"k * 10 + {n} AS {n}" if n in ids else n for n in (c.split()[0] for c in columns.split(", ")))
+    return f"SELECT {shown} FROM ({_CUSTOMERS}), (SELECT * FROM {values(columns, rows)})"
+
+
+def _filled_sql(column: str) -> str:
+    for mark, (_, sql) in MARKS.items():
+        column = f"replace({column}, '{mark}', {sql})"
+    return column
+
+
+def _filled(c: Column) -> Column:
+    for mark, (expr, _) in MARKS.items():
+        unquoted = "'".join(re.sub(r"\b([kde])\b", r"_o.\1", x) if i % 2 == 0 else x for i, x in enumerate(expr.split("'")))
+        c = F.replace(c, F.lit(mark), F.expr(unquoted))
+    return c
+
+
+def _fill(df: DataFrame, columns: str, rows: Sequence[tuple]) -> DataFrame:
+    out = df
+    for i, name in enumerate(c.split()[0] for c in columns.split(", ")):
+        if any("@" in str(r[i]) for r in rows):
+            out = out.withColumn(name, F.transform(name, _filled) if isinstance(next(r[i] for r in rows if r[i]), list) else _filled(F.col(name)))
+    return out
 
 
 # Listings over the driver's tables
@@ -346,24 +398,24 @@ def sets_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", F.concat(F.lit('{"k":"'), F.array_join(kept, ","), F.lit('"}')).alias("state"))
 
 
-# Korean rules over rows given here
+# Korean rules over texts of the orders
 
 TITLES = [
-    (1, "  [서울] 2026년  산림 지원사업 (3차) 공고​ "),
+    (1, "  [서울] @X년  산림 지원사업 (3차) 공고​ @K"),
     (2, "「마을기업」 육성사업 모집 - 2차·추가"),
     (3, "# 협동조합 <b>지원</b> — 안내"),
     (4, None),
-    (5, "12. 사회적기업 (예비) 인증 공고 2026.09.30."),
+    (5, "12. 사회적기업 (예비) 인증 공고 @R."),
     (6, "[경기][공고] 임업인 교육(상반기) 신청"),
 ]
-TITLE_SQL = f"""WITH r AS (SELECT id, coalesce(title, '') AS raw FROM {values("id int, title string", TITLES)}),
+TITLE_SQL = f"""WITH r AS (SELECT id, coalesce(title, '') AS raw FROM ({expected("id int, title string", TITLES, TITLES)})),
 n AS (SELECT id, raw, trim(regexp_replace(regexp_replace(raw, '[\\x{{200b}}]', '', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g')) AS t FROM r),
 d AS (SELECT *, regexp_replace(t, '\\d{{1,4}}\\s*[.\\-/]\\s*\\d{{1,2}}(?:\\s*[.\\-/]\\s*\\d{{1,2}})?\\.?|\\d{{1,4}}\\s*년|\\d{{1,2}}\\s*월|\\d{{1,2}}\\s*일|\\d{{1,2}}\\s*차|\\d{{1,2}}\\s*분기', ' ', 'g') AS undated FROM n)
 """
 
 
-def _titles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TITLES, "id int, title string")
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cases(spark, sf_dir, "id int, title string", TITLES)
 
 
 @query(
@@ -373,7 +425,7 @@ trim(regexp_replace(regexp_replace(undated, '[^0-9A-Za-z가-힣ㄱ-ㅎㅏ-ㅣ\\s
 )
 def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("title")
-    return _titles(spark).select("id", text.normalise_title(t).alias("normal"), text.merge_title_key(t).alias("merge_key"), text.crawler_title_key(t).alias("crawler_key"), text.dedup_key(t).alias("dedup_key"))
+    return _titles(spark, sf_dir).select("id", text.normalise_title(t).alias("normal"), text.merge_title_key(t).alias("merge_key"), text.crawler_title_key(t).alias("crawler_key"), text.dedup_key(t).alias("dedup_key"))
 
 
 @query(
@@ -383,40 +435,52 @@ array_to_string([x FOR x IN regexp_split_to_array(lower(translate(raw, '()[]{}
 )
 def council_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("title")
-    return _titles(spark).select("id", text.council_key(t).alias("council_key"), F.array_join(text.council_tokens(t), "|").alias("tokens"))
+    return _titles(spark, sf_dir).select("id", text.council_key(t).alias("council_key"), F.array_join(text.council_tokens(t), "|").alias("tokens"))
+
+
+def _cases(spark: SparkSession, sf_dir: str, columns: str, rows: Sequence[tuple], of: int | None = None) -> DataFrame:
+    """A row for each order by its pattern (of ``of``; those without one have none); ``id``, the first column, is the order's number."""
+    first = columns.split(" ")[0]
+    orders = table(spark, sf_dir, "orders").selectExpr("struct(o_orderkey as k, add_months(to_date(o_orderdate), 360) as d, date_add(add_months(to_date(o_orderdate), 360), 20) as e) as _o")
+    patterns = F.broadcast(spark.createDataFrame(list(rows), columns))  # as many rows as written here
+    joined = orders.join(patterns, F.expr(f"_o.k % {of or len(rows)} = {first} - {_numbered(rows)}"))
+    return _fill(joined, columns, rows).withColumn(first, F.col("_o.k")).drop("_o")
 
 
-def _cases(spark: SparkSession, columns: str, rows: Sequence[tuple]) -> DataFrame:
-    return spark.createDataFrame(list(rows), columns)
+def _groups(spark: SparkSession, sf_dir: str, columns: str, rows: Sequence[tuple]) -> DataFrame:
+    """The rows for each customer, numbered by ten times the customer's number and their own."""
+    customers = table(spark, sf_dir, "customer").selectExpr("struct(c_custkey as k, date'2026-09-01' as d, date'2026-09-21' as e) as _o")
+    joined = customers.crossJoin(F.broadcast(spark.createDataFrame(list(rows), columns)))  # as many rows as written here
+    return _fill(joined, columns, rows).withColumn("id", F.col("_o.k") * 10 + F.col("id")).drop("_o")
 
 
-STRINGS = [(1, "문의 abc@d.kr, 010-1234-5678 (담당)", "api_key=XYZ&x=1", "a/b:c?.csv"), (2, None, None, None), (3, "정산 (1차) 안내(공통)", "Authorization: 'q w'", " plain ")]
+STRINGS = [(1, "문의 abc@K@d.kr, 010-1234-5678 (담당)", "api_key=XYZ&x=@K", "a/b:c?@K.csv"), (2, None, None, None), (3, "정산 (1차) 안내(공통)", "Authorization: 'q w'", " plain ")]
 
 
 @query(expected("id int, masked string, safe string, hidden string, notes string, rounds string, numbers string, clean string", [
-    (1, "문의 [email], [phone] (담당)", "a_b_c_.csv", "api_key=***&x=1", "문의 abc@d.kr, 010-1234-5678", "", "010|1234|5678", "문의 abc@d.kr, 010-1234-5678 (담당)"),
+    (1, "문의 [email], [phone] (담당)", "a_b_c_@K.csv", "api_key=***&x=@K", "문의 abc@K@d.kr, 010-1234-5678", "", "@K|010|1234|5678", "문의 abc@K@d.kr, 010-1234-5678 (담당)"),
     (2, "", "", "", "", "", "", ""),
     (3, "정산 (1차) 안내(공통)", "plain", "Authorization: '*** w'", "정산 (1차) 안내", "1차", "1", "정산 (1차) 안내(공통)"),
-]))
+], STRINGS))
 def string_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, c = F.col("a"), F.col("b"), F.col("c")
     rules = {"masked": text.mask_contacts(a), "safe": text.safe_filename(c), "hidden": text.redact(b), "notes": text.strip_notes(a), "rounds": text.round_tokens(a), "numbers": F.array_join(text.number_tokens(a), "|"), "clean": text.clean_text(a)}
-    return _cases(spark, "id int, a string, b string, c string", STRINGS).select("id", *[r.alias(n) for n, r in rules.items()])
+    return _cases(spark, sf_dir, "id int, a string, b string, c string", STRINGS).select("id", *[r.alias(n) for n, r in rules.items()])
 
 
-BRACKETS = [(1, "[경기][공고] 임업인 교육(상반기) 신청"), (2, "# 협동조합 <b> — 안내"), (3, "[안내](https://x.kr/a(1)) 보기"), (4, None), (5, "1. 시작 (가 (나) 다) 끝")]
+BRACKETS = [(1, "[경기][공고] 임업인 @K 교육(상반기) 신청"), (2, "# 협동조합 <b> — 안내"), (3, "[안내](https://x.kr/a(1)) 보기"), (4, None), (5, "1. 시작 (가 (나) 다) 끝")]
 
 
 @query(expected("id int, shown string, bare string, groups string, prefix string", [
-    (1, "[경기][공고] 임업인 교육(상반기) 신청", "임업인 교육 신청", "경기|공고|상반기", "[경기][공고]"),
+    (1, "[경기][공고] 임업인 @K 교육(상반기) 신청", "임업인 @K 교육 신청", "경기|공고|상반기", "[경기][공고]"),
     (2, "＃ 협동조합 ＜b＞ – 안내", "# 협동조합 — 안내", "", ""),
     (3, "안내 보기", "보기", "안내|1", "[안내]"),
     (4, "", "", "", ""),
     (5, "1． 시작 (가 (나) 다) 끝", "1. 시작 끝", "나", ""),
-]))
+], BRACKETS))
 def bracket_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("title")
-    return _cases(spark, "id int, title string", BRACKETS).select("id", text.sanitise_title(t).alias("shown"), text.strip_brackets(t).alias("bare"), F.array_join(text.bracket_groups(t), "|").alias("groups"), text.prefix_signature(t).alias("prefix"))
+    return _cases(spark, sf_dir, "id int, title string", BRACKETS).select("id", text.sanitise_title(t).alias("shown"), text.strip_brackets(t).alias("bare"), F.array_join(text.bracket_groups(t), "|").alias("groups"), text.prefix_signature(t).alias("prefix"))
 
 
 @query("SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9])the([^a-z0-9]|$)') AS short_word, contains(lower(text), 'ation') AS long_word FROM documents")
@@ -425,25 +489,25 @@ def keyword_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.keyword_match(low, "the").alias("short_word"), text.keyword_match(low, "ation").alias("long_word"))
 
 
-URLS = [(1, "https://a.kr/view?bsIdx=10002&bIdx=252628"), (2, "https://a.kr/post/77.do"), (3, None)]
+URLS = [(1, "https://a.kr/view?bsIdx=10002&bIdx=@K"), (2, "https://a.kr/post/@K.do"), (3, None)]
 
 
-@query("SELECT id, CASE id WHEN 1 THEN '252628' WHEN 2 THEN '77' ELSE left(md5(''), 16) END AS source_id, CASE id WHEN 3 THEN 'x' ELSE url || ' | x' END AS summary FROM " + values("id int, url string", URLS))
+@query(f"SELECT id, CASE WHEN url IS NULL THEN left(md5(''), 16) ELSE CAST(id AS VARCHAR) END AS source_id, coalesce(url || ' | x', 'x') AS summary FROM ({expected('id int, url string', URLS, URLS)})")
 def ids_from_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
-    return _cases(spark, "id int, url string", URLS).select("id", text.id_from_url(url, [r"[?&]bIdx=(\d+)", r"/post/(\d+)"]).alias("source_id"), text.summary_of_parts(url, F.lit(" "), F.lit("x")).alias("summary"))
+    return _cases(spark, sf_dir, "id int, url string", URLS).select("id", text.id_from_url(url, [r"[?&]bIdx=(\d+)", r"/post/(\d+)"]).alias("source_id"), text.summary_of_parts(url, F.lit(" "), F.lit("x")).alias("summary"))
 
 
-PLAIN = [(1, "보통의 문장입니다."), (2, "보기 https://x.kr"), (3, "굵게 *쓴* 문장"), (4, " "), (5, "줄\n바꿈")]
+PLAIN = [(1, "보통의 @K 문장입니다."), (2, "보기 https://x.kr"), (3, "굵게 *쓴* 문장"), (4, " "), (5, "줄\n바꿈")]
 
 
-@query(expected("id int, problem string", [(1, None), (2, "url"), (3, "markdown character"), (4, "empty"), (5, "control character")]))
+@query(expected("id int, problem string", [(1, None), (2, "url"), (3, "markdown character"), (4, "empty"), (5, "control character")], PLAIN))
 def format_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cases(spark, "id int, t string", PLAIN).select("id", text.format_problem(F.col("t")).alias("problem"))
+    return _cases(spark, sf_dir, "id int, t string", PLAIN).select("id", text.format_problem(F.col("t")).alias("problem"))
 
 
 NOTICES = [
-    (1, "산지관리법 시행령 개정 입법예고 공고", "lawmaking", "notice", "제도: 입법예고"),
+    (1, "산지관리법 시행령 개정 입법예고 공고 @K", "lawmaking", "notice", "제도: 입법예고"),
     (2, "나눔의 숲 캠프 모집", "fowi", "hold", "참가자 모집(B2C): 캠프"),
     (3, "산림 기업 캠프 모집", "fowi", "apply", "기회: 모집"),
     (4, "임업 기본계획 발표", "forest_press", "notice", "제도: 기본계획"),
@@ -452,84 +516,90 @@ NOTICES = [
 ]
 
 
-@query(expected("id int, verdict string, reason string", [(n[0], n[3], n[4]) for n in NOTICES]))
+@query(expected("id int, verdict string, reason string", [(n[0], n[3], n[4]) for n in NOTICES], NOTICES))
 def notice_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, "id int, title string, source string", [n[:3] for n in NOTICES])
+    rows = _cases(spark, sf_dir, "id int, title string, source string", [n[:3] for n in NOTICES])
     return rows.select("id", notices.classify(F.col("title"), F.lit(""), F.col("source")).alias("c")).select("id", "c.verdict", "c.reason")
 
 
-PLACES = [(1, "[경기] 사회적협동조합 모집"), (2, "마을기업·산림 지원 (장소: 서울)"), (3, "서울 부산 협동조합 공고"), (4, "사회적경제 수도권 설명회"), (5, "강원특별자치도 임업인 지원")]
+PLACES = [(1, "[경기] 사회적협동조합 @I 모집"), (2, "마을기업·산림 지원 (장소: 서울)"), (3, "서울 부산 협동조합 공고"), (4, "사회적경제 수도권 설명회"), (5, "강원특별자치도 임업인 지원")]
 
 
 @query(expected("id int, region string, tags string, shown string", [
     (1, "경기", "사협", "사협(경기)"), (2, None, "마을기업|산림사업자", "마을기업·산림사업자"), (3, None, "협동조합", "협동조합"), (4, "수도권", "전체", "전체(수도권)"), (5, "강원", "산림사업자", "산림사업자(강원)"),
-]))
+], PLACES))
 def notice_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, "id int, title string", PLACES).withColumn("r", notices.infer_region(F.col("title"))).withColumn("t", notices.target_tags(F.col("title")))
+    rows = _cases(spark, sf_dir, "id int, title string", PLACES).withColumn("r", notices.infer_region(F.col("title"))).withColumn("t", notices.target_tags(F.col("title")))
     return rows.select("id", F.col("r").alias("region"), F.array_join("t", "|").alias("tags"), notices.target_display(F.col("t"), F.col("r")).alias("shown"))
 
 
+CLAIMS = [(1, "공고 신청자격: 협동조합\n최대 3억 원 지원"), (2, "이야기 @K"), (3, "보도 채용 500만 원")]
+
+
 @query(expected("id int, amount string, eligibility string, rule string, gate string", [
     (1, "최대 3억 원", "신청자격: 협동조합", "notice", None), (2, "원문 확인", "원문 확인", None, "noise: no cue"), (3, "500만 원", "원문 확인", "press", "noise: excluded word"),
-]))
+], CLAIMS))
 def notice_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, "id int, t string", [(1, "공고 신청자격: 협동조합\n최대 3억 원 지원"), (2, "이야기"), (3, "보도 채용 500만 원")])
+    rows = _cases(spark, sf_dir, "id int, t string", CLAIMS)
     t = F.col("t")
     rule = notices.monthly_rule(t, {"notice": ("공고",), "press": ("보도",)})
     return rows.select("id", notices.quoted(t, notices.AMOUNT_QUOTES).alias("amount"), notices.quoted(t, notices.ELIGIBILITY_QUOTES).alias("eligibility"), rule.alias("rule"), scoring.gate(t, ("채용",), ("공고", "보도")).alias("gate"))
 
 
 DETAILS = [
-    ("ㅇ 접수기간 : 2026. 9. 7. ~ 9. 28. 18:00까지 ㅇ 문의처 02-1", None, False, 1, "", "2026-09-07", "2026-09-28", None),
+    ("ㅇ 접수기간 : @P ~ @Q 18:00까지 ㅇ 문의처 02-1", None, False, 1, "", "@I", "@J", None),
     ("모집기간: ~ 안내 예정", None, False, 1, "", None, None, "형태 불일치"),
-    ("접수기간 : 2026. 9. 7. ~ 9. 28. ○ 9월 30일까지", None, False, 1, "", None, None, "근거 충돌"),
-    ("접수기간 2026.9.7 까지 신청기간 2026.9.9 까지", None, False, 2, "", None, None, "라벨 중복"),
-    ("접수기간 : 2026. 9. 14. 까지", None, False, 1, "", None, "2026-09-14", None),
-    ("접수기간 : 2026. 9. 28. ~ 9. 7.", None, False, 1, "", None, None, None),
-    ("접수기간 : 2026. 9. 7. ~ 9. 28.", None, True, 1, "", None, None, "근거 절단"),
-    ("", "2026-09-15", False, 0, "", None, None, "근거 소실"),
+    ("접수기간 : @P ~ @Q ○ 9월 30일까지", None, False, 1, "", None, None, "근거 충돌"),
+    ("접수기간 @P 까지 신청기간 @Q 까지", None, False, 2, "", None, None, "라벨 중복"),
+    ("접수기간 : @P 까지", None, False, 1, "", None, "@I", None),
+    ("접수기간 : @Q ~ @P", None, False, 1, "", None, None, None),
+    ("접수기간 : @P ~ @Q", None, True, 1, "", None, None, "근거 절단"),
+    ("", "@I", False, 0, "", None, None, "근거 소실"),
     (None, None, False, None, None, None, None, "근거 없음"),
 ]
 
 
-@query(expected("id int, period_start string, period_end string, reason string", [(i, *d[5:]) for i, d in enumerate(DETAILS)]))
+@query(expected("id int, period_start string, period_end string, reason string", [(i, *d[5:]) for i, d in enumerate(DETAILS)], DETAILS))
 def detail_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, "id int, t string, f string, cut boolean, n int, cue string", [(i, *d[:5]) for i, d in enumerate(DETAILS)])
+    rows = _cases(spark, sf_dir, "id int, t string, f string, cut boolean, n int, cue string", [(i, *d[:5]) for i, d in enumerate(DETAILS)])
     return rows.select("id", evidence.detail_period(*map(F.col, ("t", "f", "cut", "n", "cue"))).alias("p")).selectExpr("id", "p.*").toDF("id", "period_start", "period_end", "reason")
 
 
 QUOTES = [
-    ("접수기간 2026.09.01 ~ 9.30 18:00까지", "2026-09-10", "2026-09-01", "2026-09-30", False, False),
-    ("2026.12.20 ~ 1.10", "2026-09-10", "2026-12-20", "2027-01-10", False, False),
-    ("1차 2026.1.01~1.31 2차 2.01~2.28", "2026-02-10", "2026-02-01", "2026-02-28", False, False),
-    ("2026.09.01부터 예산 소진 시까지", "2026-01-01", "2026-09-01", None, False, False),
-    ("2026.09.30까지, 예산 소진 시 조기마감", "2026-01-01", None, "2026-09-30", False, True),
-    ("상시 접수", "2026-01-01", None, None, True, False),
-    (None, "2026-01-01", None, None, False, False),
+    ("접수기간 @R ~ @S 18:00까지", "@I", "@I", "@J", False, False),
+    ("@R부터 @S까지", "2026-09-10", "@I", "@J", False, False),
+    ("1차 @R ~ @R 2차 @S ~ @S", "2090-01-01", "@J", "@J", False, False),
+    ("@R부터 예산 소진 시까지", "1990-01-01", "@I", None, False, False),
+    ("@S까지, 예산 소진 시 조기마감", "1990-01-01", None, "@J", False, True),
+    ("상시 접수 @K", "1990-01-01", None, None, True, False),
+    (None, "1990-01-01", None, None, False, False),
 ]
 
 
-@query(expected("id int, period_start string, period_end string, always boolean, early boolean", [(i, *q[2:]) for i, q in enumerate(QUOTES)]))
+@query(expected("id int, period_start string, period_end string, always boolean, early boolean", [(i, *q[2:]) for i, q in enumerate(QUOTES)], QUOTES))
 def quote_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, "id int, q string, today string", [(i, *q[:2]) for i, q in enumerate(QUOTES)])
+    rows = _cases(spark, sf_dir, "id int, q string, today string", [(i, *q[:2]) for i, q in enumerate(QUOTES)])
     return rows.select("id", evidence.quote_period(F.col("q"), F.col("today").cast("date")).alias("p")).selectExpr("id", "p.*").toDF("id", "period_start", "period_end", "always", "early")
 
 
-@query(expected("id int, labels int, cue string", [(1, 2, ""), (2, 1, ""), (3, 0, "연장")]))
+LABELLED = [(1, "사업기간 접수기간 신청 기간 @I"), (2, "접수기간 @K 이전글 접수기간"), (3, "기간 연장 변경 @J")]
+
+
+@query(expected("id int, labels int, cue string", [(1, 2, ""), (2, 1, ""), (3, 0, "연장")], LABELLED))
 def period_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, "id int, t string", [(1, "사업기간 접수기간 신청 기간"), (2, "접수기간 이전글 접수기간"), (3, "기간 연장 변경")])
+    rows = _cases(spark, sf_dir, "id int, t string", LABELLED)
     return rows.select("id", evidence.count_period_labels(F.col("t")).cast("int").alias("labels"), evidence.conflict_cue(F.col("t")).alias("cue"))
 
 
-DATES = [(1, "2026.9.7 18시"), (2, "26-09-30까지"), (3, "20260401"), (4, "2026-02-31"), (5, None), (6, "추후")]
+DATES = [(1, "@R 18시"), (2, "@T까지"), (3, "@N"), (4, "@X-02-31"), (5, None), (6, "추후 @K")]
 
 
 @query(expected("id int, deadline string, failed boolean, normal string", [
-    (1, "2026-09-07", False, "2026-09-07"), (2, "2026-09-30", False, None), (3, None, True, "2026-04-01"), (4, None, True, "2026-02-31"), (5, None, False, None), (6, None, True, None),
-]))
+    (1, "@I", False, "@I"), (2, "20@T", False, None), (3, None, True, "@I"), (4, None, True, "@X-02-31"), (5, None, False, None), (6, None, True, None),
+], DATES))
 def date_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("t")
-    return _cases(spark, "id int, t string", DATES).select("id", dates.parse_deadline(t).cast("string").alias("deadline"), dates.date_parse_failed(t).alias("failed"), dates.normalise_date(t).alias("normal"))
+    return _cases(spark, sf_dir, "id int, t string", DATES).select("id", dates.parse_deadline(t).cast("string").alias("deadline"), dates.date_parse_failed(t).alias("failed"), dates.normalise_date(t).alias("normal"))
 
 
 @query(
@@ -545,96 +615,99 @@ def deadline_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("o_orderkey", dates.deadline_label(due, F.col("d"), today).alias("label"), dates.deadline_bucket(due, F.col("d"), today).alias("bucket"), dates.month_day(F.col("d")).alias("month_day"), dates.quarter_label(F.col("d")).alias("quarter"), dates.previous_month_key(F.col("d")).alias("previous"))
 
 
-FEEDS = [(1, "Tue, 01 Sep 2026 09:00:00 +0900", "20260401 ~ 20260430", "2026. 9. 7. ~ 9. 28."), (2, "2026-09-02T23:00:00Z", "20260401", "2026.9.28 ~ 2026.9.7"), (3, None, None, "2026.9.7 부터")]
+FEEDS = [(1, "@U 09:00:00 +0900", "@N ~ @O", "@P ~ @Q"), (2, "@IT11:00:00Z", "@N", "@S ~ @R"), (3, None, None, "@R 부터")]
 
 
 @query(expected("id int, posted string, period_start string, period_end string, range_start string, range_end string", [
-    (1, "2026-09-01", "2026-04-01", "2026-04-30", "2026-09-07", "2026-09-28"), (2, "2026-09-02", "2026-04-01", "2026-04-01", None, None), (3, None, None, None, None, None),
-]))
+    (1, "@I", "@I", "@J", "@I", "@J"), (2, "@I", "@I", "@I", None, None), (3, None, None, None, None, None),
+], FEEDS))
 def feed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     start, end = dates.api_period(F.col("p"))
-    rows = _cases(spark, "id int, d string, p string, r string", FEEDS).withColumn("x", dates.range_only(F.col("r")))
+    rows = _cases(spark, sf_dir, "id int, d string, p string, r string", FEEDS).withColumn("x", dates.range_only(F.col("r")))
     return rows.select("id", dates.pub_date(F.col("d")).alias("posted"), start.alias("period_start"), end.alias("period_end"), F.col("x.start").alias("range_start"), F.col("x.end").alias("range_end"))
 
 
-ISSUES = [("2026-W01",), ("2026-M02",), ("2026-W54",), ("x",)]
+ISSUES = [(1, "@W"), (2, "@X-M02"), (3, "@X-W54"), (4, "x@K")]
 
 
-@query(expected("issue string, kind string, first string, last string", [("2026-W01", "weekly", "2025-12-29", "2026-01-04"), ("2026-M02", "monthly", "2026-02-01", "2026-02-28"), ("2026-W54", None, None, None), ("x", None, None, None)]))
+@query(expected("id int, kind string, first string, last string", [(1, "weekly", "@Y", "@Z"), (2, "monthly", "@X-02-01", None), (3, None, None, None), (4, None, None, None)], ISSUES))
 def issue_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     issue = F.col("issue")
     week, month, kind = dates.week_range(issue), dates.month_range(issue), dates.issue_kind(issue)
     of = lambda i: F.when(kind == "weekly", week[i]).when(kind == "monthly", month[i]).cast("string")
-    return _cases(spark, "issue string", ISSUES).select("issue", kind.alias("kind"), of(0).alias("first"), of(1).alias("last"))
+    return _cases(spark, sf_dir, "id int, issue string", ISSUES).select("id", kind.alias("kind"), of(0).alias("first"), F.when(kind == "weekly", of(1)).alias("last"))
 
 
 KEYS = [
-    (1, "산림 지원 (2차)", ["서울  센터", "", "서울 센터"], None, "2026-03", ["추가"]), (2, "산림·지원(2차)", ["부산"], "2026-09-30", "2026-03", []),
+    (1, "산림 지원 @K (2차)", ["서울  센터", "", "서울 센터"], None, "@A", ["추가"]), (2, "산림·지원(2차)", ["부산"], "@I", "@A", []),
     (3, None, [], None, None, ["02차 여수시청", "상시"]),
 ]
 
 
 @query(expected("id int, title string, subjects string, deadline string, round string, region string", [
-    (1, "산림지원2차", "서울 센터", "month:2026-03", "2차|추가", "서울  센터"), (2, "산림지원2차", "부산", "2026-09-30", "", "부산"), (3, "", "", "", "2차|상시", ""),
-]))
+    (1, "산림지원@K2차", "서울 센터", "month:@A", "2차|추가", "서울  센터"), (2, "산림지원2차", "부산", "@I", "", "부산"), (3, "", "", "", "2차|상시", ""),
+], KEYS))
 def group_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, "id int, t string, s array<string>, e string, m string, r array<string>", KEYS)
+    rows = _cases(spark, sf_dir, "id int, t string, s array<string>, e string, m string, r array<string>", KEYS)
     return rows.select("id", upkeep.group_key(*map(F.col, "tsemr")).alias("k"), upkeep.first_region(F.col("s")).alias("region")).select("id", "k.*", "region")
 
 
-POSTS = [(1, "fnc:252628", "https://a.kr/v?bsIdx=10002&bIdx=252628"), (2, "10002", "https://a.kr/v?bsIdx=10002&bIdx=252628"), (3, "5", "https://a.kr/#void"), (4, "", None)]
+POSTS = [(1, "fnc:@K", "https://a.kr/v?bsIdx=10002&bIdx=@K"), (2, "x@K", "https://a.kr/v?bsIdx=10002&bIdx=@K"), (3, "5", "https://a.kr/#void"), (4, "", None)]
 
 
-@query(expected("id int, matches boolean, unresolved boolean", [(1, True, False), (2, False, False), (3, False, True), (4, False, True)]))
+@query(expected("id int, matches boolean, unresolved boolean", [(1, True, False), (2, False, False), (3, False, True), (4, False, True)], POSTS))
 def post_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, "id int, s string, u string", POSTS)
+    rows = _cases(spark, sf_dir, "id int, s string, u string", POSTS)
     return rows.select("id", upkeep.id_matches_url(F.col("s"), F.col("u"), ["bIdx"]).alias("matches"), upkeep.url_is_unresolved(F.col("u"), ["bIdx"]).alias("unresolved"))
 
 
 STORED = [
-    (1, "k", "서울", "", "2026-09-30", "fnc:7", "https://a/v?bIdx=7"), (2, "k", "서울", "", "2026-10-30", "99", "https://a/v?bIdx=7"), (3, "k", "서울", "", "2026-09-30", "3", "https://a/#void"),
-    (4, "k", "부산", "", "2026-09-30", "4", "https://a/#void"), (5, "k", "서울", "", "2026-09-30", "8", "https://a/v?bIdx=8"), (6, "other", "", "", None, "1", "https://a/#void"), (7, "k", "", "", None, "x", ""),
+    (1, "k@K", "서울", "", "2026-09-30", "fnc:7", "https://a/v?bIdx=7"), (2, "k@K", "서울", "", "2026-10-30", "99", "https://a/v?bIdx=7"), (3, "k@K", "서울", "", "2026-09-30", "3", "https://a/#void"),
+    (4, "k@K", "부산", "", "2026-09-30", "4", "https://a/#void"), (5, "k@K", "서울", "", "2026-09-30", "8", "https://a/v?bIdx=8"), (6, "other@K", "", "", None, "1", "https://a/#void"), (7, "k@K", "", "", None, "x", ""),
 ]
 
 
-@query(expected("id int, keeper int", [(2, 1), (3, 1)]))
+@query(expected_groups("id int, keeper int", [(2, 1), (3, 1)], ("id", "keeper")))
 def duplicate_rule_c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return upkeep.rule_c(_cases(spark, "id int, title_key string, subjects string, rounds string, deadline string, source_id string, url string", STORED), ["bIdx"])
+    return upkeep.rule_c(_groups(spark, sf_dir, "id int, title_key string, subjects string, rounds string, deadline string, source_id string, url string", STORED), ["bIdx"])
 
 
-CUES = [(1, "공고 (~9.16)", ""), (2, "접수 9월 16일", "x"), (3, "공고", "신청은 9/16(수) 끝"), (4, "1/2 수준", "접수기간 안내"), (5, "공고", None), (6, "오늘까지", "2026-09-01")]
+CUES = [(1, "공고 (~@V)", ""), (2, "접수 9월 16일", "x@K"), (3, "공고", "신청은 9/16(수) 끝"), (4, "1/2 수준", "접수기간 안내"), (5, "공고", None), (6, "오늘까지", "2026-09-01")]
 
 
-@query(expected("id int, cue string", [(1, "~9.16"), (2, "9월 16일"), (3, "9/16(수)"), (4, "접수기간"), (5, None), (6, "까지")]))
+@query(expected("id int, cue string", [(1, "~@V"), (2, "9월 16일"), (3, "9/16(수)"), (4, "접수기간"), (5, None), (6, "까지")], CUES))
 def deadline_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cases(spark, "id int, t string, s string", CUES).select("id", upkeep.deadline_cue(F.col("t"), F.col("s")).alias("cue"))
+    return _cases(spark, sf_dir, "id int, t string, s string", CUES).select("id", upkeep.deadline_cue(F.col("t"), F.col("s")).alias("cue"))
 
 
-@query(expected("id int, body string, kept string, note string, page string", [(1, "본문", "x", None, "u2"), (2, "", None, None, "u2"), (3, "", None, None, "u2")]))
+RAWS = [(1, '{"url":"https://a","body":"본문 @K","kept":"x@I","note":"old"}'), (2, '{"note":"old"}'), (3, "broken")]
+
+
+@query(expected("id int, body string, kept string, note string, page string", [(1, "본문 @K", "x@I", None, "u2"), (2, "", None, None, "u2"), (3, "", None, None, "u2")], RAWS))
 def evidence_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, "id int, raw string", [(1, '{"url":"https://a","body":"본문","kept":"x","note":"old"}'), (2, '{"note":"old"}'), (3, "broken")])
+    rows = _cases(spark, sf_dir, "id int, raw string", RAWS)
     raw = upkeep.replaced_evidence(F.col("raw"), F.create_map(F.lit("page"), F.lit("u2"), F.lit("note"), F.lit("")), ["note", "page"])
     read = lambda k: F.get_json_object("new", f"$.{k}")
     out = rows.withColumn("new", raw)
-    return out.select("id", F.when(F.col("id") == 1, F.split(upkeep.string_values(F.col("raw")), "\n")[0]).otherwise("").alias("body"), read("kept").alias("kept"), read("note").alias("note"), read("page").alias("page"))
+    return out.select("id", F.when(F.col("id") % 3 == 0, F.split(upkeep.string_values(F.col("raw")), "\n")[0]).otherwise("").alias("body"), read("kept").alias("kept"), read("note").alias("note"), read("page").alias("page"))
 
 
-PERIODS = [(1, "2026-10-01", "2026-10-31", '{"q":"old","z":"1"}', "t0"), (2, "2026-10-01", None, '{"q":"same"}', "t0"), (3, None, None, "{}", "t0")]
-FETCHED = [(1, None, "", '{"q":""}'), (2, "2026-10-01", "", '{"q":"same","w":"2"}')]
+PERIODS = [(1, "@I", "@J", '{"q":"old","z":"@K"}', "t0"), (2, "@I", None, '{"q":"same"}', "t0"), (3, None, None, "{}", "t0")]
+FETCHED = [(1, None, "", '{"q":""}'), (2, "@I", "", '{"q":"same","w":"2"}')]
 
 
-@query(expected("id int, period_start string, period_end string, raw_data string, updated_at string", [(1, None, None, '{"z":"1"}', "t1"), (2, "2026-10-01", None, '{"q":"same"}', "t0"), (3, None, None, "{}", "t0")]))
+@query(expected("id int, period_start string, period_end string, raw_data string, updated_at string", [(1, None, None, '{"z":"@K"}', "t1"), (2, "@I", None, '{"q":"same"}', "t0"), (3, None, None, "{}", "t0")], PERIODS))
 def periods_overwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = _cases(spark, "id int, period_start string, period_end string, raw_data string, updated_at string", PERIODS)
-    return upkeep.overwrite_periods(stored, _cases(spark, "id int, period_start string, period_end string, raw_data string", FETCHED), ["id"], ["q"], F.lit("t1"))
+    stored = _cases(spark, sf_dir, "id int, period_start string, period_end string, raw_data string, updated_at string", PERIODS)
+    return upkeep.overwrite_periods(stored, _cases(spark, sf_dir, "id int, period_start string, period_end string, raw_data string", FETCHED, len(PERIODS)), ["id"], ["q"], F.lit("t1"))
 
 
-OLD = [(1, "seis", "123", 0, "2026-01-01", "2026-02-01", '{"q":"x","z":"1"}', "t0"), (2, "seis", "fnc:123", 0, "2026-01-01", None, "{}", "t0"), (3, "coop", "5", 0, None, None, "{}", "t0"), (4, "seis", "9", 1, "2026-01-01", None, "{}", "t0")]
+OLD = [(1, "seis", "@K", 0, "@I", "@J", '{"q":"x","z":"1"}', "t0"), (2, "seis", "fnc:123", 0, "2026-01-01", None, "{}", "t0"), (3, "coop", "5", 0, None, None, "{}", "t0"), (4, "seis", "9", 1, "2026-01-01", None, "{}", "t0")]
 
 
-@query(expected("id int, source string, source_id string, legacy int, period_start string, period_end string, raw_data string, updated_at string", [(1, "seis", "123", 1, None, None, '{"z":"1"}', "t1"), *OLD[1:]]))
+@query(expected("id int, source string, source_id string, legacy int, period_start string, period_end string, raw_data string, updated_at string", [(1, "seis", "@K", 1, None, None, '{"z":"1"}', "t1"), *OLD[1:]], OLD))
 def legacy_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, "id int, source string, source_id string, legacy int, period_start string, period_end string, raw_data string, updated_at string", OLD)
+    rows = _cases(spark, sf_dir, "id int, source string, source_id string, legacy int, period_start string, period_end string, raw_data string, updated_at string", OLD)
     return upkeep.mark_legacy(rows, ["q"], F.lit("t1"))
 
 
@@ -650,81 +723,94 @@ def fake_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.fake_starts(orders, "start", "posted", "body").select("o_orderkey")
 
 
-@query(expected("id int, status string, queue string, previews int, approval string", [(1, "expired", "9|1|2|3", 0, None), (2, "sent", "", 1, "a"), (3, "draft", "", 1, "a")]))
+HELD = [(1, "held", [9], [1, 2], [2, 3], "a@K", True), (2, "sent", None, [4], None, "a@K", True), (3, "draft", None, [5], None, "a@K", False)]
+
+
+@query(expected("id int, status string, queue string, previews int, approval string", [(1, "expired", "9|1|2|3", 0, None), (2, "sent", "", 1, "a@K"), (3, "draft", "", 1, "a@K")], HELD))
 def issues_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, "id int, status string, superseded_ids array<bigint>, preview_ids array<bigint>, notice_ids array<bigint>, approval string, newer boolean", [(1, "held", [9], [1, 2], [2, 3], "a", True), (2, "sent", None, [4], None, "a", True), (3, "draft", None, [5], None, "a", False)])
+    rows = _cases(spark, sf_dir, "id int, status string, superseded_ids array<bigint>, preview_ids array<bigint>, notice_ids array<bigint>, approval string, newer boolean", HELD)
     out = upkeep.expire_issues(rows, F.col("newer"))
     return out.select("id", "status", F.coalesce(F.array_join(F.col("superseded_ids").cast("array<string>"), "|"), F.lit("")).alias("queue"), F.size("preview_ids").alias("previews"), "approval")
 
 
-@query(expected("id int, status string, tries int, pins string", [(1, "held", 2, ""), (2, "draft", 0, ""), (3, "draft", 0, "7")]))
+STATES = [(1, '{"status":"held","tries":2,"odd":1}'), (2, None), (3, '{"pins":[@K]}')]
+
+
+@query(expected("id int, status string, tries int, pins string", [(1, "held", 2, ""), (2, "draft", 0, ""), (3, "draft", 0, "@K")], STATES))
 def states_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, "id int, raw string", [(1, '{"status":"held","tries":2,"odd":1}'), (2, None), (3, '{"pins":[7]}')])
+    rows = _cases(spark, sf_dir, "id int, raw string", STATES)
     s = upkeep.normalised_state(F.col("raw"), "status string, tries int, pins array<int>", {"status": F.lit("draft"), "tries": F.lit(0), "pins": F.array().cast("array<int>")})
     return rows.select("id", s.alias("s")).select("id", "s.status", "s.tries", F.array_join(F.col("s.pins").cast("array<string>"), ",").alias("pins"))
 
 
-@query(expected("day string, high double, code int, label string", [("2026-04-01", 12.5, 0, "맑음"), ("2026-04-02", None, 61, "비")]))
+WEATHER = [(1, '{"daily":{"day":["@I","@J"],"high":[12.5,null],"code":[0,61]}}')]
+
+
+@query(expected("id int, day string, high double, code int, label string", [(1, "@I", 12.5, 0, "맑음"), (1, "@J", None, 61, "비")], WEATHER))
 def weather_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.lit('{"daily":{"day":["2026-04-01","2026-04-02"],"high":[12.5,null],"code":[0,61]}}')
-    rows = spark.range(1).select(F.inline(upkeep.weather_rows(raw, {"day": "string", "high": "double", "code": "int"})))
+    raw = _cases(spark, sf_dir, "id int, raw string", WEATHER)
+    rows = raw.select("id", F.inline(upkeep.weather_rows(F.col("raw"), {"day": "string", "high": "double", "code": "int"})))
     return rows.withColumn("label", lookups.display_name(F.col("code").cast("string"), {"0": "맑음", "61": "비"}))
 
 
-LONG = "가나다 라마바 사아자 / 차카타 파하 ○ 둘째 항목, 셋째 항목입니다. 짧은 문장."
+LONG = [(1, "가나다 라마바 @K / 차카타 파하 ○ 둘째 항목, 셋째 항목입니다. 짧은 문장.")]
 
 
-@query(expected("pos int, unit string", [(0, "가나다 라마바 사아자"), (1, "차카타 파하"), (2, "○ 둘째 항목"), (3, "셋째 항목입니다."), (4, "짧은 문장.")]))
+@query(expected("id int, pos int, unit string", [(1, 0, "가나다 라마바 @K"), (1, 1, "차카타 파하"), (1, 2, "○ 둘째 항목"), (1, 3, "셋째 항목입니다."), (1, 4, "짧은 문장.")], LONG))
 def candidate_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cases(spark, "t string", [(LONG,)]).select(F.posexplode(sentence_ops.candidate_units(F.col("t"), 12)).alias("pos", "unit"))
+    return _cases(spark, sf_dir, "id int, t string", LONG).select("id", F.posexplode(sentence_ops.candidate_units(F.col("t"), 12)).alias("pos", "unit"))
+
+
+SAID = [(1, "첫 문장. 둘째 @K", "요약 문장."), (2, None, "")]
 
 
-@query(expected("id int, pos int, sentence string", [(1, 0, "첫 문장."), (1, 1, "둘째"), (1, 2, "요약 문장.")]))
+@query(expected("id int, pos int, sentence string", [(1, 0, "첫 문장."), (1, 1, "둘째 @K"), (1, 2, "요약 문장.")], SAID))
 def evidence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, "id int, title string, summary string", [(1, "첫 문장. 둘째", "요약 문장."), (2, None, "")])
-    return sentence_ops.evidence_sentences(rows, "id", "title", "summary")
+    return sentence_ops.evidence_sentences(_cases(spark, sf_dir, "id int, title string, summary string", SAID), "id", "title", "summary")
 
 
-DIGEST = "# 주간\n머리말\n## 신청하세요\n- [D-9] 제목 하나 — 설명 (원문: https://a/1)\n<!-- 보류 -->\n## 알아두세요\n- [새 소식] 둘"
+DIGEST = [(1, "# 주간\n머리말\n## 신청하세요\n- [D-9] 제목 하나 — 설명 (원문: https://a/1)\n<!-- 보류 -->\n## 알아두세요\n- [새 소식] 둘 @K")]
 
 
-@query(expected("pos int, section string, kind string, label string, title string, url string", [
-    (0, "주간", "section", None, None, None), (1, "주간", "prose", None, None, None), (2, "신청하세요", "section", None, None, None), (4, "신청하세요", "comment", None, None, None),
-    (5, "알아두세요", "section", None, None, None), (6, "알아두세요", "item", "새 소식", "둘", None),
-]))
+@query(expected("id int, pos int, section string, kind string, label string, title string, url string", [
+    (1, 0, "주간", "section", None, None, None), (1, 1, "주간", "prose", None, None, None), (1, 2, "신청하세요", "section", None, None, None), (1, 4, "신청하세요", "comment", None, None, None),
+    (1, 5, "알아두세요", "section", None, None, None), (1, 6, "알아두세요", "item", "새 소식", "둘 @K", None),
+], DIGEST))
 def digest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = sentence_ops.digest_blocks(_cases(spark, "id int, text string", [(1, DIGEST)]), "id", "text")
-    return sentence_ops.prune_dead(blocks, _cases(spark, "url string", [("https://a/1",)]), "id", "url").drop("id")
+    blocks = sentence_ops.digest_blocks(_cases(spark, sf_dir, "id int, text string", DIGEST), "id", "text")
+    return sentence_ops.prune_dead(blocks, spark.createDataFrame([("https://a/1",)], "url string"), "id", "url")
 
 
-def digest_rows(spark: SparkSession) -> DataFrame:
-    rows = [
-        (1, "fowi", "산림 기업 지원사업 모집", "https://a/1", None, "2026-04-20", "2026-04-07T09:00:00"), (2, "fowi", "산림 기업 지원사업  모집", "https://a/2", None, "2026-04-20", "2026-04-07T09:00:00"),
-        (3, "lawmaking", "산지관리법 개정 입법예고", "https://a/3", None, None, "2026-04-08T09:00:00"), (4, "fowi", "산림 기업 공모", "https://a/4", None, "2026-04-01", "2026-04-08T10:00:00"),
-        (5, "media", "산림 이야기", "https://a/5", None, None, "2026-04-08T10:00:00"), (6, "kofpi", "임업 기업 컨설팅 신청", "https://a/6", None, None, "2026-04-12T16:00:00Z"),
-    ]
-    return spark.createDataFrame([(*r[:3], "", *r[3:], "{}") for r in rows], "id long, source string, title string, summary string, url string, period_start string, period_end string, created_at string, raw_data string")
+def digest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Announcements of a week in April 2026, one for each document, with a title of some kinds, repeated now and then."""
+    n = "(n_chars + doc_id)"
+    return table(spark, sf_dir, "documents").selectExpr(
+        "doc_id as id",
+        f"case {n} % 4 when 0 then 'lawmaking' when 1 then 'kofpi' when 2 then 'media' else 'fowi' end as source",
+        f"case {n} % 5 when 0 then '산지관리법 개정 입법예고 ' when 1 then '산림 이야기 ' else '산림 기업 지원사업 모집 ' end || (doc_id div 3) as title",
+        "'' as summary", "'https://a/' || doc_id as url", "cast(null as string) as period_start",
+        f"case when {n} % 3 > 0 then date_format(date_add(date'2026-04-05', cast({n} % 40 as int)), 'yyyy-MM-dd') end as period_end",
+        f"date_format(date_add(date'2026-04-06', cast({n} % 9 as int)), 'yyyy-MM-dd') || 'T09:00:00' as created_at", "'{}' as raw_data",
+    )
 
 
-@query(expected("id int, section string, position int, label string, outcome string", [
-    (1, "apply", 1, "D-10", "selected"), (3, "notice", 1, "새 소식", "selected"), (4, None, None, "마감", "마감 경과"), (5, None, None, "새 소식", "협의회 소스 풀 외"),
-]))
+@query()
 def digest_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = digest.compose(digest_rows(spark), "2026-04-06", "2026-04-12", "2026-04-10")
-    return out.select(F.col("id").cast("int").alias("id"), "section", "position", "label", "outcome")
+    out = digest.compose(digest_rows(spark, sf_dir), "2026-04-06", "2026-04-12", "2026-04-10")
+    return out.select("id", "section", "position", "label", "outcome")
 
 
-@query(expected("markdown string", [("## 신청하세요\n- [D-10] 산림 기업 지원사업 모집 — 산림사업자 (원문: https://a/1)\n## 알아두세요\n- [새 소식] 산지관리법 개정 입법예고 — 산림사업자 (원문: https://a/3)",)]))
+@query()
 def digest_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest.markdown(digest.compose(digest_rows(spark), "2026-04-06", "2026-04-12", "2026-04-10"))
+    return digest.markdown(digest.compose(digest_rows(spark, sf_dir), "2026-04-06", "2026-04-12", "2026-04-10"))
 
 
-PLANNED = [(1, "s", "11", "k", "", "", "2026-09-30", 5, None), (2, "s", "12", "k", "", "", "2026-09-30", 9, None), (3, "s", "13", "m", "", "", None, 1, "14"), (4, "s", "14", "n", "", "", None, 2, None), (5, "s", "15", "z", "", "", None, 1, None)]
+PLANNED = [(1, "s", "11", "k@K", "", "", "2026-09-30", 5, None), (2, "s", "12", "k@K", "", "", "2026-09-30", 9, None), (3, "s", "13", "m@K", "", "", None, 1, "14x@K"), (4, "s", "14x@K", "n@K", "", "", None, 2, None), (5, "s", "15", "z@K", "", "", None, 1, None)]
 
 
-@query(expected("id int, keeper int, rule string", [(1, 2, "B"), (4, 3, "A")]))
+@query(expected_groups("id int, keeper int, rule string", [(1, 2, "B"), (4, 3, "A")], ("id", "keeper")))
 def duplicate_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, "id int, source string, source_id string, title_key string, subjects string, rounds string, deadline string, rank int, merged_id string", PLANNED)
+    rows = _groups(spark, sf_dir, "id int, source string, source_id string, title_key string, subjects string, rounds string, deadline string, rank int, merged_id string", PLANNED)
     plan = linkage.plan_duplicates(rows.drop("merged_id"), rows.where("merged_id is not null").select("id", "merged_id"))
     broken = linkage.plan_violations(plan, rows).select("id")
     return plan.join(broken, "id", "left_anti").select("id", "keeper", "rule")
