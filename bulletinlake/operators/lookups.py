@@ -82,10 +82,11 @@ def first_occurrences(df: DataFrame, key: Sequence[str], pos: str) -> DataFrame:
 
 
 def kind_capped(df: DataFrame, group: str, capped: Column, order: Sequence[Column], cap: int = 2) -> DataFrame:
-    """``kept``: of each group's rows with ``capped`` the first ``cap`` in the order, and all others."""
-    flag = F.coalesce(capped, F.lit(False))
-    rank = F.row_number().over(Window.partitionBy(group, "_capped").orderBy(*order))
-    return df.withColumn("_capped", flag).withColumn("kept", ~F.col("_capped") | (rank <= cap)).drop("_capped")
+    """``kept``: of each group's rows with ``capped`` the first ``cap`` in the order, and all others; only capped rows are ranked."""
+    flagged = df.withColumn("_capped", F.coalesce(capped, F.lit(False)))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    ranked = flagged.where("_capped").withColumn("kept", rank <= cap)
+    return ranked.unionByName(flagged.where("not _capped").withColumn("kept", F.lit(True))).drop("_capped")
 
 
 def numbered_holds(df: DataFrame, issue: str, held: Column, order: Sequence[Column]) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +55,15 @@ def json_announcements(bodies: DataFrame, body: str, source: str, fields: Mappin
 FEED = "channel struct<item: array<struct<title: string, link: string, description: string, pubDate: string, author: string, category: array<string>, guid: struct<_VALUE: string, _isPermaLink: string>, `dc:date`: string, `dc:creator`: string>>>, entry array<struct<title: string, link: struct<_href: string>, summary: string, published: string, updated: string, id: string>>"
 
 
+def unescaped(c: Column) -> Column:
+    """Character references decoded once more than the XML reader does: what is left may be markup."""
+
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    return F.pandas_udf(of, "string")(c)
+
+
 def feed_announcements(feeds: DataFrame, xml: str, source: str, kind: str = "gonggo") -> DataFrame:
     """Announcement rows of RSS 2.0 and Atom documents, a row per entry with a title.
 
@@ -70,7 +81,7 @@ def feed_announcements(feeds: DataFrame, xml: str, source: str, kind: str = "gon
     )
     atom = parsed.select(F.explode("f.entry").alias("i")).select(F.col("i.title").alias("title"), F.col("i.link._href").alias("url"), F.col("i.summary").alias("summary"), F.coalesce("i.published", "i.updated").alias("posted"), F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("category"), F.col("i.id").alias("guid"))
     rows = rss.unionByName(atom).where(clean_text(F.col("title")) != "")
-    plain = F.substring(F.trim(F.regexp_replace(F.regexp_replace(blank(F.col("summary")), r"<[^>]*>", " "), r"(?U)\s+", " ")), 1, 200)
+    plain = F.substring(F.trim(F.regexp_replace(F.regexp_replace(unescaped(blank(F.col("summary"))), r"<[^>]*>", " "), r"(?U)\s+", " ")), 1, 200)
     link = clean_text(F.col("url"))
     source_id = F.coalesce(F.nullif(F.regexp_extract(link, r"[?&](?:idxno|no|nttId)=(\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(link, r"/(\d{5,})", 1), F.lit("")), short_hash(F.coalesce(F.nullif(link, F.lit("")), F.col("guid"), F.col("title"))))
     return rows.select(F.lit(source).alias("source"), source_id.alias("source_id"), clean_text(F.col("title")).alias("title"), link.alias("url"), plain.alias("summary"), clean_text(F.col("author")).alias("author"), clean_text(F.col("category")).alias("category"), F.lit(kind).alias("kind"), pub_date(F.col("posted")).alias("posted"))
