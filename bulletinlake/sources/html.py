@@ -21,7 +21,7 @@ _DATE = re.compile(r"\d{4}\s*[.\-/년]\s*\d{1,2}\s*[.\-/월]\s*\d{1,2}")
 
 
 def _hidden(attrs: dict) -> bool:
-    style = re.sub(r"\s+", "", re.sub(r"/\*.{0,4096}?\*/", "", (attrs.get("style") or "")[:4096], flags=re.S)).lower()
+    style = re.sub(r"\s+", "", re.sub(r"/\*.*?(?:\*/|\Z)", "", attrs.get("style") or "", flags=re.S)).lower()
     return "hidden" in attrs or (attrs.get("aria-hidden") or "").strip().lower() == "true" or "display:none" in style or "visibility:hidden" in style
 
 
