@@ -21,7 +21,8 @@ REGIONS = {
     "경남": ("경상남도", "경남"), "제주": ("제주특별자치도", "제주"),
 }
 BROAD_REGIONS = ("수도권", "충청", "영남", "호남")
-REGION_SUFFIXES = ("센터", "권역", "광역", "특별", "지역", "도", "시", "권", "에서", "에는", "에도", "에만")
+REGION_SUFFIXES = ("센터", "권역", "광역", "특별", "지역", "도", "시", "권")
+REGION_PARTICLES = ("에서", "에는", "에도", "에만")
 VENUE_CONTEXT = r"(?:개최\s*)?장소\s*[:：][^)\]]*|[가-힣]{2,5}에서\s*[^)\]]{0,10}?(?:개최|진행|열린|열립|열리|실시)|개최지\s*[:：][^)\]]*"
 VENUE_WORDS = r"장소|개최|회장|행사장|에서\s*[^)\]]{0,10}?(?:개최|진행|열린|열립|열리|실시)"
 COUNCIL_SOURCES = ("kofpi", "forest_service", "forest_press", "fowi", "lawmaking", "coop", "socialenterprise", "seis", "mois_sse", "bizinfo")
@@ -46,7 +47,7 @@ AMOUNT_QUOTES = (r"(최대\s*\d[\d,]*\s*(?:억|천만|백만|만)?\s*원)", r"(\
 def _bounded(names: Sequence[str], regions: Mapping[str, Sequence[str]], broad: Sequence[str]) -> str:
     """A pattern of names that end where a region may end: at a boundary, a suffix or another region."""
     others = [*(n for ns in regions.values() for n in ns), *broad]
-    after = r"$|\s|[^\p{L}\p{N}]|" + "|".join([*REGION_SUFFIXES, *others]) + r"|에(?![가-힣])"
+    after = r"$|\s|[^\p{L}\p{N}]|" + "|".join([*REGION_SUFFIXES, *REGION_PARTICLES, *others]) + r"|에(?![가-힣])"
     return f"(?:{'|'.join(names)})(?={after})"
 
 

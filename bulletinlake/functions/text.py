@@ -17,6 +17,9 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?:\+?82[-. ]?)?0?\d{1,2}[-. )]\d{3,4}[-. ]\d{4}"
 MARKDOWN_LINK = r"\[([^\]]*)\]\(\s*(?:https?://|www\.)(?:[^()\s]|\([^()]*\))*\)"
 AUTOLINK = r"<\s*((?:https?://|www\.)[^>]*?)\s*>"
+BRACKETED = r"[(\[{（【［<](?:[^()\[\]{}（）【】［］<>]|\([^()]*\)|\[[^\[\]]*\]|［[^［］]*］)*[)\]}）】］>]"
+BRACKET_GROUP = r"[(\[（【［]([^()\[\]（）【】［］]*)[)\]）】］]"
+BRACKET_PREFIX = r"^((?:\s*[(\[（【［][^()\[\]（）【】［］]*[)\]）】］])+)"
 LEADING_MARKS, LEADING_WIDE = "#*-+>|~=·•", "＃＊－＋＞｜～＝・・"
 
 
@@ -81,19 +84,18 @@ def sanitise_title(c: Column) -> Column:
 
 def strip_brackets(c: Column) -> Column:
     """Bracket groups with their contents removed, one level of nesting included."""
-    group = r"[(\[{（【［<](?:[^()\[\]{}（）【】［］<>]|\([^()]*\)|\[[^\[\]]*\]|［[^［］]*］)*[)\]}）】］>]"
-    return collapse(F.regexp_replace(normalise_title(c), group, " "))
+    return collapse(F.regexp_replace(normalise_title(c), BRACKETED, " "))
 
 
 def bracket_groups(c: Column) -> Column:
     """Contents of all bracket groups, in order."""
-    return F.regexp_extract_all(normalise_title(c), F.lit(r"[(\[（【［]([^()\[\]（）【】［］]*)[)\]）】］]"), F.lit(1))
+    return F.regexp_extract_all(normalise_title(c), F.lit(BRACKET_GROUP), F.lit(1))
 
 
 def prefix_brackets(c: Column) -> Column:
     """Contents of the bracket groups that a title starts with."""
-    lead = F.regexp_extract(normalise_title(c), r"^((?:\s*[(\[（【［][^()\[\]（）【】［］]*[)\]）】］])+)", 1)
-    return F.transform(F.regexp_extract_all(lead, F.lit(r"[(\[（【［]([^()\[\]（）【】［］]*)[)\]）】］]"), F.lit(1)), F.trim)
+    lead = F.regexp_extract(normalise_title(c), BRACKET_PREFIX, 1)
+    return F.transform(F.regexp_extract_all(lead, F.lit(BRACKET_GROUP), F.lit(1)), F.trim)
 
 
 def prefix_signature(c: Column) -> Column:

@@ -81,12 +81,19 @@ def rule_c(rows: DataFrame, params: Sequence[str]) -> DataFrame:
     isn't provable goes if all keys fit. The keeper is the smallest id; equal urls come first.
     """
     known = rows.withColumn("provable", id_matches_url(F.col("source_id"), F.col("url"), params)).withColumn("lost", url_is_unresolved(F.col("url"), params))
-    keepers = known.where("provable").select(*[F.col(c).alias(f"k_{c}") for c in ("id", "title_key", "subjects", "rounds", "deadline", "url")])
-    both = known.join(keepers, (F.col("title_key") == F.col("k_title_key")) & (F.col("id") != F.col("k_id")))
-    same_url = (blank(F.col("url")) != "") & (F.col("url") == F.col("k_url"))
+    keys = ("subjects", "rounds", "deadline")
     fits = lambda loose: keys_compatible(F.col("subjects"), F.col("k_subjects"), F.col("rounds"), F.col("k_rounds"), F.col("deadline"), F.col("k_deadline"), loose)
-    goes = (same_url & fits(True) & (~F.col("provable") | (F.col("k_id") < F.col("id")))) | (~same_url & ~F.col("provable") & F.col("lost") & fits(False))
-    best = both.where(goes).groupBy("id").agg(F.min(F.struct((~same_url).alias("other"), F.col("k_id").alias("keeper"))).alias("b"))
+
+    def keepers(*by: str) -> DataFrame:
+        """The smallest provable id of each title and its keys, by which a common title is few rows."""
+        least = known.where("provable").groupBy(*by, *keys).agg(F.min("id").alias("k_id"))
+        return least.select("k_id", *[F.col(c).alias(f"k_{c}") for c in (*by, *keys)])
+
+    same = known.where(blank(F.col("url")) != "").join(keepers("title_key", "url"), (F.col("title_key") == F.col("k_title_key")) & (F.col("url") == F.col("k_url")))
+    same = same.where(fits(True) & (F.col("id") != F.col("k_id")) & (~F.col("provable") | (F.col("k_id") < F.col("id")))).select("id", F.lit(False).alias("other"), "k_id")
+    # a keeper of the same url comes first, so this may find it again
+    lost = known.where("not provable and lost").join(keepers("title_key"), F.col("title_key") == F.col("k_title_key")).where(fits(False)).select("id", F.lit(True).alias("other"), "k_id")
+    best = same.union(lost).groupBy("id").agg(F.min(F.struct("other", F.col("k_id").alias("keeper"))).alias("b"))
     return best.select("id", "b.keeper")
 
 
