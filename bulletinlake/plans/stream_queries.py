@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,11 +19,13 @@ def _run(out: DataFrame, folder: str) -> DataFrame:
     return out.sparkSession.read.schema(out.schema).parquet(f"{folder}/out")
 
 
-def _dealt(rows: DataFrame, folder: str, batches: int) -> DataFrame:
-    """A stream of ``rows`` in several micro-batches, each with rows of all times."""
-    spark = rows.sparkSession
-    rows.withColumn("_batch", F.pmod(F.xxhash64(*rows.columns), F.lit(batches))).repartitionByRange(batches, "_batch").drop("_batch").write.parquet(f"{folder}/dealt")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/dealt")
+def _in_batches(parts: Sequence[DataFrame], folder: str, sink: Callable[[DataFrame, int], None]) -> None:
+    """Each part is a micro-batch: the stream goes on from its checkpoint as often as one has been added."""
+    spark = parts[0].sparkSession
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/rows")
+        stream = spark.readStream.schema(part.schema).parquet(f"{folder}/rows")
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
 
 
 def _local(df: DataFrame) -> DataFrame:
@@ -58,7 +62,7 @@ def stream_rechecks(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT *, max(event_id) OVER (PARTITION BY user_id) AS last FROM events) GROUP BY user_id"""
 )
 def stream_bucketed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upserts of which each micro-batch rewrites only the buckets of its users; four batches in the order of event_id."""
+    """Upserts of which each micro-batch rewrites only the buckets of its users."""
     folder = work_dir(spark, "buckets")
     schema = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("only_flag", T.IntegerType())])
     rows = _events_stream(spark, sf_dir).select("user_id", "event_type", "ts", "event_id", F.when(F.col("event_type") == "purchase", 0).otherwise(1).alias("only_flag"))
@@ -91,7 +95,7 @@ def stream_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(whole % 3 == 0, whole.cast("string")).alias("quote_period_end"),
     )
     sink = state.evidence_sink(f"{folder}/table", "user_id", "long", FIELDS, "ts", "event_id")
-    _dealt(rows, folder, 4).writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    _in_batches([rows.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == i) for i in range(4)], folder, sink)
     folded = state.bucketed(spark, f"{folder}/table", state.evidence_schema("user_id", "long", FIELDS))
     return state.current_evidence(folded, "user_id", FIELDS, derived=["quote_period_end"], source="quote_deadline")
 
@@ -104,11 +108,8 @@ WITH c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS r, co
 b AS (SELECT unnest([0, 1, 2]) AS batch)
 SELECT c_custkey, batch FROM c, b WHERE (r - batch * {QUOTA} % n + n) % n < {QUOTA}""")
 def stream_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three micro-batches that each offer all customers: turns go round, {QUOTA} at a time, whose turn was longest ago first."""
+    """Three micro-batches that each offer all customers: turns go round, ``QUOTA`` at a time, whose turn was longest ago first."""
     folder = work_dir(spark, "rotation")
-    customers = table(spark, sf_dir, "customer").select("c_custkey")
-    for i in range(3):
-        customers.coalesce(1).write.mode("append").parquet(f"{folder}/offers")
-    offers = spark.readStream.schema(customers.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/offers").withColumn("pos", F.col("c_custkey"))
-    offers.writeStream.foreachBatch(state.rotation_sink(folder, "c_custkey", "long", "pos", QUOTA)).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("pos"))
+    _in_batches([customers] * 3, folder, state.rotation_sink(folder, "c_custkey", "long", "pos", QUOTA))
     return spark.read.parquet(f"{folder}/turns").select("c_custkey", F.col("batch").cast("int").alias("batch"))
