@@ -103,7 +103,7 @@ def anchored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forty characters from a text's own anchor on, for texts that hold it once."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     found = docs.withColumn("a", F.substring("t", 11, 15)).withColumn("w", text.anchored_window(F.col("t"), F.col("a"), 40))
-    once = (F.col("a") == "") | ((F.size(F.split("t", F.concat(F.lit("\\Q"), "a", F.lit("\\E")), -1)) == 2))
+    once = (F.col("a") == "") | ~F.contains(F.substring("t", F.position("a", "t") + 1, F.length("t")), F.col("a"))  # nor again where it overlaps itself
     return found.where(once).select("doc_id", "w.window", "w.truncated")
 
 

@@ -24,6 +24,12 @@ def same_as_sql(spark, folder, name):
     return mine
 
 
+def test_anchored_windows_leave_out_anchors_that_overlap_themselves(spark, tmp_path):
+    texts = ["0123456789" + "Of " * 10, "0123456789" + "Of " * 4 + "Off and on once more", "short", None, r"0123456789a\Eb\Qc.*(d)[e] f \Ea\Eb\Q", "x" * 40]
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)}), tmp_path / "documents.parquet")
+    assert {r[0] for r in same_as_sql(spark, tmp_path, "anchored_windows")} == {1, 2, 3, 4}
+
+
 @pytest.mark.parametrize("key", [1, 9_999, 10_000, 6_000_000, 1_234_567_890_123])
 def test_candidate_units_of_larger_numbers(spark, tmp_path, key):
     con = duckdb.connect()
