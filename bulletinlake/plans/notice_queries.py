@@ -346,9 +346,10 @@ def verdict_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.histogram(table(spark, sf_dir, "orders"), "o_orderstatus", ["O", "F", "X", "P"])
 
 
-@query("SELECT vec_id, '[' || array_to_string([CAST(CAST(floor(1000 * x) AS INT) AS VARCHAR) FOR x IN embedding], ',') || ']' AS literal FROM embeddings")
+@query("SELECT vec_id, '[' || array_to_string([CAST(CAST(floor(1000 * CAST(x AS DOUBLE)) AS INT) AS VARCHAR) FOR x IN embedding], ',') || ']' AS literal FROM embeddings")
 def vector_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = F.transform("embedding", lambda x: F.floor(1000 * x).cast("int"))
+    """Thousandths of the components, x as double: a product of floats may be rounded up to the next whole number."""
+    whole = F.transform("embedding", lambda x: F.floor(1000 * x.cast("double")).cast("int"))
     return table(spark, sf_dir, "embeddings").select("vec_id", vectors.vector_literal(whole).alias("literal"))
 
 

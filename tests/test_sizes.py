@@ -30,6 +30,13 @@ def test_anchored_windows_leave_out_anchors_that_overlap_themselves(spark, tmp_p
     assert {r[0] for r in same_as_sql(spark, tmp_path, "anchored_windows")} == {1, 2, 3, 4}
 
 
+def test_vector_literals_take_components_as_double(spark, tmp_path):
+    x = np.nextafter(np.arange(-999, 1000, dtype=np.float32) / np.float32(1000), np.float32(-2))
+    pq.write_table(pa.table({"vec_id": pa.array([1], pa.int64()), "embedding": pa.array([x.tolist()], pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    literal = same_as_sql(spark, tmp_path, "vector_literals")[0][1]
+    assert literal == "[" + ",".join(str(int(np.floor(1000 * float(v)))) for v in x) + "]"
+
+
 @pytest.mark.parametrize("key", [1, 9_999, 10_000, 6_000_000, 1_234_567_890_123])
 def test_candidate_units_of_larger_numbers(spark, tmp_path, key):
     con = duckdb.connect()
