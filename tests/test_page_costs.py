@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
+from bulletinlake.plans import page_queries
 from bulletinlake.sources import boundaries, listings
 
 
+def test_site_items_deal_no_pages_out_by_host(spark, sf):
+    plan = page_queries.site_items(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 class _Slow(boundaries._Tree):
     updatepos, parse_starttag, parse_endtag = HTMLParser.updatepos, HTMLParser.parse_starttag, HTMLParser.parse_endtag
 
