@@ -13,6 +13,17 @@ def test_site_items_deal_no_pages_out_by_host(spark, sf):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_items_go_on_in_portions(spark, monkeypatch):
+    page = "<ul>" + "".join(f"<li>접수기간 : <b>2026.01.{i % 28 + 1:02}</b></li>" for i in range(8000)) + "</ul>"
+    assert [s.stop - s.start for s in boundaries._portions([page, "", None, page, "x"])] == [1, 2, 1, 1]
+    assert list(boundaries._portions([])) == []
+    pages = [(i, page if i % 3 == 0 else None if i % 3 == 1 else f"<li>{i}</li>") for i in range(12)]
+    out = boundaries.dates_and_labels(spark.createDataFrame(pages, "id long, html string").coalesce(1), "id", "html")
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    want = [(i, *x.values()) for i, p in pages for x in boundaries.dated_items(p)]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
 class _Slow(boundaries._Tree):
     updatepos, parse_starttag, parse_endtag = HTMLParser.updatepos, HTMLParser.parse_starttag, HTMLParser.parse_endtag
 
