@@ -783,7 +783,7 @@ DIGEST = [(1, "# 주간\n머리말\n## 신청하세요\n- [D-9] 제목 하나 
 ], DIGEST))
 def digest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = sentence_ops.digest_blocks(_cases(spark, sf_dir, "id int, text string", DIGEST), "id", "text")
-    return sentence_ops.prune_dead(blocks, spark.createDataFrame([("https://a/1",)], "url string"), "id", "url")
+    return sentence_ops.prune_dead(blocks, F.broadcast(spark.createDataFrame([("https://a/1",)], "url string")), "id", "url")  # one row
 
 
 def digest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
