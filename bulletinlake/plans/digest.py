@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, notices, text
 from ..operators import linkage, ranking
+from ..session import work_dir
 
 CAPS: Mapping[str, int] = {"apply": 5, "notice": 3}
 PER_SOURCE = 2
@@ -66,16 +67,24 @@ def merged(found: DataFrame) -> DataFrame:
     return found.join(reps.select("id", "merged_ids"), "id")
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """The rows, written to the folder that the cluster shares and read again."""
+    folder = work_dir(df.sparkSession, "digest")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def compose(rows: DataFrame, first: str, last: str, today: str, pins: Sequence[int] = (), caps: Mapping[str, int] = CAPS, per_source: int = PER_SOURCE) -> DataFrame:
     """(section, position, id, ..., outcome): every classified row of the window, chosen or with why not.
 
-    Order matters: rows merge first, then past deadlines go, then sections fill under their caps.
+    Order matters: rows merge first, then past deadlines go, then sections fill under their caps. Classified rows are written
+    once, as every section reads them several times.
     """
     listed = merged(items(window_rows(rows, first, last), today))
     pinned = F.col("id").isin(list(pins)) if pins else F.lit(False)
     section = F.when(F.col("verdict").isin(*caps), F.col("verdict")).when(pinned & (F.col("verdict") == "hold"), F.col("pin_section"))
     past = (F.col("verdict") == "apply") & (F.col("days_left") < 0)
-    placed = listed.withColumn("section", F.when(~F.coalesce(past, F.lit(False)), section)).withColumn("pinned", pinned & F.col("section").isNotNull())
+    placed = _kept(listed.withColumn("section", F.when(~F.coalesce(past, F.lit(False)), section)).withColumn("pinned", pinned & F.col("section").isNotNull()))
     orders = {"apply": [("bucket", False), ("due", False), ("age", True), ("id", False)], "notice": [("age", True), ("id", False)]}
     parts = []
     for name, cap in caps.items():

@@ -32,3 +32,8 @@ def test_blocks_without_urls_are_no_hot_key(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sum(sizes) == 4000 and max(sizes) < 2000
+
+
+def test_announcements_are_classified_once(spark, sf):
+    plan = _plan(notice_queries.digest_composed(spark, sf))
+    assert "documents.parquet" not in plan and "rlike" not in plan.lower()
