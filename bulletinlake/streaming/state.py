@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,47 +47,53 @@ class _InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "waiting string, record string, alarm long")
+        self.held = handle.getValueState("held", "waiting string, record string, alarm long, timer long")
 
     def _load(self):
-        got = self.held.get() if self.held.exists() else None
-        return (json.loads(got[0]), json.loads(got[1]), got[2]) if got else ([], None, None)
+        """Rows that wait, the record, its alarm, and the timer that is set."""
+        got = self.held.get()
+        return (json.loads(got[0]), json.loads(got[1]), got[2], got[3]) if got else ([], None, None, None)
 
-    def _keep(self, waiting: list, record, alarm: int | None) -> None:
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t)
+    def _keep(self, waiting: list, record, alarm: int | None, timer: int | None) -> None:
+        """Each call to the state is a message to the JVM: the one timer is set anew only where its time changes."""
         times = [x for x in (waiting[0][0] if waiting else None, alarm) if x is not None]
-        if times:
-            self.held.update((json.dumps(waiting), json.dumps(record), alarm))
-            self.handle.registerTimer(min(times))
-        else:
+        following = min(times) if times else None
+        if timer is not None and timer != following:
+            self.handle.deleteTimer(timer)
+        if following is None:
             self.held.clear()
+            return
+        self.held.update((json.dumps(waiting), json.dumps(record), alarm, following))
+        if timer != following:
+            self.handle.registerTimer(following)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        waiting, record, alarm = self._load()
+        waiting, record, alarm, timer = self._load()
         for frame in rows:
             times = (frame[self.stamp].astype("datetime64[us]").astype("int64") // 1000).tolist()
             waiting += [[t, v] for t, v in zip(times, frame[self.value].tolist())]
-        self._keep(sorted(waiting, key=lambda x: (x[0], str(x[1]))), record, alarm)
-        yield pd.DataFrame(columns=self.names)
+        self._keep(sorted(waiting, key=lambda x: (x[0], str(x[1]))), record, alarm, timer)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        waiting, record, alarm = self._load()
+        waiting, record, alarm, timer = self._load()
         out: list[tuple] = []
+        passed = 0  # of the rows that wait
         while True:
-            row = waiting[0][0] if waiting else None
+            row = waiting[passed][0] if passed < len(waiting) else None
             if alarm is not None and alarm <= now and (row is None or alarm <= row):
                 record, alarm, some = self.rings(record, alarm)
             elif row is not None and row <= now:
-                at, value = waiting.pop(0)
+                at, value = waiting[passed]
+                passed += 1
                 record, alarm, some = self.seen(record, at, value)
             else:
                 break
             out += [(*key, *x) for x in some]
-        self._keep(waiting, record, alarm)
-        frame = pd.DataFrame(out, columns=self.names)
-        yield frame.apply(lambda c: pd.to_datetime(c, unit="ms") if c.name.endswith("_at") else c)
+        self._keep(waiting[passed:], record, alarm, timer)
+        if out:
+            yield pd.DataFrame({n: np.array(c, "datetime64[ms]") if n.endswith("_at") else list(c) for n, c in zip(self.names, zip(*out))})
 
     def close(self) -> None:
         pass
