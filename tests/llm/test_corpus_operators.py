@@ -752,3 +752,53 @@ def test_substring_recall_of_fuzzy_passages_with_many_holders(spark):
     shares = {k: sum(v) / len(v) for k, v in found.items()}
     assert sum(map(sum, found.values())) >= 0.97 * len(copies), shares
     assert min(shares.values()) >= 0.9, shares
+
+
+def test_substring_compares_all_holders_of_a_seed(spark, monkeypatch):
+    """Passages around a line that 150 earlier documents hold, unlike right beside it, so that nothing puts their holders side by side."""
+    new = iter(range(10**6))
+    fresh = lambda n: [f"u{next(new)}" for _ in range(n)]
+    rows, copies = [], []
+    for _ in range(4):
+        line = fresh(13)
+        rows += [fresh(30) + line + fresh(30) for _ in range(150)]
+        before, after = fresh(20), fresh(20)
+        changed = [fresh(1)[0] if i % 5 == 4 else w for i, w in enumerate(before)], [fresh(1)[0] if i % 5 == 0 else w for i, w in enumerate(after)]
+        copies += [before + line + after + fresh(20), fresh(7) + changed[0] + line + changed[1]]
+    rows += copies
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    for tile in (substring.TILE, 40):  # in tiles too
+        monkeypatch.setattr(substring, "TILE", tile)
+        got = {r["doc_id"]: r["passages"] for r in substring.repeated_passages(docs).collect()}
+        assert {i: {p["of"] for p in found} for i, found in got.items() if found} == {601 + 2 * i: {600 + 2 * i} for i in range(4)}
+        assert all(min(p["words"] for p in got[601 + 2 * i]) >= 45 for i in range(4))
+
+
+def test_holders_compared_are_those_with_a_like_stretch(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(23)
+    k, least = 2, 10
+    near, far = substring.reach(k, least, 0.8)
+    rows, n = [], 240
+    base = rng.integers(1, 60, 2 * far + k)
+    for i in range(n):
+        words = np.where(rng.random(len(base)) < rng.choice([0.1, 0.3, 0.6]), rng.integers(60, 2000, len(base)), base)
+        words[far : far + k] = base[far : far + k]
+        words[: rng.integers(0, far)] = 0
+        rows.append((int(i >= 40), i // 2, i % 2, 0, False, bool(rng.random() < 0.8), 0, 0, 0, words.astype("<u2")))
+    names = ["seed", "doc", "pos", "prev", "joined", "open", "part", "low", "high"]
+    table = pa.table({c: np.array([r[j] for r in rows]) for j, c in enumerate(names)} | {"words": [r[-1].tobytes() for r in rows]})
+    want = set()
+    for y in range(n):
+        for x in range(y):
+            if rows[y][5] and rows[x][0] == rows[y][0] and rows[x][1] < rows[y][1]:
+                own, theirs = rows[y][-1][far - near : far + near + k], set(rows[x][-1].tolist())
+                unlike = [0, *np.cumsum([1000 if w == 0 else w not in theirs for w in own.tolist()]).tolist()]
+                if any(5 * (unlike[b] - unlike[a]) <= b - a for a in range(near + 1) for b in range(max(near + k, a + least), len(unlike))):
+                    want.add((y, x))
+    assert 100 < len(want) < 0.7 * n * n / 2
+    for few in (0, 64, 1000):
+        monkeypatch.setattr(substring, "FEW", few)
+        c = substring._Compared(table, k, least, 0.8)
+        assert {p for y, x in c.pairs() for p in zip(y.tolist(), x.tolist())} == want
