@@ -802,3 +802,10 @@ def test_holders_compared_are_those_with_a_like_stretch(monkeypatch):
         monkeypatch.setattr(substring, "FEW", few)
         c = substring._Compared(table, k, least, 0.8)
         assert {p for y, x in c.pairs() for p in zip(y.tolist(), x.tolist())} == want
+
+
+def test_copies_of_a_context_meet_its_first_holder_alone(spark):
+    rows = [(1, d, p, 0, False, is_open, w) for d, p, is_open, w in ((5, 0, False, b"a"), (6, 3, True, b"a"), (7, 0, False, b"a"), (5, 9, True, b"a"), (6, 8, True, b"b"), (6, 9, True, b"b"))]
+    own, copies = substring.parted(spark.createDataFrame([(*r[:-1], bytearray(r[-1])) for r in rows], substring.CONTEXT))
+    assert sorted((r["doc"], r["pos"]) for r in own.collect()) == [(5, 0), (5, 9), (6, 8), (6, 9)]
+    assert [tuple(r) for r in copies.collect()] == [(1, 6, 3, 5, 0, False)]
