@@ -809,3 +809,54 @@ def test_copies_of_a_context_meet_its_first_holder_alone(spark):
     own, copies = substring.parted(spark.createDataFrame([(*r[:-1], bytearray(r[-1])) for r in rows], substring.CONTEXT))
     assert sorted((r["doc"], r["pos"]) for r in own.collect()) == [(5, 0), (5, 9), (6, 8), (6, 9)]
     assert [tuple(r) for r in copies.collect()] == [(1, 6, 3, 5, 0, False)]
+
+
+def _compared(texts, k, least, pos):
+    import pyarrow as pa
+
+    codes = [substring.word_codes(words_of(t)) for t in texts]
+    held = [[{"pos": p, "seed": int(substring.grams(c, k).view(np.int64)[p]), "open": True}] for c, p in zip(codes, pos)]
+    batch = pa.record_batch({"doc_id": list(range(len(texts))), "text": texts, "held": held})
+    table = pa.Table.from_batches(list(substring._contexts(k, substring.reach(k, least, 0.8)[1], least)(iter([batch]))))
+    for c in ("part", "low", "high"):
+        table = table.append_column(c, pa.array(np.zeros(len(texts), np.int32)))
+    return substring._Compared(table, k, least, 0.8)
+
+
+def test_holders_of_a_common_line_are_found_by_rare_words(monkeypatch):
+    """Most holders share the line and frequent words alone, one in fifty a passage too: few pairs are compared, none is lost."""
+    rng = np.random.default_rng(5)
+    line, n = " ".join(f"l{i}" for i in range(14)), 1500
+    fresh = lambda size: [f"w{rng.integers(1 << 40)}" if rng.random() < 0.6 else f"c{rng.integers(20)}" for _ in range(size)]
+    after, texts = [], []
+    for i in range(n):
+        own = fresh(60)
+        if i % 50 == 49:
+            own = [w if j % 8 else f"v{i}" for j, w in enumerate(after[i - 37])]
+        after.append(own)
+        texts.append(" ".join([line, *own]))
+    c = _compared(texts, 6, 45, [8] * n)
+    compared = []
+    monkeypatch.setattr(c, "like", lambda y, x, like=c.like: compared.append(len(y)) or like(y, x))
+    got = {p for y, x in c.pairs(4) for p in zip(y.tolist(), x.tolist())}
+    assert got == {(i, i - 37) for i in range(49, n, 50)}
+    assert sum(compared) < 20 * n
+
+
+def test_holders_in_order_stop_when_a_round_has_its_own():
+    """Where common words suffice the first holders are given, as many as the round takes and whether there are more; all, if all are asked for."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(["the"] * 50 + [f"x{i}"] * int(rng.integers(1, 60))) for i in range(400)]
+    c = _compared(texts, 6, 45, [20] * 400)
+    whole = {y: xs for ys, xs_ in c.pairs() for y, xs in ((y, xs_[ys == y].tolist()) for y in np.unique(ys).tolist())}
+    assert {y: len(xs) for y, xs in whole.items()} == {y: len(set(range(y)) & set(np.flatnonzero(c.first).tolist())) for y in range(1, 400)}
+    some = {y: xs for ys, xs_ in c.pairs(4) for y, xs in ((y, xs_[ys == y].tolist()) for y in np.unique(ys).tolist())}
+    assert all(xs == whole[y][: len(xs)] and len(xs) >= min(5, len(whole[y])) for y, xs in some.items()) and some.keys() == whole.keys()
+    assert sum(map(len, some.values())) < 30 * 400
+
+
+def test_repeated_words_count_as_often_as_both_have_them_on_a_side():
+    few, many, after = ["the"] * 8, ["the"] * 60, [f"a{i}" for i in range(60)]
+    texts = [[*few, *after], [*[f"b{i}" for i in range(30)], *few, *[f"b{i}" for i in range(30, 60)]], [*many, "end"], [*after, *many], [*["x"] * 30, *many[:45], *["y"] * 30], [*["x"] * 33, *many[:40], *["z"] * 33]]
+    c = _compared([" ".join(w) for w in texts], 6, 45, [0, 30, 20, 80, 50, 50])
+    assert {p for y, x in c.pairs() for p in zip(y.tolist(), x.tolist())} == {(3, 2), (4, 2), (4, 3), (5, 2), (5, 3), (5, 4)}
