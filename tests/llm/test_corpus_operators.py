@@ -860,3 +860,90 @@ def test_repeated_words_count_as_often_as_both_have_them_on_a_side():
     texts = [[*few, *after], [*[f"b{i}" for i in range(30)], *few, *[f"b{i}" for i in range(30, 60)]], [*many, "end"], [*after, *many], [*["x"] * 30, *many[:45], *["y"] * 30], [*["x"] * 33, *many[:40], *["z"] * 33]]
     c = _compared([" ".join(w) for w in texts], 6, 45, [0, 30, 20, 80, 50, 50])
     assert {p for y, x in c.pairs() for p in zip(y.tolist(), x.tolist())} == {(3, 2), (4, 2), (4, 3), (5, 2), (5, 3), (5, 4)}
+
+
+def _near_rows(texts, k, least, pos, likeness=0.8):
+    import pyarrow as pa
+
+    codes = [substring.word_codes(words_of(t)) for t in texts]
+    held = [[{"pos": p, "seed": int(substring.grams(c, k).view(np.int64)[p]), "open": True}] for c, p in zip(codes, pos)]
+    batch = pa.record_batch({"doc_id": list(range(len(texts))), "text": texts, "held": held})
+    rows = pa.Table.from_batches(list(substring._contexts(k, substring.reach(k, least, likeness)[1], least)(iter([batch]))))
+    for c in ("part", "low", "high"):
+        rows = rows.append_column(c, pa.array(np.zeros(len(texts), np.int32)))
+    found = substring._near(k, least, likeness, 0, 1 << 20)(iter(rows.combine_chunks().to_batches()))
+    return {(d, o) for b in found for d, o in zip(b["doc"].to_pylist(), b["of"].to_pylist())}
+
+
+def test_holders_with_too_few_words_between_matched_ends_are_left_out(monkeypatch):
+    """A word said 38 times is no passage of 45, though 80 percent of 45 words match; unlike words around it don't make it one."""
+    runs = [" ".join([f"a{i}"] * 40 + ["the"] * 38 + [f"b{i}"] * 40) for i in range(80)]
+    runs += [" ".join([f"a{i}"] * 40 + ["the"] * 60 + [f"b{i}"] * 40) for i in range(80, 84)]  # with each other and not before
+    for few in (0, 1000):
+        monkeypatch.setattr(substring, "FEW", few)
+        found, want = _near_rows(runs, 6, 45, [56] * 80 + [66] * 4), {(i, j) for i in range(80, 84) for j in range(80, i)}
+        assert found >= want and len(found - want) < 0.05 * 80 * 79 / 2  # a word's code may be another's
+
+
+def test_holders_with_a_passage_are_pairs_wherever_its_seed_is(monkeypatch):
+    """Passages of 45 to 300 words with 15 percent changed, their ends the same: aligned, so compared too."""
+    rng = np.random.default_rng(11)
+    new = iter(range(10**6))
+    fresh = lambda n: [f"u{next(new)}" for _ in range(n)]
+    texts, pos, want = [], [], set()
+    for i in range(60):
+        size = int(rng.choice([45, 60, 120, 300]))
+        at = int(rng.integers(0, size - 14))
+        line, own = [f"l{j}" for j in range(14)], fresh(size)
+        own[at : at + 14] = line
+        copy = [w if abs(j - at - 7) <= 7 or j in (0, size - 1) or rng.random() < 0.85 else fresh(1)[0] for j, w in enumerate(own)]
+        for words in (own, copy):
+            before = int(rng.integers(0, 90))
+            texts.append(" ".join(fresh(before) + words + fresh(int(rng.integers(0, 90)))))
+            pos.append(before + at + 4)
+        a, b = (substring.word_codes(words_of(t)) for t in texts[-2:])
+        if any(x <= pos[-1] < y for x, y, *_ in substring.segments(substring.align(b, a, [pos[-1]], [pos[-2]], 6)[0], 45, 0.8)):
+            want.add((2 * i + 1, 2 * i))
+    assert len(want) > 40
+    for few in (0, 1000):
+        monkeypatch.setattr(substring, "FEW", few)
+        assert _near_rows(texts, 6, 45, pos) == want
+
+
+def test_links_of_a_seed_over_many_partitions(spark):
+    """A line of 400 documents: its rows lie in several partitions and have one first holder; nothing goes to Python again for that."""
+    line = " ".join(f"l{i}" for i in range(40))
+    texts = [f"u{i} v{i} {line} w{i}" if i % 5 else line for i in range(400)]
+    docs = spark.createDataFrame([(1000 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = substring.links(docs, 6, 4)
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+    places = {}
+    for i, t in enumerate(texts):
+        _, seeds, pos = substring.seeds_of([t], 6, 4)
+        for s, p in zip(seeds.tolist(), pos.tolist()):
+            places.setdefault(s, []).append((1000 - i, p))
+    want = {(s, d, p, *min(own)) for s, own in places.items() for d, p in own if d != min(own)[0]}
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 2000
+
+
+def test_few_open_rows_meet_large_groups_without_copies_of_their_holders(spark, monkeypatch):
+    """Twenty open rows and 400 holders in parts of 40: as many pairs as in one part, and no holder is sent twice."""
+    rng = np.random.default_rng(3)
+    k, least = 6, 45
+    far = substring.reach(k, least, 0.8)[1]
+    base = rng.integers(1, 60000, 2 * far + k)
+    rows = []
+    for i in range(400):
+        words = np.where(rng.random(len(base)) < rng.choice([0.1, 0.6]), rng.integers(1, 60000, len(base)), base)
+        words[far : far + k] = base[far : far + k]
+        rows.append((1, i, 0, 0, False, i % 20 == 7, bytearray(words.astype("<u2").tobytes())))
+    contexts = substring.stash(spark.createDataFrame(rows, substring.CONTEXT), "contexts")
+    found, sent = {}, {}
+    for tile in (6000, 40):
+        monkeypatch.setattr(substring, "TILE", tile)
+        found[tile] = {(r["doc"], r["of"]) for r in substring.like_holders(contexts, k, least, 0.8, 0, 1000).collect()}
+        with monkeypatch.context() as m:  # what is dealt out, instead of the pairs
+            m.setattr(substring, "_near", lambda *a: lambda batches: (b.select(["seed", "doc", "pos", "doc", "pos", "open"]).rename_columns(["seed", "doc", "pos", "of", "at", "more"]) for b in batches))
+            sent[tile] = substring.like_holders(contexts, k, least, 0.8, 0, 1000).count()
+    assert found[40] == found[6000] and len(found[40]) > 500
+    assert sent == {6000: 400, 40: 400 + 20 * 9}
