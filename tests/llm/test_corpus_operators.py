@@ -14,7 +14,7 @@ import pytest
 
 public = pytest.importorskip("public_tokenizers")
 
-from bulletinlake.llm import htmltext, iblt, linededup, packing, pieces, quality, ranges, setjoin, simhash, substring, topk, toxicity  # noqa: E402
+from bulletinlake.llm import htmltext, iblt, linededup, packing, pieces, quality, ranges, scratch, setjoin, simhash, substring, topk, toxicity  # noqa: E402
 from bulletinlake.llm.components import components  # noqa: E402
 from bulletinlake.llm.shingles import shingle_hashes, words_of  # noqa: E402
 
@@ -947,3 +947,25 @@ def test_few_open_rows_meet_large_groups_without_copies_of_their_holders(spark,
             sent[tile] = substring.like_holders(contexts, k, least, 0.8, 0, 1000).count()
     assert found[40] == found[6000] and len(found[40]) > 500
     assert sent == {6000: 400, 40: 400 + 20 * 9}
+
+
+def test_shuffle_files_and_scratch_tables_go_when_nothing_reads_them(spark, tmp_path, monkeypatch):
+    """The largest tables of the first round aren't there when pairs are written, nor are they kept to its end."""
+    import os
+
+    there, real = {}, substring.stash
+
+    def stash(df, name="t", swept=True):
+        out = real(df, name, swept)
+        tables[name] = out.stashed_at.removeprefix("file://").removeprefix("file:")
+        there[name] = {n for n, path in tables.items() if os.path.isdir(path)}
+        return out
+
+    tables = {}
+    monkeypatch.setattr(substring, "stash", stash)
+    line = " ".join(f"l{i}" for i in range(20))
+    docs = spark.createDataFrame([(i, f"{line} " + " ".join(f"u{i % 7}x{j}" if j % 9 else f"v{i}" for j in range(60))) for i in range(40)], "doc_id long, text string")
+    before = spark.conf.get(scratch.CLEANUP, None)
+    assert substring.find_passages(docs, 6, 4, 0.1, 45, 0.8).count() > 0
+    assert not {"links", "left", "places"} & there["pairs"] and "distinct" in there["pairs"]
+    assert spark.conf.get(scratch.CLEANUP, None) == before
